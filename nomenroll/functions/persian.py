@@ -21,13 +21,13 @@ LETTER_FORMS = ("يىك“”„‟", 'ییک""""')
 NUMBER_FORMS = (K.ASCII_DIGITS + K.ARABIC_DIGITS + "%", K.PERSIAN_DIGITS + K.PERSIAN_DIGITS + "٪")
 DIACRITICS = "".join(map(chr, range(0x064B, 0x0653))) + "\u0670"
 ORNAMENTS = r"[\x{0610}-\x{061A}\x{06D6}-\x{06ED}\x{FD3E}\x{FD3F}\x{FDF0}-\x{FDFD}]"
-DIGIT = f"[{K.ASCII_DIGITS}{K.PERSIAN_DIGITS}]"
+DIGITS = "0-9۰-۹"
 CLOSING = r".:!،؛؟»\])}"
 OPENING = r"«\[({"
 
 STYLE_STEPS = (
     (r'"([^\n"]+)"', "«$1»"),
-    (rf"({DIGIT})\.({DIGIT})", "$1٫$2"),
+    (rf"([{DIGITS}])\.([{DIGITS}])", "$1٫$2"),
     (r" ?\.\.\.", " …"),
 )
 SPACING_STEPS = (
@@ -37,7 +37,7 @@ SPACING_STEPS = (
     (rf"{ZWNJ}{{2,}}", ZWNJ),
     (rf" +([{CLOSING}])", "$1"),
     (rf"([{OPENING}]) +", "$1"),
-    (rf"([.:])([^ \n{CLOSING}{K.ASCII_DIGITS}{K.PERSIAN_DIGITS}])", "$1 $2"),
+    (rf"([.:])([^ \n{CLOSING}{DIGITS}])", "$1 $2"),
     (rf"([!،؛؟»\])}}])([^ \n{CLOSING}])", "$1 $2"),
     (rf"([^ \n{OPENING}])([{OPENING}])", "$1 $2"),
 )

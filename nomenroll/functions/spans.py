@@ -1,11 +1,13 @@
 """Entity spans: ``array<struct<text, type, start_char, end_char>>``, offsets in code points.
 
-Running positions come from a fold over the array. The fold closes a block every ``_BLOCK`` spans
-and flattens at the end, since appending to one long array copies it each time.
+Folds over an array close a block every ``_BLOCK`` elements and flatten at the end: appending to one
+long array copies it each time, which would be quadratic in the number of spans of a document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,21 +65,55 @@ def fold_to_array(items: Column, state, step, item_type: str) -> Column:
     return F.aggregate(items, start, merge, lambda acc: F.flatten(F.array_append(acc["closed"], acc["open"])))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_sums(numbers: Column) -> Column:
+    """Inclusive running sums of an integer array, in time linear in its length."""
+
+    def append(sums: Column, number: Column) -> Column:
+        return F.array_append(sums, F.element_at(sums, -1) + number)
+
+    def blocks(bound: Column) -> Column:
+        # each block starts with the last sum of the block before it
+        cuts = F.sequence(F.lit(1), F.greatest(F.size(bound), F.lit(1)), F.lit(_BLOCK))
+        return F.aggregate(
+            cuts,
+            F.array(F.array(F.lit(0))),
+            lambda done, cut: F.array_append(
+                done,
+                F.aggregate(
+                    F.slice(bound, cut, F.lit(_BLOCK)), F.array(F.element_at(F.element_at(done, -1), -1)), append
+                ),
+            ),
+        )
+
+    return F.flatten(F.transform(let(numbers, blocks), lambda block: F.slice(block, 2, 1 << 30)))
+
+
 def pattern_spans(text: Column, pattern: str, kind: str) -> Column:
     """Spans of one pattern, left to right; positions add up the gaps and matches before them.
 
     The pattern must not match empty text, else gaps and matches don't pair up.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    paired = F.arrays_zip(gaps.alias("gap"), matches.alias("match"))
+    found = F.struct(
+        F.split(text, pattern, -1).alias("gaps"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"),
+    )
 
-    def step(position: Column, pair: Column) -> tuple[Column, Column]:
-        begin = position + F.char_length(pair["gap"])
-        end = begin + F.char_length(pair["match"])
-        return end, span(pair["match"], F.lit(kind), begin, end)
+    def spans(f: Column) -> Column:
+        # one gap more than matches
+        steps = F.zip_with(
+            f["gaps"], f["matches"], lambda gap, m: F.char_length(gap) + F.coalesce(F.char_length(m), F.lit(0))
+        )
+        ends = F.slice(running_sums(steps), F.lit(1), F.size(f["matches"]))
+        return F.zip_with(
+            f["matches"], ends, lambda m, end: span(m, F.lit(kind), end - F.char_length(m), end)
+        )
 
-    return fold_to_array(paired, F.lit(0), step, SPAN_TYPE.simpleString())
+    return let(found, spans)
 
 
 def entities_json(spans: Column) -> Column:

@@ -1,6 +1,6 @@
 """Whitespace with the Unicode meaning: 29 code points, ZWNJ not among them.
 
-Java's ``\\s`` knows six of them, so patterns name the set.
+Java's plain ``\\s`` knows six of them.
 """
 
 from __future__ import annotations
@@ -8,17 +8,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The whitespace code points, apart from the ordinary space.
-_OTHER = r"\x09-\x0D\x1C-\x1F\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# The whitespace code points.
 _CODE_POINTS = (
     *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
     *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000,
 )
 WHITESPACE_CHARS = "".join(map(chr, _CODE_POINTS))
 
-WHITESPACE = f"[{_OTHER} ]"
-# A lone ordinary space needs no change, so the pattern leaves it out: most spaces cost one look.
-RUNS_TO_COLLAPSE = f"[{_OTHER}]{WHITESPACE}*| {WHITESPACE}+"
+# The same set. With (?U), \\s looks up the Unicode category, several times faster than a class that
+# lists the ranges; the four separators 1C-1F are not in that category.
+WHITESPACE_RUN = r"(?U)[\s\x1C-\x1F]+"
 
 
 def strip(text: Column) -> Column:
@@ -28,7 +27,7 @@ def strip(text: Column) -> Column:
 
 def collapse_whitespace(text: Column) -> Column:
     """Turn each run of whitespace into one space, then strip."""
-    return F.btrim(F.regexp_replace(text, RUNS_TO_COLLAPSE, " "))
+    return F.btrim(F.regexp_replace(text, WHITESPACE_RUN, " "))
 
 
 def normalize_entity(text: Column) -> Column:

@@ -23,10 +23,9 @@ def pattern_annotator(patterns: Mapping[str, str]) -> Callable[[Column], Column]
 
     def annotate(text: Column) -> Column:
         per_type = [pattern_spans(text, pattern, kind) for kind, pattern in patterns.items()]
-        spans = per_type[0]
-        if len(per_type) > 1:
-            spans = F.array_sort(F.concat(*per_type), lambda a, b: _by_position(a, b, ranks))
-        return F.when(F.coalesce(text, F.lit("")) == "", no_spans()).otherwise(spans)
+        if len(per_type) == 1:
+            return F.coalesce(per_type[0], no_spans())
+        return F.coalesce(F.array_sort(F.concat(*per_type), lambda a, b: _by_position(a, b, ranks)), no_spans())
 
     return annotate
 

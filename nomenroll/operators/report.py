@@ -84,7 +84,7 @@ def examples(book: DataFrame, k: int = K.EXAMPLES_PER_RULE) -> DataFrame:
         _hits(book)
         .withColumn("nth", F.row_number().over(by_first))
         .filter(F.col("nth") <= k)
-        .select("context", "rule", "nth", "entity")
+        .select("context", "rule", F.col("nth").cast("bigint").alias("nth"), "entity")
     )
 
 
@@ -95,7 +95,7 @@ def top_entities(book: DataFrame, k: int = K.TOP_ENTITIES) -> DataFrame:
         book.filter(~F.col("_qc_flag"))
         .withColumn("nth", F.row_number().over(by_count))
         .filter(F.col("nth") <= k)
-        .select("context", "nth", "entity", F.col("mentions").alias("count"))
+        .select("context", F.col("nth").cast("bigint").alias("nth"), "entity", F.col("mentions").alias("count"))
     )
 
 

@@ -167,8 +167,9 @@ def with_rules(
 ) -> DataFrame:
     """Normalize the entity and add ``_qc_rules``, ``_qc_flag`` and ``_qc_first_rule``.
 
-    ``context`` holds the lower-case inventory name. Plain projections in three steps, without a
-    shuffle: shared counts are columns of their own and so are computed once.
+    ``context`` holds the lower-case inventory name. There is no shuffle. Shared counts are columns of
+    their own and so are computed once. The list of rules passes through a one-row generator: a later
+    filter on it can't be pushed below, where it would repeat all of the rules' work.
     """
     counts = {
         "_tokens": X.token_count(F.col(entity)),
@@ -186,11 +187,11 @@ def with_rules(
             holds = F.col(context).isin(*rule.classes) & holds
         names.append(F.when(holds, F.lit(rule.name)))
     listed = F.concat_ws(",", *names)
+    kept = [F.col(c) for c in df.columns]
     return (
         df.withColumn(entity, normalize_entity(F.col(entity)))
         .withColumns(counts)
-        .withColumn("_listed", listed)
-        .drop(*counts)
+        .select(*kept, F.inline(F.array(F.struct(listed.alias("_listed")))))
         .withColumns(
             {
                 "_qc_rules": F.when(F.col("_listed") == "", F.array().cast("array<string>")).otherwise(

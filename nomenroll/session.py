@@ -14,6 +14,8 @@ SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+_local_dirs: dict[str, str] = {}
+
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
     """A single-machine session for tests and timings; a cluster brings its own."""
@@ -23,6 +25,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory:
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", driver_memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for name, value in SESSION_DEFAULTS.items():
         builder = builder.config(name, value)
@@ -40,9 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    fallback = tempfile.mkdtemp(prefix="nomenroll-")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    application = spark.sparkContext.applicationId
+    if application not in _local_dirs:
+        _local_dirs[application] = tempfile.mkdtemp(prefix="nomenroll-")
+    return _local_dirs[application]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -102,7 +102,7 @@ def parse_checksums(lines: DataFrame, value: str = "value", order: Column | None
     """
     line = F.btrim(F.col(value))
     split_at = F.instr(line, "  ")
-    bad = F.raise_error(F.concat(F.lit("no double space in checksum line: "), line)).cast("string")
+    bad = F.raise_error(F.concat(F.lit("no double space in checksum line: "), F.col("line"))).cast("string")
     return (
         lines.select(line.alias("line"), split_at.alias("at"), (F.lit(0) if order is None else order).alias("line_no"))
         .filter(F.col("line") != "")

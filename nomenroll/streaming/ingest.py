@@ -23,16 +23,18 @@ def _write_batch(df: DataFrame, out_dir: str, table: str, batch_id: int) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def batch_counts(checked: DataFrame) -> DataFrame:
-    """Rows per context (``rule`` null) and per context and rule; adds up over batches."""
-    all_rows = F.struct(F.lit(None).cast("string").alias("rule"))
-    flag = F.struct(F.lit("_flagged").alias("rule"))
-    marks = F.concat(
-        F.array(all_rows),
-        F.when(F.col("_qc_flag"), F.array(flag)).otherwise(F.array().cast("array<struct<rule:string>>")),
-        F.transform("_qc_rules", lambda r: F.struct(r.alias("rule"))),
+def batch_totals(checked: DataFrame) -> DataFrame:
+    return checked.groupBy("context").agg(
+        F.count("*").alias("rows_total"), F.count_if("_qc_flag").alias("rows_flagged")
+    )
+
+
+def batch_rule_counts(checked: DataFrame) -> DataFrame:
+    return (
+        checked.select("context", F.explode("_qc_rules").alias("rule"))
+        .groupBy("context", "rule")
+        .agg(F.count("*").alias("rows"))
     )
-    return checked.select("context", F.inline(marks)).groupBy("context", "rule").agg(F.count("*").alias("rows"))
 
 
 def start_extraction(
@@ -47,7 +49,7 @@ def start_extraction(
     aliases: Mapping[str, str] | None = None,
     trigger: Mapping[str, object] | None = None,
 ) -> StreamingQuery:
-    """Write ``processed``, ``inventory`` and, if asked for, ``counts`` per micro-batch.
+    """Write ``processed``, ``inventory`` and, if asked for, ``totals`` and ``rule_counts`` per micro-batch.
 
     ``annotate_batch`` turns a corpus frame into key, title, link and span columns; it may use any
     annotator, windows included, as it sees an ordinary DataFrame. It runs once per batch: the
@@ -59,7 +61,8 @@ def start_extraction(
         inventory = _write_batch(inventory_of(processed, key, aliases), out_dir, "inventory", batch_id)
         if count_rules:
             checked = with_rules(with_context(inventory), settings=settings, rules=rules)
-            _write_batch(batch_counts(checked), out_dir, "counts", batch_id)
+            _write_batch(batch_totals(checked), out_dir, "totals", batch_id)
+            _write_batch(batch_rule_counts(checked), out_dir, "rule_counts", batch_id)
 
     return (
         stream.writeStream.foreachBatch(handle)
@@ -75,21 +78,21 @@ def read_table(spark: SparkSession, out_dir: str, table: str) -> DataFrame:
 
 
 def running_totals(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Rows, flagged and clean per context, over all batches so far."""
-    counts = read_table(spark, out_dir, "counts")
-    rows = F.coalesce(F.sum(F.when(F.col("rule").isNull(), F.col("rows"))), F.lit(0))
-    flagged = F.coalesce(F.sum(F.when(F.col("rule") == "_flagged", F.col("rows"))), F.lit(0))
-    return counts.groupBy("context").agg(
-        rows.alias("rows_total"), flagged.alias("rows_flagged"), (rows - flagged).alias("rows_clean")
+    """Rows, flagged and clean per context, summed over all batches so far."""
+    return (
+        read_table(spark, out_dir, "totals")
+        .groupBy("context")
+        .agg(F.sum("rows_total").alias("rows_total"), F.sum("rows_flagged").alias("rows_flagged"))
+        .withColumn("rows_clean", F.col("rows_total") - F.col("rows_flagged"))
     )
 
 
 def running_rule_counts(spark: SparkSession, out_dir: str) -> DataFrame:
     """Rows per context and rule, and per rule over all contexts (``overall``)."""
     context, rule = F.col("context"), F.col("rule")
-    counts = read_table(spark, out_dir, "counts").filter(rule.isNotNull() & (rule != "_flagged"))
     return (
-        counts.groupingSets([[context, rule], [rule]], context, rule)
+        read_table(spark, out_dir, "rule_counts")
+        .groupingSets([[context, rule], [rule]], context, rule)
         .agg(F.grouping("context").alias("g"), F.sum("rows").alias("rows"))
         .select("context", (F.col("g") == 1).alias("overall"), rule_rank(rule).alias("rank"), "rule", "rows")
     )
