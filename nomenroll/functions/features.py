@@ -1,7 +1,4 @@
-"""Counts and ratios over entity text that has been through ``normalize_entity``.
-
-Counting characters by deleting them (``translate``) is a single pass without a regex engine.
-"""
+"""Counts and ratios over entity text that has been through ``normalize_entity``."""
 
 from __future__ import annotations
 
@@ -13,12 +10,22 @@ from pyspark.sql import functions as F
 from nomenroll import constants as K
 
 
+def _one_of(characters: str) -> str:
+    """Character class of these characters, none of them special inside it."""
+    return "[" + "".join(f"\\{c}" if c in "\\[]^-&" else c for c in characters) + "]"
+
+
 def _occurrences(text: Column, characters: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
+    return F.regexp_count(text, F.lit(_one_of(characters)))
+
+
+def dense_length(text: Column) -> Column:
+    """Characters apart from the ordinary space."""
+    return F.char_length(F.replace(text, F.lit(" "), F.lit("")))
 
 
 def token_count(text: Column) -> Column:
-    return F.when(text == "", 0).otherwise(_occurrences(text, " ") + 1)
+    return F.when(text == "", 0).otherwise(F.char_length(text) - dense_length(text) + 1)
 
 
 def separator_count(text: Column) -> Column:
@@ -26,11 +33,11 @@ def separator_count(text: Column) -> Column:
 
 
 def digit_count(text: Column) -> Column:
-    return _occurrences(text, K.ASCII_DIGITS + K.PERSIAN_DIGITS)
+    return F.regexp_count(text, F.lit("[0-9۰-۹]"))
 
 
 def non_digit_count(text: Column) -> Column:
-    return F.char_length(F.translate(text, K.ASCII_DIGITS + K.PERSIAN_DIGITS, ""))
+    return F.char_length(text) - digit_count(text)
 
 
 def punct_ratio(text: Column) -> Column:
@@ -38,14 +45,9 @@ def punct_ratio(text: Column) -> Column:
     return F.when(text == "", 0.0).otherwise(_occurrences(text, K.PUNCTUATION) / F.char_length(text))
 
 
-def dense_length(text: Column) -> Column:
-    """Characters apart from the ordinary space."""
-    return F.char_length(F.translate(text, " ", ""))
-
-
 def distinct_ratio(text: Column) -> Column:
     """Distinct characters over all characters, ordinary spaces apart; 0 for empty text."""
-    dense = F.translate(text, " ", "")
+    dense = F.replace(text, F.lit(" "), F.lit(""))
     return F.when(dense == "", 0.0).otherwise(
         F.size(F.array_distinct(F.split(dense, ""))) / F.char_length(dense)
     )
