@@ -186,16 +186,17 @@ def mentions_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mentions(_document_spans(spark, sf_dir), ["doc_id"], {"content": "spans"})
 
 
-def _capitalized_model():
-    pattern = re.compile(I.CAPITALIZED)
-    return lambda text: [(m.group(), "Per", m.start(), m.end()) for m in pattern.finditer(text)]
-
-
 @query
 def mentions_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any per-text model through Arrow batches; here one that finds capitalised words."""
+    words = I.CAPITALIZED
+
+    def factory():  # local, so it travels to the workers by value
+        pattern = re.compile(words)
+        return lambda text: [(m.group(), "Per", m.start(), m.end()) for m in pattern.finditer(text)]
+
     docs = I.spaced_documents(spark, sf_dir)
-    annotate = model_annotator(_capitalized_model)
+    annotate = model_annotator(factory)
     return mentions(docs.select("doc_id", annotate("text").alias("spans")), ["doc_id"], {"content": "spans"})
 
 
@@ -505,7 +506,7 @@ def _listed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _found_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is on disk: some pages gone, some changed, some too large to hash, some files more."""
+    """What is on disk: some pages gone, some changed, some not readable, some files more."""
     url = F.col("url")
     digest = F.when(url.contains("/fr/") | url.contains("ref="), sha256_hex(url)).otherwise(sha256_hex(F.col("html")))
     pages = I.table(spark, sf_dir, "pages")
@@ -543,7 +544,7 @@ def checksum_list_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def checksum_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List against disk: missing, extra, mismatch, too large, ok, with both digests."""
+    """List against disk: missing, extra, mismatch, unreadable, ok, with both digests."""
     return compare_digests(_parsed_list(spark, sf_dir), _found_pages(spark, sf_dir))
 
 

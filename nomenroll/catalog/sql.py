@@ -332,7 +332,7 @@ PAGE_LIST = (
     "upper(sha256(CASE WHEN contains(url, '/fr/') OR contains(url, 'ref=') THEN url ELSE html END)) FROM pages "
     "WHERE contains(url, '//m.')), "
     "compared AS (SELECT coalesce(l.path, d.path) AS path, CASE WHEN d.path IS NULL THEN 'missing' "
-    "WHEN d.digest IS NULL THEN 'too_large' WHEN l.path IS NULL THEN 'extra' WHEN l.digest <> d.digest THEN 'mismatch' "
+    "WHEN d.digest IS NULL THEN 'unreadable' WHEN l.path IS NULL THEN 'extra' WHEN l.digest <> d.digest THEN 'mismatch' "
     "ELSE 'ok' END AS status, l.digest AS expected, d.digest AS found FROM listed l FULL JOIN on_disk d "
     "ON l.path = d.path)"
 )
@@ -342,7 +342,7 @@ def verdict_of(source: str) -> str:
     return (
         "SELECT count(*) AS checked, count(*) FILTER (WHERE status = 'missing') AS missing, "
         "count(*) FILTER (WHERE status = 'extra') AS extra, count(*) FILTER (WHERE status = 'mismatch') AS mismatch, "
-        "count(*) FILTER (WHERE status = 'too_large') AS too_large, "
+        "count(*) FILTER (WHERE status = 'unreadable') AS unreadable, "
         f"count(*) FILTER (WHERE status <> 'ok') = 0 AS ok FROM {source}"
     )
 

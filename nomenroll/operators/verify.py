@@ -29,10 +29,10 @@ def last_entry(listed: DataFrame, line: str = "line_no") -> DataFrame:
 
 
 def compare_digests(expected: DataFrame, found: DataFrame) -> DataFrame:
-    """``path``, ``status`` (missing, extra, mismatch, too_large, ok), ``expected``, ``found``.
+    """``path``, ``status`` (missing, extra, mismatch, unreadable, ok), ``expected``, ``found``.
 
-    Both sides have one row per path. A null digest on the found side stands for content too large
-    to hash; it is never ok.
+    Both sides have one row per path. A null digest on the found side stands for content that can't
+    be read; it is never ok.
     """
     sides = expected.select("path", F.col("digest").alias("expected"), F.lit(None).cast("string").alias("found"),
                             F.lit(1).alias("in_list"), F.lit(0).alias("on_disk")).unionByName(
@@ -44,7 +44,7 @@ def compare_digests(expected: DataFrame, found: DataFrame) -> DataFrame:
         F.max("in_list").alias("in_list"),
         F.max("on_disk").alias("on_disk"),
     )
-    status = F.when((F.col("on_disk") == 1) & F.col("found").isNull(), "too_large").otherwise(
+    status = F.when((F.col("on_disk") == 1) & F.col("found").isNull(), "unreadable").otherwise(
         _status(F.col("in_list"), F.col("on_disk"), F.col("expected") != F.col("found"))
     )
     return merged.select("path", status.alias("status"), "expected", "found")
@@ -86,7 +86,7 @@ def compare_tables(
 
 def verdict(compared: DataFrame) -> DataFrame:
     """One row: how many of each status, and whether everything is ok."""
-    kinds = ("missing", "extra", "mismatch", "too_large")
+    kinds = ("missing", "extra", "mismatch", "unreadable")
     return compared.agg(
         F.count("*").alias("checked"),
         *[F.count_if(F.col("status") == k).alias(k) for k in kinds],

@@ -7,18 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from nomenroll.operators.verify import compare_digests, last_entry
+from nomenroll.session import materialize
 from nomenroll.sources.artifacts import file_digests, named_file_digests, read_checksums, write_checksums
 
 
 def publish_checksums(spark: SparkSession, root: str, list_path: str, exclude: Sequence[str] = ()) -> None:
     """Hash every file below ``root`` and write the sorted list outside of it.
 
-    A file too large to hash is an error here, since a list without its digest would prove nothing.
+    A file that can't be read is an error, since a list without its digest would prove nothing. The
+    digests are written before they are sorted, so each file is read once.
     """
-    digests = file_digests(spark, root, exclude)
-    too_large = digests.filter("digest IS NULL").select("path").limit(20).collect()
-    if too_large:
-        raise ValueError(f"too large to hash: {[r.path for r in too_large]}")
+    digests = materialize(file_digests(spark, root, exclude), "digests")
+    unreadable = digests.filter("digest IS NULL").select("path").limit(20).collect()
+    if unreadable:
+        raise ValueError(f"can't read {[r.path for r in unreadable]}")
     write_checksums(digests, list_path)
 
 
@@ -33,5 +35,5 @@ def verify_files(
     """Compare a list with the files below ``root``, or with the named ``files``."""
     if (root is None) == (files is None):
         raise ValueError("give either root or files")
-    found = file_digests(spark, root, exclude, skip) if root else named_file_digests(spark, files, exclude)
+    found = file_digests(spark, root, exclude, skip) if root else named_file_digests(spark, files)
     return compare_digests(last_entry(read_checksums(spark, list_path)), found)

@@ -1,17 +1,23 @@
-"""Files with their digests, and checksum lists."""
+"""Files with their digests, and checksum lists.
+
+Files are listed and hashed in tasks through Arrow's file systems. Spark's own binary source would
+leave out empty files and names that begin with ``_`` or ``.``, and can't hold files beyond 2 GiB;
+here every file counts, and its content streams through the hash block by block.
+"""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nomenroll.functions.digests import sha256_hex
+from nomenroll.session import materialize
 
-# A file is one binary value, which has to stay below 2 GiB.
-MAX_FILE_BYTES = (1 << 31) - (1 << 20)
+BLOCK_BYTES = 1 << 20
+TASKS_PER_CORE = 4
 
 
 def glob_pattern(glob: str) -> str:
@@ -42,24 +48,82 @@ def exclude_globs(df: DataFrame, path: str, globs: Sequence[str]) -> DataFrame:
     return df
 
 
-def _digest(content: Column, length: Column) -> Column:
-    return F.when(length <= MAX_FILE_BYTES, sha256_hex(content))
+def _file_system():
+    """A function that opens ``path`` or URI as (file system, path inside it)."""
 
+    def opened(path: str):
+        from pyarrow import fs
 
-def _with_digests(spark: SparkSession, load, relative: Column, exclude: Sequence[str], skip: Sequence[str]) -> DataFrame:
-    """Digest per relative path. Too large files keep a null digest: their length filter reaches the
-    source, so the content is never opened."""
+        uri = re.sub("^s3[an]:", "s3:", path)
+        uri = re.sub("^file:/+", "/", uri)
+        return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
 
-    def listed() -> DataFrame:
-        files = load(spark.read.format("binaryFile").option("recursiveFileLookup", True))
-        files = files.withColumn("full", F.col("path")).withColumn("path", relative)
-        return exclude_globs(files.filter(~F.col("path").isin(*skip)) if skip else files, "path", exclude)
+    return opened
 
-    small = listed().filter(F.col("length") <= MAX_FILE_BYTES)
-    large = listed().filter(F.col("length") > MAX_FILE_BYTES)
-    return small.select("path", "length", sha256_hex(F.col("content")).alias("digest")).unionByName(
-        large.select("path", "length", F.lit(None).cast("string").alias("digest"))
-    )
+
+def _spread(df: DataFrame) -> DataFrame:
+    """One small row stands for much work, so rows are dealt out evenly, not by their size."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * TASKS_PER_CORE)
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Every file below ``root``: ``path`` relative to it, ``full`` and ``length``.
+
+    One round per level of the tree; within a round, each directory is listed by a task.
+    """
+    opened = _file_system()
+    root = root.rstrip("/")
+
+    def list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for full, path in zip(batch["full"], batch["path"]):
+                system, inside = opened(full)
+                rows = [
+                    (f"{full}/{i.base_name}", path + i.base_name, i.type == fs.FileType.Directory, i.size or 0)
+                    for i in system.get_file_info(fs.FileSelector(inside))
+                ]
+                yield pd.DataFrame(rows, columns=["full", "path", "is_dir", "length"])
+
+    schema = "full string, path string, is_dir boolean, length bigint"
+    level = spark.createDataFrame([(root, "")], "full string, path string")
+    rounds = []
+    while True:
+        listed = materialize(level.mapInPandas(list_directories, schema), "listing")
+        rounds.append(listed.filter("NOT is_dir").select("path", "full", "length"))
+        below = listed.filter("is_dir").select("full", F.concat("path", F.lit("/")).alias("path"))
+        if below.isEmpty():
+            break
+        level = _spread(below)
+    files = rounds[0]
+    for more in rounds[1:]:
+        files = files.unionByName(more)
+    return files
+
+
+def _with_digest(files: DataFrame) -> DataFrame:
+    """Replace ``full`` by the ``digest`` of its content; a file that can't be read has a null one."""
+    opened, block_bytes = _file_system(), BLOCK_BYTES
+
+    @F.pandas_udf("string")
+    def digest(paths: pd.Series) -> pd.Series:
+        import hashlib
+
+        def one(path: str) -> str | None:
+            state = hashlib.sha256()
+            try:
+                system, inside = opened(path)
+                with system.open_input_stream(inside) as content:
+                    while block := content.read(block_bytes):
+                        state.update(block)
+            except OSError:
+                return None
+            return state.hexdigest().upper()
+
+        return paths.map(one)
+
+    return _spread(files).select("path", "length", digest("full").alias("digest"))
 
 
 def file_digests(
@@ -69,20 +133,21 @@ def file_digests(
 
     ``exclude`` holds globs; ``skip`` exact relative paths, such as the checksum list itself.
     """
-    base = re.sub(r"^[a-z]+:/+(?=/)", "", root).rstrip("/")
-    after_root = F.substring_index(F.concat(F.col("path"), F.lit("")), f"{base}/", -1)
-    # keep what follows the first occurrence of the root, even if the root's name occurs again below
-    start = F.instr(F.col("path"), f"{base}/")
-    relative = F.when(start > 0, F.substring(F.col("path"), start + F.lit(len(base) + 1), F.lit(1 << 30))).otherwise(
-        after_root
-    )
-    return _with_digests(spark, lambda reader: reader.load(root), relative, exclude, skip)
-
-
-def named_file_digests(spark: SparkSession, files: Sequence[str], exclude: Sequence[str] = ()) -> DataFrame:
-    """The named files only, by file name; a missing one is an error."""
-    relative = F.regexp_extract("path", "([^/]+)$", 1)
-    return _with_digests(spark, lambda reader: reader.load(list(files)), relative, exclude, ())
+    files = exclude_globs(list_files(spark, root), "path", exclude)
+    return _with_digest(files.filter(~F.col("path").isin(*skip)) if skip else files)
+
+
+def named_file_digests(spark: SparkSession, files: Sequence[str]) -> DataFrame:
+    """The named files only, by file name; a missing one is an error before any job starts."""
+    opened = _file_system()
+    rows = []
+    for name in files:
+        system, inside = opened(name)
+        info = system.get_file_info(inside)
+        if not info.is_file:
+            raise FileNotFoundError(name)
+        rows.append((info.base_name, name, info.size or 0))
+    return _with_digest(spark.createDataFrame(rows, "path string, full string, length bigint"))
 
 
 def checksum_lines(digests: DataFrame) -> DataFrame:
