@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from nomenroll.functions.whitespace import collapse_whitespace
 from nomenroll.operators.corpus import standardize
+from nomenroll.functions.ordering import packed_order
 from nomenroll.operators.gazetteer import Gazetteer, build_gazetteer
 
 # --- Fixed values shared with the SQL side ----------------------------------------------------
@@ -140,7 +141,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_order() -> Column:
-    return F.struct("src", "id", "pos")
+    return packed_order((F.col("src"), 1), (F.col("id"), 19), (F.col("pos"), 10))
 
 
 def document_gazetteer(spark: SparkSession, sf_dir: str) -> Gazetteer:

@@ -23,6 +23,7 @@ from nomenroll.operators.mentions import (
     dropped_types,
     explode_spans,
     mention_counts,
+    mention_order,
     mentions,
     mentions_from_json,
     single_class,
@@ -164,7 +165,7 @@ def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
             X.separator_count(e).cast("bigint").alias("separators"),
             X.digit_count(e).cast("bigint").alias("digits"),
             X.non_digit_count(e).cast("bigint").alias("non_digits"),
-            X.connector_hits(e, K.LIST_CONNECTORS).cast("bigint").alias("connectors"),
+            X.connector_hits(X.padded(e), K.LIST_CONNECTORS).cast("bigint").alias("connectors"),
             F.round(X.punct_ratio(e), 6).alias("punct_ratio"),
             F.round(X.distinct_ratio(e), 6).alias("distinct_ratio"),
             X.is_year(e).alias("is_year"),
@@ -437,7 +438,7 @@ def qc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mentions_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From documents to clean and flagged counts per class: text, annotator, mentions, rules."""
     found = with_context(mentions_pattern(spark, sf_dir))
-    return totals(ledger(found, F.struct("doc_id", "start_char", "end_char")))
+    return totals(ledger(found, mention_order(found, ["doc_id"])))
 
 
 # --- verification ---------------------------------------------------------------------------

@@ -53,10 +53,14 @@ def distinct_ratio(text: Column) -> Column:
     )
 
 
-def connector_hits(text: Column, connectors: tuple[str, ...]) -> Column:
-    """How many different connectors occur, the text taken with a space at each end."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    return reduce(lambda a, b: a + b, [F.when(padded.contains(c), 1).otherwise(0) for c in connectors], F.lit(0))
+def padded(text: Column) -> Column:
+    """The text with a space at each end, so that a connector is found there, too."""
+    return F.concat(F.lit(" "), text, F.lit(" "))
+
+
+def connector_hits(padded_text: Column, connectors: tuple[str, ...]) -> Column:
+    """How many different connectors occur."""
+    return reduce(lambda a, b: a + b, [padded_text.contains(c).cast("int") for c in connectors], F.lit(0))
 
 
 def starts_with_any(text: Column, prefixes: tuple[str, ...]) -> Column:

@@ -6,8 +6,10 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nomenroll import constants as K
+from nomenroll.functions.ordering import packed_order
 from nomenroll.functions.spans import parse_entities
 from nomenroll.functions.whitespace import strip
 
@@ -75,11 +77,16 @@ def dropped_types(spans: DataFrame, aliases: Mapping[str, str] | None = None) ->
     )
 
 
-def mention_order(key: Sequence[str], fields: Sequence[str] = ("title", "content")) -> Column:
-    """Reading order of mentions: document, title before content, position."""
+def mention_order(df: DataFrame, key: Sequence[str], fields: Sequence[str] = ("title", "content")) -> Column:
+    """Reading order of mentions: document, title before content, position.
+
+    A single integer key gives a packed number, any other key a struct.
+    """
     rank = F.lit(len(fields))
     for position, field in enumerate(fields):
         rank = F.when(F.col("field") == field, position).otherwise(rank)
+    if len(key) == 1 and isinstance(df.schema[key[0]].dataType, T.IntegralType):
+        return packed_order((F.col(key[0]), 19), (rank, 1), (F.col("start_char"), 10))
     return F.struct(*key, rank.alias("field_rank"), "start_char", "end_char")
 
 

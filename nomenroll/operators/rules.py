@@ -60,6 +60,7 @@ class EntityView:
     """What a rule may look at. Each column is computed once per row, not once per rule."""
 
     text: Column
+    padded: Column
     tokens: Column
     length: Column
     digits: Column
@@ -90,7 +91,7 @@ def _near_digits(e: EntityView, s: RuleSettings) -> Column:
 def _list_like(e: EntityView, s: RuleSettings) -> Column:
     limits = s.thresholds
     return (X.separator_count(e.text) >= limits.min_arabic_commas_for_list) | (
-        X.connector_hits(e.text, s.lexicon.connectors) >= limits.min_and_connectors_for_list
+        X.connector_hits(e.padded, s.lexicon.connectors) >= limits.min_and_connectors_for_list
     )
 
 
@@ -117,7 +118,7 @@ RULES: tuple[Rule, ...] = (
     Rule("too_many_tokens", lambda e, s: e.tokens > s.thresholds.max_tokens),
     Rule("too_long", lambda e, s: e.length > s.thresholds.max_chars),
     Rule("digits_only_or_near", _near_digits),
-    Rule("year_only", lambda e, s: X.is_year(e.text)),
+    Rule("year_only", lambda e, s: (e.length == 4) & X.is_year(e.text)),
     Rule("list_and_connectors", _list_like),
     Rule("generic_template_phrase", lambda e, s: X.starts_with_any(e.text, _begins(s.lexicon.generic_nouns))),
     Rule("low_char_diversity", _low_diversity),
@@ -172,6 +173,7 @@ def with_rules(
     filter on it can't be pushed below, where it would repeat all of the rules' work.
     """
     counts = {
+        "_padded": X.padded(F.col(entity)),
         "_tokens": X.token_count(F.col(entity)),
         "_length": F.char_length(entity),
         "_digits": X.digit_count(F.col(entity)),

@@ -1,8 +1,11 @@
 import json
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
+from nomenroll.functions.ordering import packed_order
+from nomenroll.operators.mentions import mention_order
 from nomenroll.operators.report import (
     example_maps,
     examples,
@@ -86,6 +89,29 @@ def test_maps_follow_the_report_order_and_end_with_own_rules(spark):
     assert json.loads(text)["year_only"] == ["1998"]
 
 
+def test_packed_order_sorts_like_the_tuple(spark):
+    top = 2**63 - 1
+    parts = [(s, i, p) for s in (0, 7) for i in (-top, -5, 0, 3, top) for p in (0, 1, 2**31 - 1)]
+    rows = spark.createDataFrame(parts, "s int, i bigint, p int").filter("s = 0 OR i >= 0")
+    packed = packed_order((F.col("i"), 19), (F.col("s"), 1), (F.col("p"), 10))
+    got = [tuple(r)[:3] for r in rows.withColumn("o", packed).orderBy("o").collect()]
+    assert got == sorted(got, key=lambda r: (r[1], r[0], r[2]))
+    with pytest.raises(ValueError, match="don't fit"):
+        packed_order((F.col("a"), 19), (F.col("b"), 20))
+
+
+@pytest.mark.parametrize("kind, plan_has", [("bigint", "SortAggregate"), ("string", "HashAggregate(")])
+def test_mention_order_keeps_a_hash_aggregate_for_integer_keys(spark, kind, plan_has):
+    rows = spark.createDataFrame(
+        [("2", "content", 0, 1, "loc", "b"), ("2", "title", 9, 10, "loc", "a"), ("10", "title", 0, 1, "loc", "c")],
+        "doc_id string, field string, start_char int, end_char int, context string, entity string",
+    ).withColumn("doc_id", F.col("doc_id").cast(kind))
+    made = ledger(rows.repartition(2), mention_order(rows, ["doc_id"]))
+    assert plan_has not in made._jdf.queryExecution().executedPlan().toString()
+    first = [r.entity for r in made.orderBy("first_seen").collect()]
+    assert first == (["a", "b", "c"] if kind == "bigint" else ["c", "a", "b"])
+
+
 def test_one_hot_entity_is_combined_before_the_shuffle(spark):
     rows = frame(spark, [("loc", "ایران")] * 3000 + ROWS).repartition(4)
     plan = ledger(rows, F.col("n"))._jdf.queryExecution().executedPlan().toString()
