@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nomenroll import constants as K
@@ -14,7 +14,7 @@ from nomenroll.functions.spans import no_spans
 from nomenroll.operators.corpus import clean_text, fields_of
 from nomenroll.operators.gazetteer import Gazetteer, attach_spans, gazetteer_spans
 from nomenroll.operators.mentions import dropped_types, explode_spans, mentions_of
-from nomenroll.sources.inventory import write_inventory
+from nomenroll.sources.inventory import read_inventory, write_inventory
 
 Annotator = Callable[[Column], Column]
 
@@ -77,6 +77,7 @@ def run_extraction(
     config: NormalizeConfig = NormalizeConfig(),
     aliases: Mapping[str, str] | None = None,
     generated_at: str | None = None,
+    compact: bool = False,
 ) -> DataFrame:
     """Write ``processed``, ``inventory`` and a row of ``runs`` below ``out_dir``; return that row.
 
@@ -84,18 +85,17 @@ def run_extraction(
     costly step, runs once, and a lost executor only repeats its own tasks.
     """
     spark = annotated.sparkSession
-    rows_in = Observation("rows_in")
-    annotated.observe(rows_in, F.count("*").alias("rows")).write.mode("overwrite").parquet(f"{out_dir}/processed")
+    annotated.write.mode("overwrite").parquet(f"{out_dir}/processed")
     processed = spark.read.schema(annotated.schema).parquet(f"{out_dir}/processed")
+    inventory = inventory_of(processed, key, aliases)
+    write_inventory(inventory, f"{out_dir}/inventory", compact=compact)
 
-    per_class = Observation("mentions")
-    counts = [F.count_if(F.col("entity_class") == c).alias(c) for c in K.ENTITY_CLASSES]
-    write_inventory(inventory_of(processed, key, aliases).observe(per_class, *counts), f"{out_dir}/inventory")
-
+    # Counted from what was committed. Counters kept while writing could count a repeated task twice.
+    written = read_inventory(spark, f"{out_dir}/inventory", inventory.schema).groupBy("entity_class").count()
     spans = explode_spans(processed, key, span_columns(processed))
     metrics = run_metrics(
-        rows=rows_in.get["rows"],
-        mentions=per_class.get,
+        rows=processed.count(),
+        mentions={**dict.fromkeys(K.ENTITY_CLASSES, 0), **{r.entity_class: r["count"] for r in written.collect()}},
         dropped=dropped_types(spans, aliases),
         text_field="+".join(span_columns(annotated)),
         options={**(options or {}), **{k: str(v) for k, v in asdict(config).items()}},

@@ -35,6 +35,7 @@ def run_quality(
     k_top: int = K.TOP_ENTITIES,
     raw_copy: bool = False,
     generated_at: str | None = None,
+    compact: bool = False,
 ) -> DataFrame:
     """Split ``rows`` (``context``, ``entity``, ...) below ``out_dir`` and write the report tables.
 
@@ -43,7 +44,7 @@ def run_quality(
     """
     spark = rows.sparkSession
     checked = with_rules(rows, settings=settings, rules=rules)
-    write_split(checked, f"{out_dir}/split")
+    write_split(checked, f"{out_dir}/split", compact)
     if raw_copy:
         write_raw_copy(checked, f"{out_dir}/raw")
 

@@ -1,7 +1,10 @@
 """Inventories and quality splits on disk.
 
 Tables are written by the tasks that hold the rows, partitioned by directory only. There is no
-shuffle by class before: six keys would make six tasks, one of them with half of the data.
+shuffle by class before: six keys would make six tasks, one of them with half of the data. Very many
+tasks leave very many small files, though. ``compact=True`` has the rows rebalanced first: adaptive
+execution then forms write tasks of the advisory partition size, splitting large classes and joining
+small pieces.
 """
 
 from __future__ import annotations
@@ -31,8 +34,12 @@ def context_of_class(entity_class: Column) -> Column:
     return name
 
 
-def write_inventory(inventory: DataFrame, path: str, file_format: str = "parquet") -> None:
-    writer = inventory.write.mode("overwrite").partitionBy("entity_class")
+def _sized(rows: DataFrame, compact: bool, *columns: str) -> DataFrame:
+    return rows.hint("rebalance", *[F.col(c) for c in columns]) if compact else rows
+
+
+def write_inventory(inventory: DataFrame, path: str, file_format: str = "parquet", compact: bool = False) -> None:
+    writer = _sized(inventory, compact, "entity_class").write.mode("overwrite").partitionBy("entity_class")
     if file_format == "csv":
         writer = writer.options(
             header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
@@ -81,19 +88,22 @@ def read_class_files(
     return result
 
 
-def write_split(checked: DataFrame, path: str) -> None:
+def write_split(checked: DataFrame, path: str, compact: bool = False) -> None:
     """Clean and flagged rows in one pass: ``split=clean`` and ``split=flagged`` below each context."""
     split = F.when(F.col("_qc_flag"), "flagged").otherwise("clean")
-    checked.withColumn("split", split).drop("_qc_flag").write.mode("overwrite").partitionBy("context", "split").parquet(
-        path
-    )
+    rows = _sized(checked.withColumn("split", split).drop("_qc_flag"), compact, "context", "split")
+    rows.write.mode("overwrite").partitionBy("context", "split").parquet(path)
 
 
-def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
-    """One side of ``write_split``; only its directories are read."""
+def read_split(spark: SparkSession, path: str, split: str, schema: T.StructType | None = None) -> DataFrame:
+    """One side of ``write_split``; only its directories are read.
+
+    A split without any row has no files to learn a schema from; give ``schema`` where that may be.
+    """
     if split not in ("clean", "flagged"):
         raise ValueError(f"split is clean or flagged, not {split!r}")
-    rows = spark.read.parquet(path).filter(F.col("split") == split).drop("split")
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    rows = reader.parquet(path).filter(F.col("split") == split).drop("split")
     return rows.drop("_qc_rules", "_qc_first_rule") if split == "clean" else rows
 
 

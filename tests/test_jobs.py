@@ -156,6 +156,25 @@ def test_inventory_files(spark, path, file_format):
     assert "PartitionFilters: [isnotnull(entity_class" in part
 
 
+def test_compact_writes_few_files_and_the_same_rows(spark, path):
+    rows = spark.range(4000).repartition(16).select(
+        F.when(F.col("id") % 3 == 0, "PER").otherwise("LOC").alias("entity_class"),
+        F.concat(F.lit("e"), "id").alias("entity"),
+        F.lit("pers").alias("context"),
+    )
+    for compact in (False, True):
+        I.write_inventory(rows.drop("context"), f"{path}/i{compact}", compact=compact)
+        I.write_split(with_rules(rows), f"{path}/s{compact}", compact)
+
+    def files(name):
+        return sum(f.endswith(".parquet") for _, _, fs in os.walk(f"{path}/{name}") for f in fs)
+
+    assert (files("iFalse"), files("iTrue")) == (32, 2) and files("sTrue") < files("sFalse")
+    for table in "is":
+        a, b = (spark.read.parquet(f"{path}/{table}{c}") for c in (False, True))
+        assert a.count() == 4000 and a.exceptAll(b).isEmpty()
+
+
 def plain(batch):
     return annotate_fields(batch, ["doc_id"], PATTERN, "content", NormalizeConfig())
 
@@ -223,3 +242,9 @@ def test_shared_dir_needs_a_setting_on_a_cluster(spark):
 def test_class_contexts(spark):
     frame = spark.createDataFrame([(c, "x") for c in K.ENTITY_CLASSES], "entity_class string, entity string")
     assert {r.entity_class: r.context for r in with_context(frame).collect()} == K.INVENTORY_NAMES
+
+
+def test_extraction_without_any_mention(spark, path):
+    nothing = contract(spark).filter("doc_id = 3").withColumn("title", F.lit(""))
+    metrics = run_extraction(annotate_fields(nothing, ["doc_id"], PATTERN), ["doc_id"], path).first()
+    assert (metrics.rows_in, set(metrics.mentions.values()), metrics.dropped_types) == (1, {0}, {})
