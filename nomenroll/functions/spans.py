@@ -98,22 +98,20 @@ def pattern_spans(text: Column, pattern: str, kind: str) -> Column:
 
     The pattern must not match empty text, else gaps and matches don't pair up.
     """
-    found = F.struct(
-        F.split(text, pattern, -1).alias("gaps"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("matches"),
-    )
 
-    def spans(f: Column) -> Column:
+    def spans(matches: Column) -> Column:
         # one gap more than matches
         steps = F.zip_with(
-            f["gaps"], f["matches"], lambda gap, m: F.char_length(gap) + F.coalesce(F.char_length(m), F.lit(0))
-        )
-        ends = F.slice(running_sums(steps), F.lit(1), F.size(f["matches"]))
-        return F.zip_with(
-            f["matches"], ends, lambda m, end: span(m, F.lit(kind), end - F.char_length(m), end)
+            F.split(text, pattern, -1),
+            matches,
+            lambda gap, m: F.char_length(gap) + F.coalesce(F.char_length(m), F.lit(0)),
         )
+        ends = F.slice(running_sums(steps), F.lit(1), F.size(matches))
+        found = F.zip_with(matches, ends, lambda m, end: span(m, F.lit(kind), end - F.char_length(m), end))
+        # the text is only split where there is something to place
+        return F.when(F.size(matches) > 0, found).otherwise(no_spans())
 
-    return let(found, spans)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def entities_json(spans: Column) -> Column:

@@ -19,30 +19,27 @@ def pattern_annotator(patterns: Mapping[str, str]) -> Callable[[Column], Column]
 
     Matches of different types may overlap; each type is matched on its own.
     """
-    ranks = {kind: rank for rank, kind in enumerate(patterns)}
+
+    def keyed(text: Column, kind: str, rank: int) -> Column:
+        # the sort compares these fields in order; a comparator of its own would be far slower
+        return F.transform(
+            pattern_spans(text, patterns[kind], kind),
+            lambda s: F.struct(
+                s["start_char"].alias("start"), (-s["end_char"]).alias("back"), F.lit(rank).alias("rank"), s.alias("span")
+            ),
+        )
 
     def annotate(text: Column) -> Column:
-        per_type = [pattern_spans(text, pattern, kind) for kind, pattern in patterns.items()]
-        if len(per_type) == 1:
-            return F.coalesce(per_type[0], no_spans())
-        return F.coalesce(F.array_sort(F.concat(*per_type), lambda a, b: _by_position(a, b, ranks)), no_spans())
+        if len(patterns) == 1:
+            ((kind, pattern),) = patterns.items()
+            return F.coalesce(pattern_spans(text, pattern, kind), no_spans())
+        per_type = [keyed(text, kind, rank) for rank, kind in enumerate(patterns)]
+        in_order = F.array_sort(F.concat(*per_type))
+        return F.coalesce(F.transform(in_order, lambda k: k["span"]), no_spans())
 
     return annotate
 
 
-def _by_position(a: Column, b: Column, ranks: Mapping[str, int]) -> Column:
-    def rank(s: Column) -> Column:
-        chosen = F.lit(len(ranks))
-        for kind, position in ranks.items():
-            chosen = F.when(s["type"] == kind, position).otherwise(chosen)
-        return chosen
-
-    def order(s: Column) -> Column:
-        return F.struct(s["start_char"], -s["end_char"], rank(s))
-
-    return F.when(order(a) < order(b), -1).when(order(a) > order(b), 1).otherwise(0)
-
-
 def model_annotator(factory: Callable[[], Model]) -> Callable[[Column], Column]:
     """Annotate with any per-text model; ``factory`` builds it once per task.
 
