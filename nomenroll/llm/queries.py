@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nomenroll.llm import bpe, url_filters
+from nomenroll.llm import bpe, embedding_dedup, packing, url_filters
 from nomenroll.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,11 @@ URL_RULES = [
 ]
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2048 tokens."""
+    return packing.pack(packing.token_pieces(read(spark, sf_dir, "documents"), TOKENIZER))
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL under the rules."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
@@ -34,7 +39,14 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_packing": op4_packing,
     "op5_url_filters": op5_url_filters,
     "op7_bpe": op7_bpe,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
