@@ -24,4 +24,30 @@ ORACLES: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, coalesce(action, 'allow') AS verdict FROM fits WHERE n = 1
     """,
+    "op6_line_dedup": """
+        WITH cut AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        placed AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM cut),
+        filled AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13)) AS line FROM placed WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+        wins AS (
+            SELECT * FROM (
+                SELECT doc_id, i AS first, lead(i, 2) OVER w AS last, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c
+                FROM filled WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+            ) WHERE last IS NOT NULL
+        ),
+        later AS (
+            SELECT doc_id, first, last FROM (
+                SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, first) AS n FROM wins
+            ) WHERE n > 1
+        ),
+        covered AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) AS i FROM later),
+        marked AS (SELECT p.doc_id, p.i, p.line, c.i IS NOT NULL AS gone FROM placed p LEFT JOIN covered c ON p.doc_id = c.doc_id AND p.i = c.i),
+        merged AS (
+            SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed,
+                   coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text
+            FROM marked GROUP BY doc_id
+        )
+        SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN m.text END AS text,
+               coalesce(m.n_lines, 0) AS n_lines, coalesce(m.n_removed, 0) AS n_removed
+        FROM documents d LEFT JOIN merged m USING (doc_id)
+    """,
 }
