@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nomenroll.llm import bpe, embedding_dedup, line_dedup, packing, url_filters
+from nomenroll.llm import bpe, embedding_dedup, line_dedup, packing, quality, url_filters
 from nomenroll.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -44,6 +44,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score."""
+    return quality.classify(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.9."""
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
@@ -54,5 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filters": op5_url_filters,
     "op6_line_dedup": op6_line_dedup,
     "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
 }
