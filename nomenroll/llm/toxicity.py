@@ -1,7 +1,7 @@
 """Toxicity: averaged subword vectors and a linear softmax, trained jointly in numpy.
 
 A word is the bag of hashed byte n-grams of ``<word>``; a segment of up to ``SEGMENT`` words is the mean of its
-words' vectors, and a softmax of two classes reads it. Vectors and softmax are trained together on a bounded sample
+distinct words' vectors, and a softmax of two classes reads it. Vectors and softmax are trained together on a bounded sample
 of segments of labelled documents (``SAMPLE`` for each class, those with the smallest hashes; documented bound). A
 misspelling shares most n-grams, hence vectors, with the word it hides. A document's raw score is the largest of its
 segments, so that long texts don't dilute it, and every word of every text counts. A logistic curve fitted on
@@ -26,15 +26,20 @@ from pyspark.sql.types import DoubleType, StructType
 from nomenroll.llm.calibration import Logistic, histogram
 from nomenroll.llm.common import remainder, slices, written
 
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6)
 BUCKETS = 1 << 18
-DIMENSION = 8
+DIMENSION = 4
 SEGMENT = 192
+#: Neutral words that each segment is thought to hold besides its own, so that one word doesn't decide a short text.
+NEUTRAL = 40
+#: Words that matter are about a hundredth of a segment.
+SCALE = 100
+RATE, DECAY = 0.1, 1e-4
 #: Segments of each class that may teach vectors.
 SAMPLE = 4000
-EPOCHS = 40
+EPOCHS = 30
 #: A bucket must occur in so many segments of the sample to get a vector of its own.
-LEAST = 4
+LEAST = 12
 REJECT = 0.7
 MEMO_WORDS = 600_000
 
@@ -62,17 +67,6 @@ def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
-def segment_bags(text: str | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Buckets and weights of each segment: each word weighs 1 / words, each of its n-grams an equal part."""
-    words = words_of(text)
-    for begin in range(0, len(words), SEGMENT):
-        part = words[begin : begin + SEGMENT]
-        buckets, owners = ngrams(part)
-        weight = (1 / np.bincount(owners, minlength=len(part)) / len(part))[owners]
-        distinct, inverse = np.unique(buckets, return_inverse=True)
-        yield distinct, np.bincount(inverse, weights=weight)
-
-
 @dataclass
 class Toxicity:
     """Logit of a segment = bias + mean over its words of the mean of ``values[bucket]``, which is what vectors and
@@ -95,56 +89,66 @@ class Toxicity:
         return np.fromiter(map(memo.__getitem__, words), dtype=np.float64, count=len(words))
 
     def raw(self, texts: list[str | None]) -> np.ndarray:
-        bags = [words_of(x) for x in texts]
-        values = self.word_values([w for bag in bags for w in bag])
-        result, at = np.full(len(texts), self.bias), 0
-        for i, bag in enumerate(bags):
-            if n := len(bag):
-                starts = np.arange(0, n, SEGMENT)
-                sums = np.add.reduceat(values[at : at + n], starts)
-                counts = np.diff(np.append(starts, n))
-                # a short last piece of a longer text counts as a part of a whole segment
-                result[i] = self.bias + (sums / (np.maximum(counts, SEGMENT) if n > SEGMENT else counts)).max()
-                at += n
+        parts = [[list(dict.fromkeys(w[k : k + SEGMENT])) for k in range(0, len(w), SEGMENT)] for w in map(words_of, texts)]
+        flat = [part for text in parts for part in text]
+        result = np.full(len(texts), self.bias)
+        if flat:
+            sizes = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
+            values = self.word_values([w for part in flat for w in part])
+            sums = np.add.reduceat(values, np.cumsum(sizes) - sizes) / (sizes + NEUTRAL)
+            owner = np.repeat(np.arange(len(texts)), [len(text) for text in parts])
+            best = np.full(len(texts), -np.inf)
+            np.maximum.at(best, owner, sums)
+            result = np.where(np.isfinite(best), self.bias + best, result)
         return result
 
     def __getstate__(self) -> dict:
         return {"values": self.values, "bias": self.bias, "calibration": self.calibration, "_memo": {}}
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 10) -> Toxicity:
-    """Adam on vectors and softmax together, with all segments of the sample in each step."""
+def train(segments: list[list[bytes]], labels: np.ndarray, seed: int = 10) -> Toxicity:
+    """Adam on vectors and softmax together, with all segments of the sample in each step and equal classes."""
     rng = np.random.default_rng(seed)
-    rows = np.repeat(np.arange(len(bags)), [len(b) for b, _ in bags])
-    buckets, weights = np.concatenate([b for b, _ in bags]), np.concatenate([w for _, w in bags])
-    common = np.bincount(buckets, minlength=BUCKETS)[buckets] >= LEAST
-    rows, weights = rows[common], weights[common]
-    used, at = np.unique(buckets[common], return_inverse=True)
-    by_bucket = np.argsort(at, kind="stable")
-    bucket_starts = np.searchsorted(at[by_bucket], np.arange(len(used)))
-    row_starts = np.searchsorted(rows, np.arange(len(bags)))
-    empty = np.bincount(rows, minlength=len(bags)) == 0
-    row_starts = np.minimum(row_starts, max(0, len(rows) - 1))
+    number: dict[bytes, int] = {}
+    at = np.array([number.setdefault(w, len(number)) for part in segments for w in part], dtype=np.int64)
+    sizes = np.array([len(part) for part in segments])
+    starts, word_rows = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(segments)), sizes)
+    buckets, owners = ngrams(list(number))
+    order = np.lexsort((buckets, owners))
+    buckets, owners = buckets[order], owners[order]
+    share = 1 / np.maximum(1, np.bincount(owners, minlength=len(number)))
+    seen = np.bincount(buckets, weights=np.bincount(at)[owners], minlength=BUCKETS)
+    common = seen[buckets] >= LEAST
+    buckets, owners = buckets[common], owners[common]
+    used, index = np.unique(buckets, return_inverse=True)
+    holders, word_starts = np.unique(owners, return_index=True)
+    by_bucket, by_word = np.argsort(index, kind="stable"), np.argsort(at, kind="stable")
+    bucket_starts = np.searchsorted(index[by_bucket], np.arange(len(used)))
+    at_starts = np.searchsorted(at[by_word], np.arange(len(number)))
     vectors = rng.normal(0, 0.1, (len(used), DIMENSION)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.5, (DIMENSION, 2)).astype(np.float32), np.zeros(2, np.float32)
-    weights = weights.astype(np.float32)
+    scale = (SCALE / (sizes + NEUTRAL)).astype(np.float32)[:, None]
+    share = share.astype(np.float32)[:, None]
     target = np.stack([1 - labels, labels], axis=1).astype(np.float32)
+    weight = np.where(labels > 0, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())).astype(np.float32)[:, None]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
+    words = np.zeros((len(number), DIMENSION), np.float32)
     for step in range(1, EPOCHS + 1):
-        mean = np.add.reduceat(vectors[at] * weights[:, None], row_starts, axis=0) if len(rows) else np.zeros((len(bags), DIMENSION), np.float32)
-        mean[empty] = 0
-        mean *= 100  # words that matter are about a hundredth of a segment
+        words[holders] = np.add.reduceat(vectors[index], word_starts, axis=0)
+        mean = np.add.reduceat((words * share)[at], starts, axis=0) * scale
         logits = mean @ softmax + bias
         p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        error = (p / p.sum(axis=1, keepdims=True) - target) / len(bags)
-        back = 100 * (error @ softmax.T)
-        gradient = np.add.reduceat((back[rows] * weights[:, None])[by_bucket], bucket_starts, axis=0) if len(used) else vectors
-        for (m, v), p_, g, rate in zip(moments, (vectors, softmax, bias), (gradient + 1e-6 * vectors, mean.T @ error + 1e-4 * softmax, error.sum(axis=0)), (0.05, 0.05, 0.05)):
+        error = (p / p.sum(axis=1, keepdims=True) - target) * weight
+        back = (error @ softmax.T) * scale
+        word_gradient = np.add.reduceat(back[word_rows[by_word]], at_starts, axis=0) * share
+        gradient = np.add.reduceat(word_gradient[owners[by_bucket]], bucket_starts, axis=0)
+        gradients = (gradient + DECAY * vectors, mean.T @ error + DECAY * softmax, error.sum(axis=0))
+        for (m, v), weights, g in zip(moments, (vectors, softmax, bias), gradients):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            p_ -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+            weights -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     values = np.zeros(BUCKETS, dtype=np.float32)
-    values[used] = 100 * vectors @ (softmax[:, 1] - softmax[:, 0])
+    values[used] = SCALE * vectors @ (softmax[:, 1] - softmax[:, 0])
     return Toxicity(values, float(bias[1] - bias[0]))
 
 
@@ -160,20 +164,19 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Segments of documents that may teach, as texts."""
         for batch in slices(batches):
-            rows = [(i, y, k // SEGMENT, " ".join(w[k : k + SEGMENT])) for i, y, t in zip(*(batch.column(c).to_pylist() for c in ("__id", "y", "text"))) for w in [(t or "").split()] for k in range(0, len(w), SEGMENT)]
+            rows = [(i, y, k // SEGMENT, " ".join(w[k : k + SEGMENT])) for i, y, t in zip(*(batch.column(c).to_pylist() for c in ("__id", "y", "text"))) for w in [(t or "").lower().split()] for k in range(0, len(w), SEGMENT)]
             columns = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["id", "y", "k", "segment"])
 
     segments = written(labelled.filter("part < 3").select("__id", "y", "text").mapInArrow(cut, "id long, y int, k int, segment string"), "segments")
-    bags, ys = [], []
+    parts, ys = [], []
     for y in (0, 1):
         chosen = segments.filter(F.col("y") == y).orderBy(F.xxhash64("id", "k"), "id", "k").limit(sample)
         for row in chosen.select("segment").toLocalIterator():
-            bags.extend(segment_bags(row["segment"]))
+            parts.append(list(dict.fromkeys(words_of(row["segment"]))))
             ys.append(y)
-    y = np.array(ys[: len(bags)], dtype=np.float64)
     both = len(set(ys)) == 2
-    model = train(bags, y) if both else Toxicity(np.zeros(BUCKETS, np.float32), 0.0)
+    model = train(parts, np.array(ys, dtype=np.float64)) if both else Toxicity(np.zeros(BUCKETS, np.float32), 0.0)
     rest = scored(labelled.filter("part = 3") if both else labelled, model.raw, "s", ["y"])
     model.calibration = Logistic(histogram(rest, "s", "y", -40.0, 40.0))
     return model
