@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nomenroll.llm import bpe, embedding_dedup, fingerprints, line_dedup, packing, quality, toxicity, url_filters
+from nomenroll.llm import bpe, embedding_dedup, fingerprints, line_dedup, ngram_join, packing, quality, toxicity, url_filters
 from nomenroll.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,6 +22,11 @@ URL_RULES = [
 ]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents at a Jaccard similarity of 0.85 of 4-word shingles."""
+    return ngram_join.similar_sets(read(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint beside those of its edited text and of the next document."""
     return fingerprints.with_edits(read(spark, sf_dir, "documents"))
@@ -65,6 +70,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op3_fingerprints": op3_fingerprints,
     "op4_packing": op4_packing,
     "op5_url_filters": op5_url_filters,
