@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nomenroll.llm import bpe, embedding_dedup, fingerprints, line_dedup, ngram_join, packing, quality, toxicity, url_filters
+from nomenroll.llm import bpe, embedding_dedup, fingerprints, line_dedup, maxent_lm, ngram_join, packing, quality, toxicity, url_filters
 from nomenroll.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_sets(read(spark, sf_dir, "documents"))
 
 
+def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under the model and under the unigram base."""
+    return maxent_lm.scores(read(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint beside those of its edited text and of the next document."""
     return fingerprints.with_edits(read(spark, sf_dir, "documents"))
@@ -71,6 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op2_maxent_lm": op2_maxent_lm,
     "op3_fingerprints": op3_fingerprints,
     "op4_packing": op4_packing,
     "op5_url_filters": op5_url_filters,
