@@ -330,7 +330,7 @@ def train(texts: DataFrame, counts: DataFrame, head: Head) -> MaxEnt:
     plain = unigram / by_class[classes]
     totals = grid @ member.T.astype(np.float64)  # class before x class
     unit_logs = np.log(np.maximum((grid + 50 * plain) / (totals[:, classes] + 50), 1e-300)).astype(np.float32)
-    prior = by_class / by_class.sum()
+    prior = np.maximum(by_class, 1e-9 * by_class.sum()) / by_class.sum()  # a class that got no units is all but impossible
     weights = np.zeros((FEATURES, CLASSES), dtype=np.float32)
     for kind in range(4):
         seen = table[pairs + kind * sizes : pairs + (kind + 1) * sizes].reshape(FEATURES, CLASSES)
