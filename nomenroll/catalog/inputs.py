@@ -57,7 +57,6 @@ WORD_SWAPS = (
 )
 CONTEXTS = ("pers", "loc", "org", "fac", "pro", "event")
 YEAR_DIGITS = ("0123456789", "۰۱۲۳۴۵۶۷۸۹")
-GAZETTEER_SIZE = 600
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -144,23 +143,13 @@ def candidate_order() -> Column:
     return packed_order((F.col("src"), 1), (F.col("id"), 19), (F.col("pos"), 10))
 
 
-def document_gazetteer(spark: SparkSession, sf_dir: str) -> Gazetteer:
-    """The most frequent capitalised words and word pairs, typed by the classes in turn."""
+def document_gazetteer(spark: SparkSession, sf_dir: str, broadcast_bytes: int | None = None) -> Gazetteer:
+    """All capitalised words and word pairs, typed by their length."""
     surfaces = F.concat(
         F.regexp_extract_all("text", F.lit(CAPITALIZED), F.lit(0)),
         F.regexp_extract_all("text", F.lit(f"{CAPITALIZED} [a-zß-öø-ÿ]+"), F.lit(0)),
     )
-    ranked = (
-        spaced_documents(spark, sf_dir)
-        .select(F.explode(surfaces).alias("surface"))
-        .groupBy("surface")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "surface")
-        .limit(GAZETTEER_SIZE)
-        .agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "surface"))).alias("ranked"))
-        .select(F.posexplode("ranked").alias("rank", "r"))
-    )
     kinds = F.array(*[F.lit(k) for k in ("PER", "LOC", "ORG", "FAC", "PRO", "EVENT")])
-    return build_gazetteer(
-        ranked.select(F.col("r.surface").alias("surface"), F.element_at(kinds, F.col("rank") % 6 + 1).alias("type"))
-    )
+    found = spaced_documents(spark, sf_dir).select(F.explode(surfaces).alias("surface")).distinct()
+    typed = found.select("surface", F.element_at(kinds, F.char_length("surface") % 6 + 1).alias("type"))
+    return build_gazetteer(typed, broadcast_bytes=broadcast_bytes)

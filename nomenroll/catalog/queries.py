@@ -137,6 +137,13 @@ def strip_html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table(spark, sf_dir, "pages").select("page_id", strip_html(F.col("html")).alias("text"))
 
 
+@query
+def strip_html_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without their last ``>``, and with many tags left open behind."""
+    broken = F.concat(F.regexp_replace("html", r">[^>]*\z", ""), F.repeat(F.lit("<a 0"), F.lit(50)))
+    return I.table(spark, sf_dir, "pages").select("page_id", strip_html(broken).alias("text"))
+
+
 @query
 def normalize_fa_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.persian_documents(spark, sf_dir).select("doc_id", normalize_fa(F.col("text")).alias("text"))
@@ -209,6 +216,13 @@ def matches_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def matches_gazetteer_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same matches by a shuffled join, as for a gazetteer too large to broadcast."""
+    book = I.document_gazetteer(spark, sf_dir, broadcast_bytes=0)
+    return gazetteer_matches(I.spaced_documents(spark, sf_dir), ["doc_id"], "text", book)
+
+
 @query
 def mentions_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gazetteer matches, leftmost and then longest where they overlap."""

@@ -37,12 +37,12 @@ def ws(text: str) -> str:
 
 
 def html(text: str) -> str:
-    hidden = "|".join(rf"{t}(?:[\s/][^>]*)?>.*?(?:</{t}[^>]*>|\z)" for t in ("script", "style", "template"))
+    hidden = "|".join(rf"{t}(?:[\s/][^>]*)?>.*?(?:</{t}[^>]*(?:>|\z)|\z)" for t in ("script", "style", "template"))
     markup = (
-        rf"(?is)<(?:!--.*?(?:-->|\z)|{hidden}|(?:rt|rp)(?:[\s/][^>]*)?>[^<]*|!\[CDATA\[(.*?)\]\]>|[!?/][^>]*>"
-        r"""|[a-z](?:[^>=]|=\s*(?:"[^"]*"|'[^']*')?)*>)"""
+        rf"(?is)<(?:!--.*?(?:-->|\z)|{hidden}|(?:rt|rp)(?:[\s/][^>]*)?>.*?(?:</(?:rt|rp)[^>]*(?:>|\z)|\z)|!\[CDATA\[(.*?)(?:\]\]>|\z)|[!?/][^>]*>"
+        r"""|[a-z](?:[^>=]|=\s*(?:"[^"]*"|'[^']*')?)*>)|(<[a-z!?/].*\z)"""
     )
-    out = sub(f"coalesce({text}, '')", markup, r"\1")
+    out = sub(f"coalesce({text}, '')", markup, r"\1\2")
     for name, char in (
         ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "),
         ("&amp;", "&"),
@@ -132,10 +132,8 @@ JSON_SPANS = (
 GAZETTEER = (
     f"docs AS ({DOCS}), surfaces AS (SELECT unnest(regexp_extract_all(text, {quoted(I.CAPITALIZED)})) AS surface FROM "
     f"docs UNION ALL SELECT unnest(regexp_extract_all(text, {quoted(I.CAPITALIZED + ' [a-zß-öø-ÿ]+')})) FROM docs), "
-    f"best AS (SELECT surface, count(*) AS n FROM surfaces GROUP BY surface ORDER BY n DESC, surface "
-    f"LIMIT {I.GAZETTEER_SIZE}), "
-    "gazetteer AS (SELECT surface, ['PER','LOC','ORG','FAC','PRO','EVENT']"
-    "[(row_number() OVER (ORDER BY n DESC, surface) - 1) % 6 + 1] AS type FROM best), "
+    "gazetteer AS (SELECT DISTINCT surface, ['PER','LOC','ORG','FAC','PRO','EVENT'][length(surface) % 6 + 1] AS type "
+    "FROM surfaces), "
     "words AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word, "
     "unnest(range(0, len(string_split(text, ' ')))) AS i FROM docs WHERE text <> ''), "
     "placed AS (SELECT doc_id, word, lead(word) OVER w AS after, coalesce(sum(length(word) + 1) OVER "
@@ -368,6 +366,9 @@ ORACLES: dict[str, str] = {
     "corpus_csv_roundtrip": "SELECT url AS title, html AS content, url AS link FROM pages",
     "normalize_ws": DOCS,
     "strip_html_pages": f"SELECT page_id, {html('html')} AS text FROM pages",
+    "strip_html_broken": "SELECT page_id, "
+    + html(r"regexp_replace(html, '>[^>]*\z', '') || repeat('<a 0', 50)")
+    + " AS text FROM pages",
     "normalize_fa_default": f"SELECT doc_id, {fa(persian('text', 'n_chars'))} AS text FROM documents",
     "normalize_fa_letters_only": (
         "SELECT doc_id, "
@@ -400,6 +401,7 @@ ORACLES: dict[str, str] = {
         + f", {inventory()} SELECT * FROM inventory"
     ),
     "matches_gazetteer": f"WITH RECURSIVE {GAZETTEER} SELECT doc_id, text, type, start_char, end_char FROM matches",
+    "matches_gazetteer_joined": f"WITH RECURSIVE {GAZETTEER} SELECT doc_id, text, type, start_char, end_char FROM matches",
     "mentions_gazetteer": f"WITH RECURSIVE {GAZETTEER} SELECT doc_id, text, type, start_char, end_char FROM kept",
     "processed_gazetteer": (
         f"WITH RECURSIVE {GAZETTEER}, arrays AS (SELECT doc_id, CAST(to_json(list({{'text': text, 'type': type, "

@@ -5,7 +5,8 @@ One left-to-right pass removes all markup: because the alternatives compete at e
 is put where a tag was. Character references are then decoded once, so ``&amp;lt;`` gives ``&lt;``.
 
 Well-formed markup gives what a parser gives. For broken markup: an unclosed comment, script, style
-or template runs to the end; a ``<`` that opens no tag stays text; an unclosed tag stays text.
+template, CDATA section or ruby text runs to the end; a ``<`` that opens no tag stays text; from an unclosed tag on,
+everything stays text.
 """
 
 from __future__ import annotations
@@ -17,19 +18,21 @@ from pyspark.sql import functions as F
 
 
 def _hidden(element: str) -> str:
-    return rf"{element}(?:[\s/][^>]*)?>.*?(?:</{element}[^>]*>|\z)"
+    return rf"{element}(?:[\s/][^>]*+)?>.*?(?:</{element}[^>]*+(?:>|\z)|\z)"
 
 
-# Everything that is not text. CDATA is: its content is the only group.
+# Everything that is not text. CDATA is: its content is the first group. Each alternative that looks for its end runs to
+# the end of the text if there is none; what is left open there is text again, as the second group. So no part of a
+# text is searched again and again, however broken it is.
 MARKUP = (
     r"(?is)<(?:"
     r"!--.*?(?:-->|\z)"
     rf"|{_hidden('script')}|{_hidden('style')}|{_hidden('template')}"
-    r"|(?:rt|rp)(?:[\s/][^>]*)?>[^<]*"
-    r"|!\[CDATA\[(.*?)\]\]>"
-    r"|[!?/][^>]*>"
+    r"|(?:rt|rp)(?:[\s/][^>]*+)?>.*?(?:</(?:rt|rp)[^>]*+(?:>|\z)|(?=<(?:rt|rp)[\s/>])|(?=</ruby)|\z)"
+    r"|!\[CDATA\[(.*?)(?:\]\]>|\z)"
+    r"|[!?/][^>]*+>"
     r"|[a-z](?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>"
-    r")"
+    r")|(<[a-z!?/].*\z)"
 )
 
 REFERENCE = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*);?"
@@ -73,7 +76,7 @@ def _decode_reference(reference: Column) -> Column:
 
 
 def strip_markup(html: Column) -> Column:
-    return F.regexp_replace(html, F.lit(MARKUP), F.lit("$1"))
+    return F.regexp_replace(html, F.lit(MARKUP), F.lit("$1$2"))
 
 
 def decode_references(text: Column) -> Column:

@@ -31,8 +31,8 @@ def last_entry(listed: DataFrame, line: str = "line_no") -> DataFrame:
 def compare_digests(expected: DataFrame, found: DataFrame) -> DataFrame:
     """``path``, ``status`` (missing, extra, mismatch, unreadable, ok), ``expected``, ``found``.
 
-    Both sides have one row per path. A null digest on the found side stands for content that can't
-    be read; it is never ok.
+    A null digest on the found side stands for content that can't be read; it is never ok, and neither is a null
+    digest in the list. A path with different digests on one side is a mismatch, whichever is right.
     """
     sides = expected.select("path", F.col("digest").alias("expected"), F.lit(None).cast("string").alias("found"),
                             F.lit(1).alias("in_list"), F.lit(0).alias("on_disk")).unionByName(
@@ -41,11 +41,14 @@ def compare_digests(expected: DataFrame, found: DataFrame) -> DataFrame:
     merged = sides.groupBy("path").agg(
         F.max("expected").alias("expected"),
         F.max("found").alias("found"),
+        (~F.min("expected").eqNullSafe(F.max("expected")) | ~F.min("found").eqNullSafe(F.max("found"))).alias("torn"),
+        F.count_if((F.col("on_disk") == 1) & F.col("found").isNull()).alias("unreadable"),
         F.max("in_list").alias("in_list"),
         F.max("on_disk").alias("on_disk"),
     )
-    status = F.when((F.col("on_disk") == 1) & F.col("found").isNull(), "unreadable").otherwise(
-        _status(F.col("in_list"), F.col("on_disk"), F.col("expected") != F.col("found"))
+    differs = F.col("torn") | ~F.col("expected").eqNullSafe(F.col("found"))
+    status = F.when(F.col("unreadable") > 0, "unreadable").otherwise(
+        _status(F.col("in_list"), F.col("on_disk"), differs)
     )
     return merged.select("path", status.alias("status"), "expected", "found")
 
@@ -56,12 +59,14 @@ def compare_tables(
     """Key and ``status`` for every key of two snapshots of a table.
 
     Rows are compared by digest, as multisets: a repeated key is ok only if both sides hold the same
-    rows equally often. ``columns`` defaults to all but the key.
+    rows equally often. ``columns`` defaults to all but the key; then a column that only ``found`` has is an error.
     """
     values = list(columns or [c for c in expected.columns if c not in key])
     absent = [c for c in (*key, *values) if c not in found.columns]
     if absent:
         raise ValueError(f"missing column(s) {absent}; available: {found.columns}")
+    if added := [c for c in found.columns if c not in expected.columns and not columns]:
+        raise ValueError(f"column(s) {added} are in the new table only; name the columns to compare")
 
     def side(df: DataFrame, expected_rows: int) -> DataFrame:
         # 32 bytes instead of 64 characters go over the network

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +14,9 @@ SESSION_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
-_local_dirs: dict[str, str] = {}
-
-
-def local_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g") -> SparkSession:
+def local_session(
+    cores: str = "*", shuffle_partitions: int = 8, driver_memory: str = "8g", checkpoint_dir: str | None = None
+) -> SparkSession:
     """A single-machine session for tests and timings; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -27,26 +26,26 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     for name, value in SESSION_DEFAULTS.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
+    """The folder every executor can reach: ``spark.checkpoint.dir`` of the session, else one in its warehouse.
 
-    Only a local master may fall back to a folder of its own, since there driver and executors
-    share one disk. On a cluster a missing setting is an error.
+    A warehouse on a machine's own disk will do for a local master only, where driver and executors share it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    warehouse, master = spark.conf.get("spark.sql.warehouse.dir", None), spark.sparkContext.master
+    one_machine = master == "local" or master.startswith("local[")
+    if not warehouse or (not one_machine and re.match("file:|/", warehouse)):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-    application = spark.sparkContext.applicationId
-    if application not in _local_dirs:
-        _local_dirs[application] = tempfile.mkdtemp(prefix="nomenroll-")
-    return _local_dirs[application]
+    return f"{warehouse.rstrip('/')}/scratch"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

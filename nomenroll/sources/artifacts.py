@@ -8,12 +8,14 @@ here every file counts, and its content streams through the hash block by block.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nomenroll.functions.whitespace import strip
 from nomenroll.session import materialize
 
 BLOCK_BYTES = 1 << 20
@@ -25,8 +27,10 @@ def glob_pattern(glob: str) -> str:
 
     ``*.tmp`` fits at any depth and ``b/*.tmp`` below any parent; ``*`` never crosses a ``/``.
     """
+    if glob.startswith("/"):
+        return r"(?!)"  # paths are relative
     parts = []
-    for part in glob.strip("/").split("/"):
+    for part in glob.rstrip("/").split("/"):
         out = ""
         for token in re.findall(r"\[!?\]?[^\]]*\]|.", part):
             if token == "*":
@@ -34,8 +38,10 @@ def glob_pattern(glob: str) -> str:
             elif token == "?":
                 out += "[^/]"
             elif len(token) > 1:
-                body = token[1:-1].replace("\\", "\\\\")
-                out += "[^/" + body[1:] + "]" if body.startswith("!") else "[" + body + "]"
+                negated = token[1] == "!"
+                # ``!`` alone negates in a glob; what else has a meaning in a Java class is escaped
+                body = re.sub(r"([\\^\[&\]])", r"\\\1", token[2 if negated else 1 : -1])
+                out += f"[^/{body}]" if negated else f"[{body}]"
             else:
                 out += re.escape(token)
         parts.append(out.replace("[^/]*[^/]*", "[^/]*"))
@@ -63,7 +69,9 @@ def _file_system():
 
 def _spread(df: DataFrame) -> DataFrame:
     """One small row stands for much work, so rows are dealt out evenly, not by their size."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * TASKS_PER_CORE)
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism * TASKS_PER_CORE
+    return df.repartition(max(cores, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -137,17 +145,33 @@ def file_digests(
     return _with_digest(files.filter(~F.col("path").isin(*skip)) if skip else files)
 
 
-def named_file_digests(spark: SparkSession, files: Sequence[str]) -> DataFrame:
-    """The named files only, by file name; a missing one is an error before any job starts."""
+def named_file_digests(spark: SparkSession, files: Sequence[str], root: str | None = None) -> DataFrame:
+    """The named files only: by their path below ``root``, which relative names are below of, or else by the name given.
+
+    A missing file and a path that comes twice are errors; tasks ask for the files, not the driver.
+    """
     opened = _file_system()
+    base = root.rstrip("/") + "/" if root else ""
     rows = []
     for name in files:
-        system, inside = opened(name)
-        info = system.get_file_info(inside)
-        if not info.is_file:
-            raise FileNotFoundError(name)
-        rows.append((info.base_name, name, info.size or 0))
-    return _with_digest(spark.createDataFrame(rows, "path string, full string, length bigint"))
+        full = name if not base or name.startswith("/") or re.match(r"\w+:/", name) else base + name
+        if base and not full.startswith(base):
+            raise ValueError(f"{name} is not below {root}")
+        rows.append((full.removeprefix(base) if base else full, full))
+    repeated = sorted(p for p, n in Counter(p for p, _ in rows).items() if n > 1)
+    if repeated:
+        raise ValueError(f"named more than once: {repeated[:20]}")
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            infos = [system.get_file_info(inside) for system, inside in map(opened, batch["full"])]
+            yield batch.assign(length=pd.array([i.size if i.is_file else None for i in infos], dtype="Int64"))
+
+    named = _spread(spark.createDataFrame(rows, "path string, full string"))
+    found = materialize(named.mapInPandas(look, "path string, full string, length bigint"), "named")
+    if absent := found.filter("length IS NULL").select("full").limit(20).collect():
+        raise FileNotFoundError(", ".join(r.full for r in absent))
+    return _with_digest(found)
 
 
 def checksum_lines(digests: DataFrame) -> DataFrame:
@@ -165,15 +189,15 @@ def parse_checksums(lines: DataFrame, value: str = "value", order: Column | None
 
     Blank lines are skipped. The first double space ends the path; a line without one is an error.
     """
-    line = F.btrim(F.col(value))
+    line = strip(F.col(value))
     split_at = F.instr(line, "  ")
     bad = F.raise_error(F.concat(F.lit("no double space in checksum line: "), F.col("line"))).cast("string")
     return (
         lines.select(line.alias("line"), split_at.alias("at"), (F.lit(0) if order is None else order).alias("line_no"))
         .filter(F.col("line") != "")
         .select(
-            F.when(F.col("at") == 0, bad).otherwise(F.btrim(F.substring("line", F.lit(1), F.col("at") - 1))).alias("path"),
-            F.upper(F.btrim(F.substring("line", F.col("at") + 2, F.lit(1 << 30)))).alias("digest"),
+            F.when(F.col("at") == 0, bad).otherwise(strip(F.substring("line", F.lit(1), F.col("at") - 1))).alias("path"),
+            F.upper(strip(F.substring("line", F.col("at") + 2, F.lit(1 << 30)))).alias("digest"),
             "line_no",
         )
     )

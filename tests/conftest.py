@@ -11,8 +11,9 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("4", shuffle_partitions=4, driver_memory="6g")
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = local_session("4", shuffle_partitions=4, driver_memory="6g", checkpoint_dir=shared)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

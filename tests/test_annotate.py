@@ -87,6 +87,30 @@ def test_model_annotator(spark):
     ]
 
 
+def test_batches_and_one_model_per_process(spark, path):
+    import os
+
+    os.makedirs(path)
+
+    def factory():
+        import uuid
+
+        open(f"{path}/{os.getpid()}-{uuid.uuid4()}", "w").close()
+
+        def run(texts):
+            assert 0 < len(texts) <= 3 and all(texts)
+            return [[(t, "PER", 0, len(t))] for t in texts]
+
+        return run
+
+    frame = docs(spark, ["a", None, "bb", "", *["c"] * 20]).repartition(12)
+    annotate = model_annotator(factory, batch_size=3, batched=True)
+    rows = frame.select("text", annotate("text").alias("s")).collect()
+    assert [[s.text for s in r.s] for r in rows] == [[r.text] if r.text else [] for r in rows]
+    processes = [name.split("-")[0] for name in os.listdir(path)]
+    assert len(processes) == len(set(processes)) < 12
+
+
 def test_model_annotator_sends_only_the_text_to_python(spark):
     frame = docs(spark, ["Ada"]).withColumn("other", F.upper("text"))
     plan = frame.select("doc_id", "other", model_annotator(upper_words())("text").alias("s"))

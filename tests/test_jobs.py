@@ -223,18 +223,24 @@ def test_shared_dir_needs_a_setting_on_a_cluster(spark):
         master, applicationId = "spark://host:7077", "x"
 
     class Conf:
-        value = None
+        values = {"spark.sql.warehouse.dir": "file:/w"}
 
         def get(self, name, default):
-            assert name == "spark.checkpoint.dir"
-            return self.value
+            return self.values.get(name, default)
 
     class Session:
         sparkContext, conf = Context(), Conf()
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session())
-    Conf.value = "hdfs://shared/dir/"
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+    Context.master = "local[4]"
+    assert shared_dir(Session()) == "file:/w/scratch"
+    Context.master, Conf.values = "yarn", {"spark.sql.warehouse.dir": "hdfs://w/"}
+    assert shared_dir(Session()) == "hdfs://w/scratch"
+    Conf.values = {"spark.checkpoint.dir": "hdfs://shared/dir/", "spark.sql.warehouse.dir": "file:/w"}
     assert shared_dir(Session()) == "hdfs://shared/dir"
     assert os.path.isdir(shared_dir(spark)) and shared_dir(spark) == shared_dir(spark)
 

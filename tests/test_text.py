@@ -1,6 +1,7 @@
 import html
 import re
 import sys
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -93,10 +94,27 @@ def test_cdata_ruby_and_unclosed(spark):
         "a<!-- never closed <p>b</p>": "a",
         "a<script>never closed": "a",
         "a <p unclosed": "a <p unclosed",
+        "<rt><b>x</b></rt>y": "y",
+        "<ruby>x<rt>a<rt>b</ruby>z": "xz",
+        "a<![CDATA[never <b> closed": "anever <b> closed",
+        "a<script>x</script never": "a",
+        "a</b never": "a</b never",
     }
     assert dict(zip(cases, apply(spark, strip_html, list(cases)))) == cases
 
 
+@pytest.mark.parametrize("part", ["<a 0", "</a", "<script ", "<![CDATA[", "<!-- ", "<rt>x</rt", "<a b='"])
+def test_broken_markup_takes_time_in_proportion(spark, part):
+    def seconds(n):
+        frame = spark.createDataFrame([(part * n,)], "t string").select(strip_html(F.col("t")))
+        begin = time.perf_counter()
+        frame.collect()
+        return time.perf_counter() - begin
+
+    seconds(2_000)
+    assert min(seconds(80_000) for _ in range(2)) <= 2.5 * max(min(seconds(40_000) for _ in range(2)), 0.4)
+
+
 def test_references_agree_with_the_standard_library(spark):
     known = [n for n in html.entities.html5 if n.endswith(";")]
     texts = [f"a&{n}b" for n in known]

@@ -123,14 +123,53 @@ def test_publish_and_verify_files(spark, path):
 
 def test_named_files(spark, path):
     write(path, {"a": b"abc", "b": b""})
-    got = {r.path: r.digest for r in A.named_file_digests(spark, [f"{path}/a", f"file://{path}/b"]).collect()}
-    assert got == {n: hashlib.sha256(c).hexdigest().upper() for n, c in (("a", b"abc"), ("b", b""))}
+    write(path, {"x/a": b"1"})
+    got = {r.path: r.digest for r in A.named_file_digests(spark, ["a", f"{path}/b", "x/a"], root=path).collect()}
+    assert got == {n: hashlib.sha256(c).hexdigest().upper() for n, c in (("a", b"abc"), ("b", b""), ("x/a", b"1"))}
+    assert A.named_file_digests(spark, [f"{path}/a"]).first().path == f"{path}/a"
+    with pytest.raises(ValueError, match="more than once"):
+        A.named_file_digests(spark, ["a", f"{path}/a"], root=path)
+    with pytest.raises(ValueError, match="not below"):
+        A.named_file_digests(spark, ["/other/a"], root=path)
     with pytest.raises(FileNotFoundError):
         A.named_file_digests(spark, [f"{path}/absent"])
-    with pytest.raises(ValueError, match="either root or files"):
+    with pytest.raises(ValueError, match="root or files"):
         verify_files(spark, "x")
 
 
+def test_a_list_below_the_root_leaves_itself_out(spark, path):
+    root = f"{path}/root"
+    write(root, {"a": b"abc", "x/a": b"1"})
+    publish_checksums(spark, root, f"{root}/SUMS")
+    assert status(verify_files(spark, f"{root}/SUMS", root=root), "path") == {"a": "ok", "x/a": "ok"}
+    assert status(verify_files(spark, f"{root}/SUMS", root=root, files=["x/a"]), "path") == {"a": "missing", "x/a": "ok"}
+
+
+def test_null_and_torn_digests_are_never_ok(spark):
+    listed = pairs(spark, [("a", None), ("b", "1"), ("b", "2"), ("c", "3")])
+    found = pairs(spark, [("a", "1"), ("b", "2"), ("c", "3"), ("c", "3")])
+    assert status(compare_digests(listed, found), "path") == {"a": "mismatch", "b": "mismatch", "c": "ok"}
+
+
+def test_an_added_column_is_an_error_unless_columns_are_named(spark):
+    old = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, "a", "b")], "k int, v string, w string")
+    with pytest.raises(ValueError, match="new table only"):
+        compare_tables(old, new, ["k"])
+    assert compare_tables(old, new, ["k"], ["v"]).first().status == "ok"
+
+
+@pytest.mark.parametrize("glob, path, fits", [("[^a]x", "^x", True), ("[^a]x", "ax", True), ("[^a]x", "bx", False), ("[!a]x", "bx", True), ("[!a]x", "ax", False), ("[a&&b]", "&", True), ("[[]", "[", True), ("/a", "a", False)])
+def test_glob_classes(spark, glob, path, fits):
+    frame = spark.createDataFrame([(path,)], "p string")
+    assert (A.exclude_globs(frame, "p", [glob]).count() == 0) == fits
+
+
+def test_tabs_and_line_ends_around_checksums(spark):
+    lines = spark.createDataFrame([("\t",), ("a b  AB12\t\r",), ("\u00a0x  c\u00a0",)], "value string")
+    assert {(r.path, r.digest) for r in A.parse_checksums(lines).collect()} == {("a b", "AB12"), ("x", "C")}
+
+
 def test_a_vanished_file_has_no_digest(spark, path):
     write(path, {"a": b"abc", "b": b"b"})
     files = A.list_files(spark, path)
