@@ -152,34 +152,51 @@ def train(segments: list[list[bytes]], labels: np.ndarray, seed: int = 10) -> To
     return Toxicity(values, float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, held_out: int = 1, sample: int = SAMPLE) -> Toxicity:
-    """Rows whose crc32(id) mod ``modulus`` is ``held_out`` teach nothing; of the others, three quarters may teach
-    vectors and the rest calibrates."""
+def known_labels(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, modulus: int, held_out: int) -> DataFrame:
+    """id, y, part of labelled documents that may be learned from; no text is read."""
     known = labels.filter(F.col(label).isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out))
-    known = known.groupBy(F.col("doc_id").alias("__id")).agg((F.max(F.col(label)) > 0).cast("int").alias("y"))
-    labelled = docs.select(F.col(doc_id).alias("__doc"), F.col(text).alias("text")).join(known, F.col("__doc") == F.col("__id"))
-    part = F.pmod(F.xxhash64(F.lit(10), "__id"), F.lit(4))
-    labelled = labelled.select("__id", "y", "text", part.alias("part"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max(F.col(label)) > 0).cast("int").alias("y"))
+    there = docs.select(F.col(doc_id).cast("long").alias("id"))
+    return written(known.join(there, "id", "left_semi").withColumn("part", F.pmod(F.xxhash64(F.lit(10), "id"), F.lit(4))), "known")
+
+
+def teach(docs: DataFrame, known: DataFrame, doc_id: str, text: str, sample: int) -> Toxicity | None:
+    """Vectors from three quarters of the labelled documents, as far as the bound goes; None without both classes.
+
+    The ids of at most ``sample`` documents of each class are broadcast, so no text is shuffled; of their segments, at
+    most ``sample`` of each class are used.
+    """
+    chosen = [known.filter((F.col("y") == y) & (F.col("part") < 3)).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
+    ids = F.broadcast(chosen[0].unionByName(chosen[1]).select("id", "y"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments of documents that may teach, as texts."""
+        """Segments, as texts."""
         for batch in slices(batches):
-            rows = [(i, y, k // SEGMENT, " ".join(w[k : k + SEGMENT])) for i, y, t in zip(*(batch.column(c).to_pylist() for c in ("__id", "y", "text"))) for w in [(t or "").lower().split()] for k in range(0, len(w), SEGMENT)]
+            rows = [(i, y, k // SEGMENT, " ".join(w[k : k + SEGMENT])) for i, y, t in zip(*(batch.column(c).to_pylist() for c in ("id", "y", "text"))) for w in [(t or "").lower().split()] for k in range(0, len(w), SEGMENT)]
             columns = list(zip(*rows)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["id", "y", "k", "segment"])
 
-    segments = written(labelled.filter("part < 3").select("__id", "y", "text").mapInArrow(cut, "id long, y int, k int, segment string"), "segments")
+    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id").select("id", "y", "text")
+    segments = written(texts.mapInArrow(cut, "id long, y int, k int, segment string"), "segments")
     parts, ys = [], []
     for y in (0, 1):
-        chosen = segments.filter(F.col("y") == y).orderBy(F.xxhash64("id", "k"), "id", "k").limit(sample)
-        for row in chosen.select("segment").toLocalIterator():
+        some = segments.filter(F.col("y") == y).orderBy(F.xxhash64("id", "k"), "id", "k").limit(sample)
+        for row in some.select("segment").toLocalIterator():
             parts.append(list(dict.fromkeys(words_of(row["segment"]))))
             ys.append(y)
-    both = len(set(ys)) == 2
-    model = train(parts, np.array(ys, dtype=np.float64)) if both else Toxicity(np.zeros(BUCKETS, np.float32), 0.0)
-    rest = scored(labelled.filter("part = 3") if both else labelled, model.raw, "s", ["y"])
-    model.calibration = Logistic(histogram(rest, "s", "y", -40.0, 40.0))
-    return model
+    return train(parts, np.array(ys, dtype=np.float64)) if len(set(ys)) == 2 else None
+
+
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, held_out: int = 1, sample: int = SAMPLE) -> tuple[Toxicity, DataFrame]:
+    """The model, and id and raw score of every document. Rows whose crc32(id) mod ``modulus`` is ``held_out`` teach
+    nothing; of the others, three quarters may teach vectors and the rest calibrates."""
+    known = known_labels(docs, labels, doc_id, label, modulus, held_out)
+    taught = teach(docs, known, doc_id, text, sample)
+    model = taught or Toxicity(np.zeros(BUCKETS, np.float32), 0.0)
+    raws = written(scored(docs, model.raw, "__raw", [doc_id], text), "raw")
+    rest = known.filter("part = 3") if taught else known
+    model.calibration = Logistic(histogram(raws.join(rest, F.col(doc_id) == F.col("id")), "__raw", "y", -40.0, 40.0))
+    return model, raws
 
 
 def scored(docs: DataFrame, function, name: str, keep: list[str], text: str = "text") -> DataFrame:
@@ -197,7 +214,12 @@ def scored(docs: DataFrame, function, name: str, keep: list[str], text: str = "t
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``keep`` columns of ``docs`` (default: the id), held_out, score, predicted."""
     keep = [c for c in keep or [doc_id] if c not in ("held_out", "score", "predicted")]
-    model = fit(docs, labels, doc_id, text)
-    result = scored(docs, lambda texts: model.calibration(model.raw(texts)), "score", list(dict.fromkeys([*keep, doc_id])), text)
+    model, raws = fit(docs, labels, doc_id, text)
+    if keep == [doc_id]:
+        a, b = model.calibration.a, model.calibration.b
+        odds = F.least(F.greatest(F.col("__raw") * F.lit(a) + F.lit(b), F.lit(-30.0)), F.lit(30.0))
+        result = raws.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))
+    else:  # other columns don't go through a table of their own
+        result = scored(docs, lambda texts: model.calibration(model.raw(texts)), "score", list(dict.fromkeys([*keep, doc_id])), text)
     held = F.coalesce(remainder(F.col(doc_id), 3) == 1, F.lit(False))
     return result.select(*keep, held.alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))

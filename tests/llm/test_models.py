@@ -54,7 +54,7 @@ def test_toxic_words_and_unseen_spellings(spark):
             text[:4] = [f"zorkamat{x}" for x in rng.choice(list("abcdefgh"), 4)]
         rows.append((i, " ".join(text), int(i % 3 == 0)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"))
+    model, _ = toxicity.fit(docs.drop("toxic"), docs.select("doc_id", "toxic"))
     clean, unseen = " ".join(common[:60]), " ".join(common[:56] + ["zorkamatzz", "zorkamatt", "xzorkamat", "zorkamaty"])
     scores = model.calibration(model.raw([clean, unseen, unseen + " " + clean * 20]))
     assert scores[0] < 0.5 and scores[1] > 0.7 and scores[2] > 0.7
