@@ -3,17 +3,18 @@
 A word is the bag of hashed byte n-grams of ``<word>``; a segment of up to ``SEGMENT`` words is the mean of its
 distinct words' vectors, and a softmax of two classes reads it. Vectors and softmax are trained together on a bounded sample
 of segments of labelled documents (``SAMPLE`` for each class, those with the smallest hashes; documented bound). A
-misspelling shares most n-grams, hence vectors, with the word it hides. A document's raw score is the largest of its
-segments, so that long texts don't dilute it, and every word of every text counts. A logistic curve fitted on
-labelled documents that taught no vectors turns raw scores into probabilities.
+misspelling shares most n-grams, hence vectors, with the word it hides. A document's raw score is the mean logit of
+its ``TOP`` most toxic distinct words, so that neither long nor short texts dilute it, and every word of every text
+counts. A logistic curve fitted on labelled documents that taught no vectors turns raw scores into probabilities.
 
-Null text counts as empty and has no words: its score is the softmax of the bias. Null labels and ids take no part;
+Null text counts as empty and has no words: its raw score is 0. Null labels and ids take no part;
 an id with several labels is toxic if one of them is. Without labelled rows of both classes every score is the
 smoothed share of toxic ones. Empty tables give empty tables.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,20 +27,22 @@ from pyspark.sql.types import DoubleType, StructType
 from nomenroll.llm.calibration import Logistic, histogram
 from nomenroll.llm.common import remainder, slices, written
 
-SIZES = (3, 4, 5, 6)
+SIZES = (4, 5, 6)
 BUCKETS = 1 << 18
 DIMENSION = 4
-SEGMENT = 192
+SEGMENT = 2048
 #: Neutral words that each segment is thought to hold besides its own, so that one word doesn't decide a short text.
 NEUTRAL = 40
 #: Words that matter are about a hundredth of a segment.
 SCALE = 100
 RATE, DECAY = 0.1, 1e-4
+#: Words whose mean makes a document's raw score.
+TOP = 2
 #: Segments of each class that may teach vectors.
-SAMPLE = 4000
+SAMPLE = 1500
 EPOCHS = 30
-#: A bucket must occur in so many segments of the sample to get a vector of its own.
-LEAST = 12
+#: A bucket must occur in this share of the sample's segments, and in two, to get a vector of its own.
+LEAST_SHARE = 0.002
 REJECT = 0.7
 MEMO_WORDS = 600_000
 
@@ -49,31 +52,35 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and word number of all byte n-grams of ``<word>``, by a rolling polynomial over all words at once."""
+    """Bucket and word number of all byte n-grams of ``<word>`` and of the whole of it, by a rolling polynomial over all
+    words at once."""
     data = np.frombuffer(b"<" + b"><".join(words) + b">", dtype=np.uint8).astype(np.uint64)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
     ends = np.cumsum(sizes)
     word = np.repeat(np.arange(len(words)), sizes)
     left = ends[word] - np.arange(len(data))
-    buckets, owners = [], []
+    buckets, owners = [_bucket(np.array([zlib.crc32(w) for w in words], dtype=np.uint64) << np.uint64(8))], [np.arange(len(words))]
     for n in SIZES:
         h = np.full(max(0, len(data) - n + 1), n, dtype=np.uint64)
         for j in range(n):
             h = h * np.uint64(0x100000001B3) + data[j : len(data) - n + 1 + j]
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         at = np.flatnonzero(left[: len(h)] >= n)
-        buckets.append((h[at] >> np.uint64(40)).astype(np.int64) % BUCKETS)
+        buckets.append(_bucket(h[at]))
         owners.append(word[at])
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(40)).astype(np.int64) % BUCKETS
+
+
 @dataclass
 class Toxicity:
-    """Logit of a segment = bias + mean over its words of the mean of ``values[bucket]``, which is what vectors and
-    softmax amount to once trained."""
+    """A word's logit is the mean of ``values[bucket]`` over its n-grams, which is what vectors and softmax amount to once
+    trained."""
 
     values: np.ndarray
-    bias: float
     calibration: Logistic | None = None
     _memo: dict = field(default_factory=dict)
 
@@ -89,21 +96,17 @@ class Toxicity:
         return np.fromiter(map(memo.__getitem__, words), dtype=np.float64, count=len(words))
 
     def raw(self, texts: list[str | None]) -> np.ndarray:
-        parts = [[list(dict.fromkeys(w[k : k + SEGMENT])) for k in range(0, len(w), SEGMENT)] for w in map(words_of, texts)]
-        flat = [part for text in parts for part in text]
-        result = np.full(len(texts), self.bias)
-        if flat:
-            sizes = np.fromiter(map(len, flat), dtype=np.int64, count=len(flat))
-            values = self.word_values([w for part in flat for w in part])
-            sums = np.add.reduceat(values, np.cumsum(sizes) - sizes) / (sizes + NEUTRAL)
-            owner = np.repeat(np.arange(len(texts)), [len(text) for text in parts])
-            best = np.full(len(texts), -np.inf)
-            np.maximum.at(best, owner, sums)
-            result = np.where(np.isfinite(best), self.bias + best, result)
-        return result
+        bags = [list(dict.fromkeys(words_of(x))) for x in texts]
+        values = self.word_values([w for bag in bags for w in bag])
+        result, at = np.zeros(len(texts)), 0
+        for i, bag in enumerate(bags):
+            own = values[at : at + len(bag)]
+            at += len(bag)
+            result[i] = np.partition(own, len(own) - TOP)[-TOP:].sum() if len(own) > TOP else own.sum()
+        return result / (TOP * SCALE)
 
     def __getstate__(self) -> dict:
-        return {"values": self.values, "bias": self.bias, "calibration": self.calibration, "_memo": {}}
+        return {"values": self.values, "calibration": self.calibration, "_memo": {}}
 
 
 def train(segments: list[list[bytes]], labels: np.ndarray, seed: int = 10) -> Toxicity:
@@ -118,7 +121,7 @@ def train(segments: list[list[bytes]], labels: np.ndarray, seed: int = 10) -> To
     buckets, owners = buckets[order], owners[order]
     share = 1 / np.maximum(1, np.bincount(owners, minlength=len(number)))
     seen = np.bincount(buckets, weights=np.bincount(at)[owners], minlength=BUCKETS)
-    common = seen[buckets] >= LEAST
+    common = seen[buckets] >= max(2, LEAST_SHARE * len(segments))
     buckets, owners = buckets[common], owners[common]
     used, index = np.unique(buckets, return_inverse=True)
     holders, word_starts = np.unique(owners, return_index=True)
@@ -149,7 +152,7 @@ def train(segments: list[list[bytes]], labels: np.ndarray, seed: int = 10) -> To
             weights -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     values = np.zeros(BUCKETS, dtype=np.float32)
     values[used] = SCALE * vectors @ (softmax[:, 1] - softmax[:, 0])
-    return Toxicity(values, float(bias[1] - bias[0]))
+    return Toxicity(values)
 
 
 def known_labels(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, modulus: int, held_out: int) -> DataFrame:
@@ -192,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     nothing; of the others, three quarters may teach vectors and the rest calibrates."""
     known = known_labels(docs, labels, doc_id, label, modulus, held_out)
     taught = teach(docs, known, doc_id, text, sample)
-    model = taught or Toxicity(np.zeros(BUCKETS, np.float32), 0.0)
+    model = taught or Toxicity(np.zeros(BUCKETS, np.float32))
     raws = written(scored(docs, model.raw, "__raw", [doc_id], text), "raw")
     rest = known.filter("part = 3") if taught else known
     model.calibration = Logistic(histogram(raws.join(rest, F.col(doc_id) == F.col("id")), "__raw", "y", -40.0, 40.0))
