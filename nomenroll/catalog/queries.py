@@ -51,6 +51,7 @@ from nomenroll.operators.rules import (
     with_rules,
 )
 from nomenroll.operators.verify import compare_digests, compare_tables, last_entry, listed_only, on_both_sides, verdict
+from nomenroll.plans.verification import publish_checksums, verify_files
 from nomenroll.plans.extraction import annotate_fields, gazetteer_fields, inventory_of, run_extraction
 from nomenroll.plans.quality import run_quality, with_context
 from nomenroll.session import scratch_path
@@ -450,9 +451,9 @@ def qc_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mentions_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From documents to clean and flagged counts per class: text, annotator, mentions, rules."""
+    """From documents to clean and flagged counts per class: text, annotator, mentions, rules that short names can break."""
     found = with_context(mentions_pattern(spark, sf_dir))
-    return totals(ledger(found, mention_order(found, ["doc_id"])))
+    return totals(ledger(found, mention_order(found, ["doc_id"]), settings=STREAM_SETTINGS))
 
 
 # --- verification ---------------------------------------------------------------------------
@@ -585,10 +586,41 @@ def excluded_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.exclude_globs(paths, "path", ["*[0-4]", "fr/*", "*.com/??/*top", "[!a-z]*"])
 
 
+def _supplier_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder for each supplier, with one file that holds its name."""
+    root = scratch_path(spark, "files")
+    rows = I.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("value"))
+    rows.write.partitionBy("s_suppkey").text(root)
+    return root
+
+
+def _supplier_of(path: str) -> Column:
+    return F.regexp_extract(path, "s_suppkey=([0-9]+)/", 1).cast("bigint").alias("s_suppkey")
+
+
 @query
 def file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every table file below the directory with its digest."""
-    return artifacts.file_digests(spark, sf_dir, exclude=["*.tmp", "_*"], skip=["SHA256SUMS"])
+    """Files in nested folders with their digests."""
+    digests = artifacts.file_digests(spark, _supplier_files(spark, sf_dir), exclude=["_*", ".*"])
+    return digests.select(_supplier_of("path"), "length", "digest")
+
+
+@query
+def named_file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named files, the list of names made from the folder's own listing; paths relative to the root."""
+    root = _supplier_files(spark, sf_dir)
+    listed = artifacts.exclude_globs(artifacts.list_files(spark, root), "path", ["_*", ".*"])
+    digests = artifacts.named_file_digests(spark, [r.path for r in listed.select("path").toLocalIterator()], root=root)
+    return digests.select(_supplier_of("path"), "digest")
+
+
+@query
+def files_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A published list, kept below its own root, against the files that it names."""
+    root = _supplier_files(spark, sf_dir)
+    publish_checksums(spark, root, f"{root}/SUMS", exclude=["_*", ".*"])
+    compared = verify_files(spark, f"{root}/SUMS", root=root, exclude=["_*", ".*"])
+    return compared.select(_supplier_of("path"), "status")
 
 
 # --- streaming ------------------------------------------------------------------------------

@@ -499,7 +499,7 @@ ORACLES: dict[str, str] = {
         "FROM totals t LEFT JOIN maps m ON t.overall = m.overall AND t.context IS NOT DISTINCT FROM m.context"
     ),
     "mentions_quality": (
-        "WITH " + checked_mentions(f"SELECT doc_id, 'content' AS field, text FROM ({DOCS})") + f" {TOTALS}"
+        "WITH " + checked_mentions(f"SELECT doc_id, 'content' AS field, text FROM ({DOCS})", default_rules(2, 13)) + f" {TOTALS}"
     ),
     "table_verify": ORDERS_STATUS,
     "table_verify_repeated_keys": table_status(
@@ -528,6 +528,11 @@ ORACLES: dict[str, str] = {
     "stream_qc_counts": (
         f"WITH {checked_mentions(PLAIN_CONTENT, default_rules(2, 13))}, {COUNTED} SELECT context, overall, rank, rule, rows FROM rule_counts"
     ),
+    "file_hashes": (
+        "SELECT s_suppkey, CAST(length(s_name) + 1 AS BIGINT) AS length, upper(sha256(s_name || chr(10))) AS digest FROM supplier"
+    ),
+    "named_file_hashes": "SELECT s_suppkey, upper(sha256(s_name || chr(10))) AS digest FROM supplier",
+    "files_verified": "SELECT s_suppkey, 'ok' AS status FROM supplier",
     "stream_qc_totals": (
         f"WITH {checked_mentions(PLAIN_CONTENT, default_rules(2, 13))} SELECT context, count(*) AS rows_total, "
         "count(*) FILTER (WHERE len(rules) > 0) AS rows_flagged, count(*) FILTER (WHERE len(rules) = 0) AS rows_clean "

@@ -26,4 +26,5 @@ def test_every_oracle_has_a_query():
 
 
 def test_entry(spark):
-    assert entry.entry(spark).count() > 0
+    rows = entry.entry(spark).collect()
+    assert sum(r.rows_flagged for r in rows) > 0 and sum(r.rows_clean for r in rows) > 0
