@@ -168,8 +168,31 @@ def _stars(signatures: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.stack([signatures[new].view(np.int64), nodes[new]], axis=1), np.unique(links, axis=0) if len(links) else links
 
 
+def _packed(at: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    """Pairs of longs as one binary for each bucket."""
+    order = np.argsort(at, kind="stable")
+    found, begins = np.unique(at[order], return_index=True)
+    parts = [rows[order[a:b]].tobytes() for a, b in zip(begins, [*begins[1:], len(order)])]
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(parts, pa.binary())], ["bucket", "data"])
+
+
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket with all its pairs, from rows in order of buckets."""
+    held: list[bytes] = []
+    bucket = None
+    for batch in batches:
+        for number, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
+            if held and number != bucket:
+                yield bucket, np.frombuffer(b"".join(held), dtype=np.int64).reshape(-1, 2)
+                held = []
+            bucket = number
+            held.append(data.as_py())
+    if held:
+        yield bucket, np.frombuffer(b"".join(held), dtype=np.int64).reshape(-1, 2)
+
+
 def candidate_links(docs: DataFrame, size: int, bands: Bands, buckets: int) -> DataFrame:
-    """a, b: stars over the nodes of each signature."""
+    """a, b: stars over the nodes of each signature. Pairs that meet in many buckets are united before they are rows."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -178,14 +201,8 @@ def candidate_links(docs: DataFrame, size: int, bands: Bands, buckets: int) -> D
         def flush() -> pa.RecordBatch:
             heads, links = _stars(*(np.concatenate(x) for x in zip(*held)))
             at = (heads[:, 0].view(np.uint64) >> np.uint64(20)).astype(np.int64) % buckets
-            order = np.argsort(at, kind="stable")
-            found, begins = np.unique(at[order], return_index=True)
-            parts = [heads[order[a:b]].tobytes() for a, b in zip(begins, [*begins[1:], len(order)])]
-            numbers = found.tolist()
-            for k in range(0, len(links), 1 << 18):  # links that are already made go along with buckets in turn
-                numbers.append(-1 - k % buckets)
-                parts.append(links[k : k + (1 << 18)].tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(parts, pa.binary())], ["bucket", "data"])
+            made = -1 - np.arange(len(links)) % buckets  # links that are already made go along
+            return _packed(np.concatenate([at, made]), np.concatenate([heads, links]))
 
         count = 0
         for batch in slices(batches):
@@ -205,26 +222,19 @@ def candidate_links(docs: DataFrame, size: int, bands: Bands, buckets: int) -> D
             yield flush()
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        bucket = None
-
-        def result() -> pa.RecordBatch:
-            rows = np.frombuffer(b"".join(held), dtype=np.int64).reshape(-1, 2)
+        for bucket, rows in _blobs(batches):
             links = rows if bucket < 0 else _stars(rows[:, 0].view(np.uint64), rows[:, 1])[1]
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[:, i])) for i in (0, 1)], ["a", "b"])
+            at = (mix(links[:, 0].view(np.uint64) * _K[0] + links[:, 1].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            yield _packed(at, links)
 
-        for batch in batches:
-            for number, data in zip(batch.column("bucket").to_pylist(), batch.column("data")):
-                if held and number != bucket:
-                    yield result()
-                    held = []
-                bucket = number
-                held.append(data.as_py())
-        if held:
-            yield result()
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _blobs(batches):
+            links = np.unique(rows, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(links[:, i])) for i in (0, 1)], ["a", "b"])
 
-    packed = docs.mapInArrow(pack, "bucket long, data binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(link, "a long, b long").distinct()
+    blobs = "bucket long, data binary"
+    gather = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
+    return gather(gather(docs.mapInArrow(pack, blobs)).mapInArrow(link, blobs)).mapInArrow(unite, "a long, b long")
 
 
 def exact_links(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
