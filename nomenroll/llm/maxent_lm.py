@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from nomenroll.llm.common import remainder, slices, text_bytes, words, written
 
 #: Words that are broadcast with their counts at most.
-HEAD = 500_000
+HEAD = 400_000
 #: Words that are units of their own; units by ending; context words for classes; classes; rows of features.
-OWN, ENDINGS, CONTEXTS, CLASSES, FEATURES = 8192, 2048, 64, 48, 1 << 15
+OWN, ENDINGS, CONTEXTS, CLASSES, FEATURES = 8192, 2048, 64, 40, 1 << 14
 UNITS = OWN + ENDINGS
 END, START = UNITS, UNITS + 1
 #: Gradient updates; each sees the training texts of one slice, and all slices together all of them.
@@ -68,17 +68,17 @@ def gathered(df: DataFrame, size: int, function: Callable[[pa.RecordBatch, np.nd
                 values = np.frombuffer(data.as_py(), dtype=np.float32).astype(np.float64)
                 if number != block:
                     if block is not None:
-                        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([total.tobytes()], pa.binary())], ["block", "data"])
+                        yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "data"])
                     block, total = number, values
                 else:
                     total = total + values
         if block is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([total.tobytes()], pa.binary())], ["block", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "data"])
 
     sent = df.coalesce(TASKS).mapInArrow(send, "block long, data binary")
-    result = np.zeros(size, dtype=np.float64)
-    for row in sent.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, data binary").collect():
-        values = np.frombuffer(row["data"], dtype=np.float64)
+    result = np.zeros(size, dtype=np.float32)
+    for row in sent.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, data binary").toLocalIterator():
+        values = np.frombuffer(row["data"], dtype=np.float32)
         result[row["block"] * BLOCK : row["block"] * BLOCK + len(values)] = values
     return result
 
@@ -138,10 +138,10 @@ def head_of(counts: DataFrame, limit: int) -> Head:
     found = named.filter(level >= least).toArrow() if least is not None else None
     if found is None or not found.num_rows:
         return Head("none", counts.sparkSession.sparkContext.broadcast(b""), np.zeros(0, np.int64))
-    table = sorted(zip(found.column("n").to_pylist(), found.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
-    blob = b"\n".join(w for _, w in table)
+    found = found.sort_by([("n", "descending"), ("word", "ascending")])
+    blob = b"\n".join(found.column("word").to_pylist())
     key = f"{zlib.crc32(blob)}-{len(blob)}"
-    return Head(key, counts.sparkSession.sparkContext.broadcast(blob), np.array([n for n, _ in table], dtype=np.int64))
+    return Head(key, counts.sparkSession.sparkContext.broadcast(blob), found.column("n").to_numpy())
 
 
 def encoded(docs: DataFrame, head: Head) -> DataFrame:
@@ -284,8 +284,8 @@ def train(texts: DataFrame, counts: DataFrame, head: Head) -> MaxEnt:
     """texts: training rows of ``encoded``."""
     spark = texts.sparkSession
     own = min(OWN, len(head.counts))
-    vocabulary = head.blob.value.split(b"\n") if len(head.counts) else []
-    own_units = np.array([i if i < own else ending_unit(w) for i, w in enumerate(vocabulary)], dtype=np.int64)
+    words_of_head = enumerate(head.blob.value.split(b"\n") if len(head.counts) else [])
+    own_units = np.fromiter((i if i < own else ending_unit(w) for i, w in words_of_head), dtype=np.int32, count=len(head.counts))
 
     def inside(batch: pa.RecordBatch, table: np.ndarray) -> None:
         lookup = head.lookup()
@@ -294,7 +294,7 @@ def train(texts: DataFrame, counts: DataFrame, head: Head) -> MaxEnt:
             u, n = np.array(rest, dtype=np.int64).T
             table += np.bincount(u, weights=n + 1.0, minlength=UNITS)
 
-    denominators = 1 + gathered(counts, UNITS, inside)  # words' counts, one for each, and one for unseen words
+    denominators = 1 + gathered(counts, UNITS, inside).astype(np.float64)  # words' counts, one for each, and one for unseen words
     inside_logs = np.append(np.log10(denominators), [0.0, 0.0])
     head_logs = np.where(np.arange(len(head.counts)) < own, 0.0, np.log10(head.counts + 1.0))
     ids_only = texts.select("ids")
@@ -308,7 +308,7 @@ def train(texts: DataFrame, counts: DataFrame, head: Head) -> MaxEnt:
                 frequent = other < CONTEXTS
                 grid += np.bincount(at[frequent] * 2 * CONTEXTS + other[frequent] + shift, minlength=grid.size).reshape(grid.shape)
 
-    neighbours = gathered(ids_only, (UNITS + 2) * 2 * CONTEXTS, near).reshape(UNITS + 2, -1)
+    neighbours = gathered(ids_only, (UNITS + 2) * 2 * CONTEXTS, near).astype(np.float64).reshape(UNITS + 2, -1)
     classes = classes_of(neighbours, neighbours.sum(axis=1))
     pairs, sizes = CLASSES * (UNITS + 2), FEATURES * CLASSES
     share = np.repeat(np.arange(4), 1)
@@ -321,7 +321,7 @@ def train(texts: DataFrame, counts: DataFrame, head: Head) -> MaxEnt:
                 table[pairs + kind * sizes : pairs + (kind + 1) * sizes] += np.bincount(r * CLASSES + label, minlength=sizes)
 
     table = gathered(ids_only, pairs + 4 * sizes, count)
-    grid = table[:pairs].reshape(CLASSES, UNITS + 2)
+    grid = table[:pairs].astype(np.float64).reshape(CLASSES, UNITS + 2)
     member = np.zeros((CLASSES, UNITS + 2), dtype=bool)
     member[classes, np.arange(UNITS + 2)] = True
     member[:, START] = False
@@ -340,6 +340,7 @@ def train(texts: DataFrame, counts: DataFrame, head: Head) -> MaxEnt:
     for k in range(UPDATES):
         shared = spark.sparkContext.broadcast(model)
         model.update(gathered(texts.filter(F.col("slice") == k).select("ids"), 2 * sizes, lambda batch, out, m=shared: m.value.gradient(batch, out)))
+        shared.destroy()
     return model
 
 
