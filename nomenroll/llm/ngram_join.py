@@ -6,7 +6,8 @@ Such a group is found either by segment subsets (its tokens are dealt to three s
 that leave one segment out, one has no differing token) or by the one-deletion neighbourhood (the group's signature
 and those with one token left out). Which of the two a band uses is decided by cost: signatures to move against pairs
 that a signature of so few tokens lets through among the band's documents. Bands also get spare groups, by which each
-document leaves out its smallest, least telling ones and the pigeonhole still holds for every pair.
+document leaves out its smallest, least telling ones, half of those that its size doesn't need, and the pigeonhole
+still holds for every pair.
 
 Equal sets are one class from the start. Signatures travel as packed arrays; equal ones of one chunk are linked there
 and sent on once, so a signature shared by a third of all rows is one row of a chunk. Buckets link each signature's
@@ -35,7 +36,7 @@ from nomenroll.llm.common import components, slices, text_bytes, words, written
 BUCKET_SIGNATURES = 1_500_000
 CHUNK_SIGNATURES = 1_500_000
 #: A block of the exact count holds so many documents and bytes of sets at most, on average.
-BLOCK_DOCS, BLOCK_BYTES = 512, 16 << 20
+BLOCK_DOCS, BLOCK_BYTES = 4096, 16 << 20
 #: For the choice by cost: the chance, for each token that a signature covers, that unrelated documents agree in it
 #: (measured: about 6e-8 for subsets of 5.6 tokens), and a pair's cost in signatures.
 SHARED, PAIR_COST = 0.05, 0.1
@@ -83,7 +84,7 @@ class Bands:
         self.num, self.den = num, den
         edges = [1]
         while edges[-1] <= largest:
-            edges.append(max(edges[-1] + 1, math.ceil(edges[-1] * (den / num) ** 2)))
+            edges.append(max(edges[-1] + 1, math.ceil(edges[-1] * den / num)))
         self.edges = np.array(edges)
         self.differ = [(den - num) * (hi - 1) // num for hi in edges[1:]]
         least = [(h + 2) // 2 for h in self.differ]
@@ -128,7 +129,9 @@ class Bands:
         sizes = np.diff(bounds).reshape(groups, 3)
         total = cells[:, 0] + cells[:, 1] + cells[:, 2]
         kept = np.ones(groups, dtype=bool)
-        if d := self.dropped[band]:
+        # the pigeonhole needs fewer groups for smaller sets; the larger of a pair never leaves out more than the smaller
+        differ = (self.den - self.num) * min(len(tokens), int(self.edges[band + 1]) - 1) // self.num
+        if d := (groups - (differ + 2) // 2) // 2:
             telling = sizes.sum(axis=1) - sizes.max(axis=1)
             kept[np.argsort(telling, kind="stable")[:d]] = False
         place = mix(np.arange(groups, dtype=np.uint64) * np.uint64(4) + seed * _K[2])
