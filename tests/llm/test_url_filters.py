@@ -29,7 +29,7 @@ def check(spark, urls, rules, **options):
     rows = result.collect()
     assert len(rows) == len(urls)
     for r in rows:
-        assert (r.host, r.path, r.rule, r.verdict) == judged(r.url, [(h, p or "", a) for h, p, a in rules]), r
+        assert (r.host, r.path, r.rule, r.verdict) == judged(r.url, [(h, p or "", a) for h, p, a in rules], options.get("default", "allow")), r
     return result
 
 
