@@ -8,6 +8,12 @@ Classes group units that have like neighbours. The class is a softmax over hashe
 then trained by distributed gradient updates, each over another slice of all training texts. Units follow a
 softmax whose weights are smoothed log counts.
 
+That part has a fixed size. What grows with the corpus is a table of exact counts of every n-gram and skip context of
+actual words (previous word, previous two, second and third before) and of every word in each of them, with as many
+rows as the training texts have such features, partitioned by a 64-bit hash and joined to tokens. Each kind gives a
+distribution over all words that falls back on the part above; a token's probability is a mixture of them, whose
+shares are trained by one step for each slice of the training texts, with the token itself left out of the counts.
+
 The base score (add-one unigram) uses exact counts of all training tokens. The most frequent words, whose number is
 bounded, are looked up in a broadcast table; all other words meet their counts in a join.
 
@@ -18,6 +24,7 @@ scored alike. With no training rows the base score is 0 and the model nearly uni
 
 from __future__ import annotations
 
+import hashlib
 import math
 import zlib
 from collections import Counter
@@ -32,15 +39,24 @@ from pyspark.sql import functions as F
 from nomenroll.llm.common import remainder, slices, text_bytes, words, written
 
 #: Words that are broadcast with their counts at most.
-HEAD = 400_000
+HEAD = 500_000
+#: Features that are broadcast with their counts at most; all others meet their counts in a join.
+HEAD_FEATURES = 1_000_000
 #: Words that are units of their own; units by ending; context words for classes; classes; rows of features.
-OWN, ENDINGS, CONTEXTS, CLASSES, FEATURES = 8192, 2048, 64, 40, 1 << 14
+OWN, ENDINGS, CONTEXTS, CLASSES, FEATURES = 8192, 2048, 64, 48, 1 << 15
 UNITS = OWN + ENDINGS
 END, START = UNITS, UNITS + 1
 #: Gradient updates; each sees the training texts of one slice, and all slices together all of them.
 UPDATES, RATE = 4, 0.5
 #: How much each kind of feature starts with, of its log ratio.
 START_SHARE = np.array([0.5, 0.35, 0.15, 0.15], dtype=np.float32)
+#: Kinds of exact features. A token has keys for the context and itself in it, by kind, and for itself alone.
+KINDS = 4
+SLOTS = 2 * KINDS + 1
+#: With how many tokens of the fixed part each kind is smoothed: two distributions for each.
+STRENGTHS = (2.0, 32.0)
+PARTS = 1 + KINDS * len(STRENGTHS)
+END_NUMBER, START_NUMBER = -1, -2
 #: Tasks that send tables at most, and floats of one block.
 TASKS, BLOCK = 4096, 1 << 15
 TOKENS = 1 << 15
@@ -50,6 +66,11 @@ def ending_unit(word: bytes) -> int:
     return OWN + zlib.crc32(word[-3:]) % ENDINGS
 
 
+def far_number(word: bytes) -> int:
+    """Of a word outside the head: above all ids."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "big") >> 2 | 1 << 62
+
+
 def gathered(df: DataFrame, size: int, function: Callable[[pa.RecordBatch, np.ndarray], None]) -> np.ndarray:
     """Sum over all tasks of a table of ``size`` floats to which ``function(batch, table)`` adds."""
 
@@ -126,33 +147,36 @@ _LOOKUPS: dict[str, dict[bytes, int]] = {}
 
 def head_of(counts: DataFrame, limit: int) -> Head:
     """All words that occur so often that at most ``limit`` do; a bounded number of rows comes to the driver."""
+    found = most_frequent(counts.filter("word <> X''"), limit)
+    if found is None or not found.num_rows:
+        return Head("none", counts.sparkSession.sparkContext.broadcast(b""), np.zeros(0, np.int64))
+    found = found.sort_by([("n", "descending"), ("word", "ascending")])
+    blob = b"\n".join(found.column("word").to_pylist())
+    key = f"{zlib.crc32(blob)}-{len(blob)}"
+    return Head(key, counts.sparkSession.sparkContext.broadcast(blob), found.column("n").to_numpy())
+
+
+def most_frequent(counts: DataFrame, limit: int) -> pa.Table | None:
     level = F.floor(F.log2("n") * 64).cast("int")
-    named = counts.filter("word <> X''")
-    bins = named.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
+    bins = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
     least, total = None, 0
     for row in bins:
         total += row["n"]
         if total > limit:
             break
         least = row["level"]
-    found = named.filter(level >= least).toArrow() if least is not None else None
-    if found is None or not found.num_rows:
-        return Head("none", counts.sparkSession.sparkContext.broadcast(b""), np.zeros(0, np.int64))
-    found = found.sort_by([("n", "descending"), ("word", "ascending")])
-    blob = b"\n".join(found.column("word").to_pylist())
-    key = f"{zlib.crc32(blob)}-{len(blob)}"
-    return Head(key, counts.sparkSession.sparkContext.broadcast(blob), found.column("n").to_numpy())
+    return counts.filter(level >= least).toArrow() if least is not None else None
 
 
 def encoded(docs: DataFrame, head: Head) -> DataFrame:
-    """doc_id, held_out, key, slice, ids, tail: ids of head words, or minus 1 minus the unit of others, which ``tail``
-    holds in order."""
-    names = ["doc_id", "held_out", "key", "slice", "ids", "tail"]
+    """doc_id, held_out, key, slice, ids, tail, far: ids of head words, or minus 1 minus the unit of others, which
+    ``tail`` holds in order, and ``far`` their 64-bit hashes."""
+    names = ["doc_id", "held_out", "key", "slice", "ids", "tail", "far"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = head.lookup()
         for batch in slices(batches):
-            ids, tails = [], []
+            ids, tails, fars = [], [], []
             for text in text_bytes(batch):
                 found = words(text)
                 numbers = np.fromiter((lookup.get(w, -1) for w in found), dtype=np.int32, count=len(found))
@@ -160,13 +184,14 @@ def encoded(docs: DataFrame, head: Head) -> DataFrame:
                 numbers[numbers < 0] = [-1 - ending_unit(w) for w in tail]
                 ids.append(numbers.tobytes())
                 tails.append(tail)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array(ids, pa.binary()), pa.array(tails, pa.list_(pa.binary()))], names)
+                fars.append(np.array([far_number(w) for w in tail], dtype=np.int64).tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array(ids, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(fars, pa.binary())], names)
 
     part = F.pmod(F.xxhash64(F.lit(2), "text", "doc_id"), F.lit(UPDATES)).cast("int")
     held = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
     key = F.struct(F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64("text", F.lit(3), "doc_id").alias("h2"))
     rows = docs.select("doc_id", "text", held.alias("held_out"), key.alias("key"), part.alias("slice"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, key struct<h1: long, h2: long>, slice int, ids binary, tail array<binary>")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, key struct<h1: long, h2: long>, slice int, ids binary, tail array<binary>, far binary")
 
 
 def units_of(batch: pa.RecordBatch, own_units: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -189,9 +214,9 @@ def _with_units(texts: list, held: list, own_units: np.ndarray) -> tuple[np.ndar
     return text, ids, np.where(ids < 0, -1 - ids, own_units[np.maximum(ids, 0)] if len(own_units) else 0)
 
 
-def before(text: np.ndarray, units: np.ndarray, n: int) -> np.ndarray:
+def before(text: np.ndarray, units: np.ndarray, n: int, start: int = START) -> np.ndarray:
     """The unit ``n`` tokens earlier in the same text, or the start."""
-    result = np.full(len(units), START)
+    result = np.full(len(units), start)
     if n < len(units):
         same = text[n:] == text[:-n]
         result[n:][same] = units[:-n][same]
@@ -210,6 +235,113 @@ def features(text: np.ndarray, units: np.ndarray) -> list[np.ndarray]:
     return rows
 
 
+def numbers_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and word number of each token, each text with its end."""
+    texts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for number, (data, far) in enumerate(zip(batch.column("ids"), batch.column("far"))):
+        ids = np.append(np.frombuffer(data.as_py(), dtype=np.int32), END_NUMBER).astype(np.int64)
+        ids[:-1][ids[:-1] < 0] = np.frombuffer(far.as_py(), dtype=np.int64)
+        texts.append(np.full(len(ids), number))
+        found.append(ids)
+    return np.concatenate(texts), np.concatenate(found)
+
+
+def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    z = x + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def exact_features(text: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Tokens x ``SLOTS`` keys: the context and the token in it for each kind, then the token alone."""
+    one, two, three = (before(text, numbers, n, START_NUMBER).astype(np.uint64) for n in (1, 2, 3))
+    own, keys = mixed(numbers.astype(np.uint64), 5), []
+    for context in (mixed(one, 1), mixed(mixed(two, 2) ^ one, 2), mixed(two, 3), mixed(three, 4)):
+        keys += [context, mixed(context ^ own, 6)]
+    return np.stack([*keys, own], axis=1).view(np.int64)
+
+
+def feature_counts(texts: DataFrame) -> DataFrame:
+    """key, n: every feature of the training rows of ``encoded``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keys, n = np.unique(exact_features(*numbers_of(batch)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    return texts.select("ids", "far").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def head_features(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, in order, and counts of the most frequent features."""
+    found = most_frequent(counts, limit)
+    if found is None or not found.num_rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = found.sort_by("key")
+    return found.column("key").to_numpy(), found.column("n").to_numpy()
+
+
+def looked_up(keys: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Count of each key in the head, or 0, and whether it is there."""
+    known, n = head
+    if not len(known):
+        return np.zeros(keys.shape, np.int64), np.zeros(keys.shape, bool)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    hit = known[at] == keys
+    return np.where(hit, n[at], 0), hit
+
+
+def asked(rows: DataFrame, head) -> DataFrame:
+    """h1, h2, place, key: features of each text outside the broadcast head."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 64):
+            text, numbers = numbers_of(batch)
+            keys = exact_features(text, numbers)
+            token, slot = np.nonzero(~looked_up(keys, head.value)[1])
+            first = np.searchsorted(text, np.arange(batch.num_rows))
+            at = pa.array(text[token])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("h1").take(at), batch.column("h2").take(at), pa.array((token - first[text[token]]) * SLOTS + slot), pa.array(keys[token, slot])],
+                ["h1", "h2", "place", "key"],
+            )
+
+    return rows.select("key.h1", "key.h2", "ids", "far").mapInArrow(run, "h1 long, h2 long, place long, key long")
+
+
+def parts(fixed: np.ndarray, counts: np.ndarray, seen: bool = False) -> np.ndarray:
+    """Tokens x ``PARTS`` probabilities: of the fixed part, then of each kind and strength. ``seen``: leave the tokens
+    themselves out of the counts."""
+    result = [fixed]
+    for kind in range(KINDS):
+        context, both = (np.maximum(counts[:, 2 * kind + j] - int(seen), 0) for j in (0, 1))
+        result += [(both + s * fixed) / (context + s) for s in STRENGTHS]
+    return np.stack(result, axis=1)
+
+
+def components_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, probability by the fixed part and counts of each token, as ``with_counts`` wrote them."""
+    logs = [np.frombuffer(x.as_py(), dtype=np.float32) for x in batch.column("logs")]
+    counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), dtype=np.uint32).reshape(-1, SLOTS).astype(np.int64)
+    return np.repeat(np.arange(len(logs)), [len(x) for x in logs]), 10.0 ** np.concatenate([*logs, np.zeros(0)]).astype(np.float64), counts
+
+
+def mixture(texts: DataFrame) -> np.ndarray:
+    """Shares of the parts, from training rows with slice, logs and counts."""
+    shares = np.full(PARTS, 1 / PARTS)
+    for k in range(UPDATES):
+
+        def expected(batch: pa.RecordBatch, table: np.ndarray, shares: np.ndarray = shares) -> None:
+            _, fixed, counts = components_of(batch)
+            weighted = parts(fixed, counts, seen=True) * shares
+            table += (weighted / np.maximum(weighted.sum(axis=1, keepdims=True), 1e-300)).sum(axis=0)
+
+        found = gathered(texts.filter(F.col("slice") == k).select("logs", "counts"), PARTS, expected).astype(np.float64) + shares
+        shares = found / found.sum()
+    return shares
+
+
 def classes_of(neighbours: np.ndarray, frequency: np.ndarray, seed: int = 2) -> np.ndarray:
     """Class of each unit by weighted k-means on the square roots of its neighbour shares; the end has its own."""
     rows = neighbours[:UNITS]
@@ -246,9 +378,9 @@ class MaxEnt:
         total -= total.max(axis=1, keepdims=True)
         return total
 
-    def text_scores(self, batch: pa.RecordBatch) -> np.ndarray:
-        """log10 probability of each text, without the log10 (count + 1) of words in ``tail``."""
-        scores = np.zeros(batch.num_rows)
+    def token_logs(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each token, without the log10 (count + 1) of words outside the head, and where those are."""
+        found, outside = [np.zeros(0)], [np.zeros(0, bool)]
         for text, ids, units in units_of(batch, self.own_units):
             label = self.classes[units]
             logits = self.logits(features(text, units))
@@ -257,8 +389,9 @@ class MaxEnt:
             tokens = chosen / math.log(10) - self.inside_logs[units]
             if len(self.head_logs):
                 tokens = tokens + np.where(ids >= 0, self.head_logs[np.maximum(ids, 0)], 0.0)
-            scores += np.bincount(text, weights=tokens, minlength=batch.num_rows)
-        return scores
+            found.append(tokens)
+            outside.append((ids < 0) & (units != END))
+        return np.concatenate(found), np.concatenate(outside)
 
     def gradient(self, batch: pa.RecordBatch, table: np.ndarray) -> None:
         """Adds observed minus expected class counts of each feature, and expected ones, to ``table``."""
@@ -344,7 +477,7 @@ def train(texts: DataFrame, counts: DataFrame, head: Head) -> MaxEnt:
     return model
 
 
-def scores(table: DataFrame, doc_id: str = "doc_id", text: str = "text", head_limit: int = HEAD) -> DataFrame:
+def scores(table: DataFrame, doc_id: str = "doc_id", text: str = "text", head_limit: int = HEAD, feature_limit: int = HEAD_FEATURES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of ``table``."""
     docs = table.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     held = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
@@ -354,26 +487,54 @@ def scores(table: DataFrame, doc_id: str = "doc_id", text: str = "text", head_li
     head = head_of(counts, head_limit)
     rows = written(encoded(docs, head), "encoded")
     model = train(rows.filter("NOT held_out"), counts, head)
-    spark = table.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    context = table.sparkSession.sparkContext
+    shared = context.broadcast(model)
+    exact = written(feature_counts(rows.filter("NOT held_out")), "features")
+    frequent = context.broadcast(head_features(exact, feature_limit))
+    answers = asked(rows, frequent).join(exact, "key").groupBy("h1", "h2").agg(F.collect_set(F.struct("place", "n")).alias("answers"))
+    answers = answers.select(F.struct("h1", "h2").alias("key"), "answers")
     base_logs, end_log = np.log10(head.counts + 1.0), math.log10(ends + 1)
     base_unit = math.log10(total + distinct + 1)
-    names = ["doc_id", "held_out", "key", "n_tokens", "n_head", "base_head", "score_head"]
+    names = ["doc_id", "held_out", "key", "slice", "n_tokens", "n_head", "base_head", "logs", "counts"]
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             ids = [np.frombuffer(x.as_py(), dtype=np.int32) for x in batch.column("ids")]
             known = [x[x >= 0] for x in ids]
-            n = [len(x) + 1 for x in ids]
+            n = np.array([len(x) + 1 for x in ids])
+            first = np.cumsum(n) - n
             base = [float(base_logs[x].sum()) + end_log - k * base_unit for x, k in zip(known, n)]
+            found = looked_up(exact_features(*numbers_of(batch)), frequent.value)[0]
+            lists = batch.column("answers")
+            at = np.repeat(first * SLOTS, np.array(lists.value_lengths().fill_null(0)))
+            places, counts = (lists.flatten().field(c).to_numpy() for c in ("place", "n"))
+            found.reshape(-1)[at + places] = counts
+            logs, outside = model.token_logs(batch)
+            logs[outside] += np.log10(found[outside, -1] + 1.0)
+            ends_at = first + n
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names[:3]), pa.array(n, pa.int64()), pa.array([len(x) for x in known], pa.int64()), pa.array(base), pa.array(model.text_scores(batch))],
+                [
+                    *(batch.column(c) for c in names[:4]), pa.array(n.astype(np.int64)), pa.array([len(x) for x in known], pa.int64()), pa.array(base, pa.float64()),
+                    pa.array([logs[a:b].astype(np.float32).tobytes() for a, b in zip(first, ends_at)], pa.binary()),
+                    pa.array([np.minimum(found[a:b], 0xFFFFFFFF).astype(np.uint32).tobytes() for a, b in zip(first, ends_at)], pa.binary()),
+                ],
                 names,
             )
 
-    schema = "doc_id long, held_out boolean, key struct<h1: long, h2: long>, n_tokens long, n_head long, base_head double, score_head double"
-    scored = rows.select("doc_id", "held_out", "key", "ids").mapInArrow(score, schema)
+    kinds = "doc_id long, held_out boolean, key struct<h1: long, h2: long>, slice int, n_tokens long, n_head long, base_head double"
+    joined = rows.select("doc_id", "held_out", "key", "slice", "ids", "far").join(answers, "key", "left")
+    counted = written(joined.select("doc_id", "held_out", "key", "slice", "ids", "far", "answers").mapInArrow(with_counts, f"{kinds}, logs binary, counts binary"), "counted")
+    shares = mixture(counted.filter("NOT held_out"))
+    kept = ["doc_id", "held_out", "key", "n_tokens", "n_head", "base_head"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            text, fixed, counts = components_of(batch)
+            tokens = np.log10(np.maximum(parts(fixed, counts) @ shares, 1e-300))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.bincount(text, weights=tokens, minlength=batch.num_rows))], [*kept, "score"])
+
+    scored = counted.mapInArrow(score, f"{kinds.replace(' slice int,', '')}, score double")
     tails = rows.select("key", F.explode("tail").alias("word")).join(counts, "word", "left")
     sums = tails.groupBy("key").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("tail_log"), F.count("n").alias("tail_known"))
     copies = rows.groupBy("key").agg(F.count("*").alias("copies"))  # rows that agree in all are summed together
@@ -386,5 +547,5 @@ def scores(table: DataFrame, doc_id: str = "doc_id", text: str = "text", head_li
         (F.col("n_head") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base_head") + tail).alias("base_score"),
-        (F.col("score_head") + tail).alias("score"),
+        "score",
     )

@@ -110,6 +110,42 @@ def test_language_model_is_a_distribution(spark):
     counts.unpersist()
 
 
+@pytest.mark.parametrize("limit", [0, 200, 1_000_000])
+def test_language_model_follows_the_words_before(spark, limit):
+    rng = np.random.default_rng(5)
+    order = rng.permutation(600)
+    texts = [" ".join(f"a{i} b{order[i]}" for i in rng.integers(0, 600, 30)) for _ in range(420)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = maxent_lm.scores(table, feature_limit=limit).filter("held_out").collect()
+    per_pair = np.mean([r.score for r in found]) / 30
+    assert per_pair > -math.log10(600) - 1.2  # a word of 600, then one that is certain; the fixed part alone is 2.4 below
+
+
+def test_exact_features_of_all_texts(spark):
+    texts = ["a b c a b", "a b", None, "zz a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts * 3)), "doc_id long, text string").repartition(2)
+    counts = maxent_lm.word_counts(docs)
+    found = maxent_lm.feature_counts(maxent_lm.encoded(docs, maxent_lm.head_of(counts, 2))).collect()
+    expected = Counter()
+    for t in texts * 3:
+        ws = ["<s>"] * 3 + (t or "").split() + ["</s>"]
+        for i in range(3, len(ws)):
+            for kind, c in enumerate((ws[i - 1], (ws[i - 2], ws[i - 1]), ws[i - 2], ws[i - 3])):
+                expected[kind, c] += 1
+                expected[kind, c, ws[i]] += 1
+            expected[ws[i]] += 1
+    assert sorted(r.n for r in found) == sorted(expected.values())
+
+
+def test_mixture_parts_are_distributions():
+    rng = np.random.default_rng(6)
+    fixed = rng.dirichlet(np.ones(9))
+    both = rng.integers(0, 5, (9, maxent_lm.KINDS))
+    counts = np.zeros((9, maxent_lm.SLOTS), dtype=np.int64)
+    counts[:, 0:-1:2], counts[:, 1::2] = both.sum(axis=0), both
+    assert np.allclose(maxent_lm.parts(fixed, counts).sum(axis=0), 1)
+
+
 def test_fingerprints(spark):
     rng = np.random.default_rng(3)
     long = ["".join(rng.choice(list("abcdefghijkl mnop qrstuv"), 3000)) for _ in range(30)]
