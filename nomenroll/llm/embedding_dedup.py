@@ -7,6 +7,12 @@ passes follows from the number of classes: keys of two vectors at the threshold
 1 - angle / pi, about log2(classes / window) leading bits must agree, and passes are added until the wanted share of
 such pairs meets in at least one. Closer pairs meet more often.
 
+That number suits vectors that are spread evenly. So each pass also measures, for each vector, how long a key prefix it
+shares with the one a window away, on both sides: what a window can't reach there adds to its chance to have missed a
+pair. Vectors whose chance stays above the wanted one meet again among themselves, in as many passes as their density
+asks for, or, where that costs no more, all with all in blocks. Pairs that have an end elsewhere have met by that end.
+Vectors near the edge of a task count as not measured there.
+
 Windows give the components. Direct links are then counted exactly inside each component, in blocks of bounded size:
 a clique larger than a window loses no link. Counts leave a block, pairs don't.
 
@@ -18,7 +24,7 @@ gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +48,17 @@ def passes_for(classes: int, window: int = WINDOW, threshold: float = THRESHOLD,
     return 1 if meet >= recall else math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
+def missed(keys: np.ndarray, groups: np.ndarray, window: int, threshold: float) -> np.ndarray:
+    """Log of the chance that a pair at the threshold didn't meet in this pass, for each row but ``window`` at both ends."""
+    n = len(keys)
+    agree = 1 - math.acos(threshold) / math.pi
+    apart = (keys[window:] ^ keys[: n - window]) >> 10
+    shared = np.where(apart == 0, KEY_BITS, KEY_BITS - 10 - np.frexp(apart.astype(np.float64))[1])
+    meet = np.where((groups[window:] == groups[: n - window]).all(axis=1), agree ** (shared + 1.0), 1.0)
+    meet = (meet[window:] + meet[: len(meet) - window]) / 2
+    return np.log(np.maximum(1 - meet, 1e-20))
+
+
 def usable(vector: Column) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return F.coalesce(~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -102,7 +119,9 @@ def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def window_links(ordered: DataFrame, window: int, threshold: float) -> DataFrame:
-    """a, b: for each vector of a run, the smallest index it is connected with by pairs inside windows."""
+    """a, b, miss: for each vector of a run, the smallest index it is connected with by pairs inside windows; with null b,
+    what ``missed`` says of a."""
+    names = ["a", "b", "miss"]
 
     def compare(keys: np.ndarray, reps: np.ndarray, vectors: np.ndarray) -> pa.RecordBatch:
         vectors, n, found = unit(vectors), len(reps), []
@@ -113,7 +132,11 @@ def window_links(ordered: DataFrame, window: int, threshold: float) -> DataFrame
         a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         label = roots(n, a, b)
         at = np.flatnonzero(label != np.arange(n))
-        return pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(reps[label[at]])], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(reps[label[at]]), pa.nulls(len(at), pa.float64())], names)
+
+    def measure(keys: np.ndarray, reps: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+        inner = reps[window : len(reps) - window]
+        return pa.RecordBatch.from_arrays([pa.array(inner), pa.nulls(len(inner), pa.int64()), pa.array(missed(places, keys, window, threshold))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -122,38 +145,26 @@ def window_links(ordered: DataFrame, window: int, threshold: float) -> DataFrame
             for begin, end in zip([0, *cuts], [*cuts, whole.num_rows]):
                 batch = whole.slice(begin, end - begin)
                 keys = np.stack([np.array(batch.column(c)) for c in ("pass", "size")], axis=1)
-                parts = [keys, np.array(batch.column("rep")), matrix(batch.column("vector"))]
+                parts = [keys, np.array(batch.column("rep")), matrix(batch.column("vector")), np.array(batch.column("key"))]
                 if held is not None and held[2].shape[1] == parts[2].shape[1]:
                     parts = [np.concatenate(x) for x in zip(held, parts)]
                 if len(parts[1]):
-                    yield compare(*parts)
-                    held = [x[-window:] for x in parts]
+                    yield compare(*parts[:3])
+                    if len(parts[1]) > 2 * window:
+                        yield measure(parts[0], parts[1], parts[3])
+                    held = [x[-2 * window :] for x in parts]
 
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(run, "a long, b long, miss double")
 
 
-def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """component, part, parts, rep, copies, vector -> rep, links: to other classes, each counted with its copies."""
+def in_blocks(members: DataFrame, function: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``function`` of each two parts i <= j of a component, from component, part, parts, rep, copies, vector."""
     other = F.sequence(F.lit(0), F.col("parts") - 1)
     pairs = members.select("component", "rep", "copies", "vector", "part", F.explode(other).alias("o")).select(
         "component", F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), "part", "rep", "copies", "vector"
     )
     keys = ["component", "i", "j"]
 
-    def count(rows: pa.Table) -> pa.RecordBatch:
-        i, j, part = rows.column("i")[0].as_py(), rows.column("j")[0].as_py(), np.array(rows.column("part"))
-        reps, copies = np.array(rows.column("rep")), np.array(rows.column("copies"))
-        vectors = unit(matrix(rows.column("vector").combine_chunks()))
-        if i == j:
-            near = vectors @ vectors.T >= threshold
-            np.fill_diagonal(near, False)
-            links = near @ copies
-        else:
-            first, second = np.flatnonzero(part == i), np.flatnonzero(part == j)
-            near, links = vectors[first] @ vectors[second].T >= threshold, np.zeros(len(reps), np.int64)
-            links[first], links[second] = near @ copies[second], copies[first] @ near
-        return pa.RecordBatch.from_arrays([pa.array(reps), pa.array(links.astype(np.int64))], ["rep", "links"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         last = None
@@ -163,16 +174,78 @@ def count_links(members: DataFrame, threshold: float, block: int) -> DataFrame:
             for begin, end in zip([0, *cuts], [*cuts, batch.num_rows]):
                 key = tuple(at[begin]) if end > begin else last
                 if held and key != last:
-                    yield count(pa.Table.from_batches(held))
+                    yield function(pa.Table.from_batches(held))
                     held = []
                 if end > begin:
                     held.append(batch.slice(begin, end - begin))
                     last = key
         if held:
-            yield count(pa.Table.from_batches(held))
+            yield function(pa.Table.from_batches(held))
+
+    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def count_links(members: DataFrame, threshold: float) -> DataFrame:
+    """component, part, parts, rep, copies, vector -> rep, links: to other classes, each counted with its copies."""
+
+    def count(rows: pa.Table) -> pa.RecordBatch:
+        i, j, part = rows.column("i")[0].as_py(), rows.column("j")[0].as_py(), np.array(rows.column("part"))
+        reps, copies = np.array(rows.column("rep")), np.array(rows.column("copies"))
+        vectors = unit(matrix(rows.column("vector").combine_chunks()))
+        if i == j:
+            near = vectors @ vectors.T >= threshold
+            np.fill_diagonal(near, False)
+            links = near @ copies
+        else:
+            first, second = np.flatnonzero(part == i), np.flatnonzero(part == j)
+            near, links = vectors[first] @ vectors[second].T >= threshold, np.zeros(len(reps), np.int64)
+            links[first], links[second] = near @ copies[second], copies[first] @ near
+        return pa.RecordBatch.from_arrays([pa.array(reps), pa.array(links.astype(np.int64))], ["rep", "links"])
+
+    return in_blocks(members, count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+
+
+def all_links(classes: DataFrame, threshold: float, block: int) -> DataFrame:
+    """a, b: links that connect what any two vectors of one length connect."""
 
-    sums = pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "rep long, links long")
-    return sums.groupBy("rep").agg(F.sum("links").alias("links"))
+    def unite(rows: pa.Table) -> pa.RecordBatch:
+        reps, part = np.array(rows.column("rep")), np.array(rows.column("part"))
+        vectors = unit(matrix(rows.column("vector").combine_chunks()))
+        first, second = np.flatnonzero(part == rows.column("i")[0].as_py()), np.flatnonzero(part == rows.column("j")[0].as_py())
+        a, b = np.nonzero(vectors[first] @ vectors[second].T >= threshold)
+        label = roots(len(reps), first[a], second[b])
+        at = np.flatnonzero(label != np.arange(len(reps)))
+        return pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(reps[label[at]])], ["a", "b"])
+
+    members = classes.select(F.size("vector").cast("long").alias("component"), "rep", F.lit(1).cast("long").alias("copies"), "vector")
+    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    members = members.join(F.broadcast(sizes), "component").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int"))
+    return in_blocks(members, unite, "a long, b long")
+
+
+def all_rounds(classes: DataFrame, window: int, threshold: float, recall: float, block: int, seed: int) -> DataFrame:
+    """a, b: links of all classes, by as many passes as each vector's neighbourhood asks for."""
+    left, passes, links, wanted = classes.select("rep", "vector"), passes_for(classes.count(), window, threshold, recall), None, math.log(1 - recall)
+    state, number = None, 0
+    while True:
+        order = ["pass", "size", "key"]
+        ordered = keyed(left, passes, seed + 1000 * number).repartitionByRange(*order).sortWithinPartitions(*order)
+        found = written(window_links(ordered, window, threshold), "windows")
+        some = found.filter("b IS NOT NULL").select("a", "b")
+        links = some if links is None else links.unionByName(some)
+        miss = found.filter("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("miss").alias("now"))
+        state = left.select("rep") if state is None else state
+        before = F.col("miss") if "miss" in state.columns else F.lit(0.0)
+        state = state.join(miss, "rep", "left").withColumn("now", F.coalesce("now", F.lit(0.0))).select("rep", (before + F.col("now")).alias("miss"), (F.col("now") / passes).alias("each"))
+        state = written(state.filter(F.col("miss") > wanted), "state")
+        asked = F.when(F.col("each") < 0, (F.lit(wanted) - F.col("miss")) / F.col("each")).otherwise(1e9)
+        sums = state.agg(F.count("*").alias("n"), F.percentile_approx(asked, 0.9).alias("passes")).first()
+        if not sums["n"]:
+            return links
+        left = written(classes.select("rep", "vector").join(state.select("rep"), "rep", "left_semi"), "left")
+        passes, number = max(1, math.ceil(sums["passes"])), number + 1
+        if sums["n"] <= max(block, passes * min(block, 8 * window)):
+            return links.unionByName(all_links(left, threshold, block))
 
 
 def near_duplicates(
@@ -194,15 +267,12 @@ def near_duplicates(
     classes = written(
         good.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "classes"
     )
-    passes = passes_for(classes.count(), window, threshold, recall)
-    ordered = keyed(classes, passes, seed)
-    order = ["pass", "size", "key"]
-    links = window_links(ordered.repartitionByRange(*order).sortWithinPartitions(*order), window, threshold)
+    links = all_rounds(classes, window, threshold, recall, block, seed)
     joined = written(components(written(links.distinct(), "links")), "joined").withColumnRenamed("node", "rep")
     sizes = joined.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     members = classes.select("rep", "copies", "vector").join(joined.join(sizes, "component"), "rep")
     members = members.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int"))
-    counted = count_links(members, threshold, block)
+    counted = count_links(members, threshold)
     known = classes.select("h1", "h2", "rep", "copies").join(joined, "rep", "left").join(counted, "rep", "left")
     linked = good.select("vec_id", "h1", "h2").join(known, ["h1", "h2"]).select(
         "vec_id",

@@ -140,3 +140,28 @@ def test_vectors(spark):
         assert (found[i].n_links, found[i].component_id) == (0, i)
     assert [found[i].component_id for i, _ in other] == [3000, 3000, 3002] and found[3001].n_links == 1
     assert embedding_dedup.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_pairs_in_dense_regions_are_found(spark):
+    rng = np.random.default_rng(11)
+    n, size = 12_000, 64
+
+    def direction(shape):
+        x = rng.standard_normal(shape)
+        return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+    vectors = direction((n, size))
+    centre = direction(size)
+    dense = slice(0, n // 3)  # mutual cosine of 0.8
+    vectors[dense] = np.sqrt(0.8) * centre + np.sqrt(0.2) * direction((n // 3, size))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    pairs = []
+    for k in range(200):
+        a, b = 2 * k, n - 1 - k  # the partner replaces an evenly spread vector
+        off = direction(size)
+        off -= (off @ vectors[a]) * vectors[a]
+        vectors[b] = 0.905 * vectors[a] + np.sqrt(1 - 0.905**2) * off / np.linalg.norm(off)
+        pairs.append((a, b))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    found = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(table).collect()}
+    assert np.mean([found[a] == found[b] for a, b in pairs]) >= 0.95
