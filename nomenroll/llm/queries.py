@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nomenroll.llm import bpe, embedding_dedup, fingerprints, line_dedup, maxent_lm, ngram_join, packing, quality, toxicity, url_filters
+from nomenroll.llm import bpe, embedding_dedup, filter_audit, fingerprints, line_dedup, maxent_lm, merkle, ngram_join, packing, quality, toxicity, url_filters
 from nomenroll.llm.common import read
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -74,6 +75,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of all documents, for each source, order and step."""
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+#: The fields of a leaf, in order.
+LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and check; one row in seven is presented with its n_chars changed."""
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False))
+    n_chars = F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    presented = merkle.leaf_digest(*[n_chars if c == "n_chars" else F.col(c) for c in LEAF_FIELDS])
+    return merkle.verified(merkle.manifest(docs, "doc_id", "lang", LEAF_FIELDS, presented), "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_maxent_lm": op2_maxent_lm,
@@ -85,4 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_toxicity": op10_toxicity,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_merkle": op13_merkle,
 }
