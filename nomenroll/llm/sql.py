@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from nomenroll.llm.queries import URL_RULES
+from nomenroll.llm.queries import CONTROL_TEXT, URL_RULES
 
 _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{action}')" for host, path, action in URL_RULES)
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -62,6 +62,25 @@ ORACLES: dict[str, str] = {
                coalesce(m.n_lines, 0) AS n_lines, coalesce(m.n_removed, 0) AS n_removed
         FROM documents d LEFT JOIN merged m USING (doc_id)
     """,
+    "op11_chat_format": f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL
+            SELECT * FROM (VALUES (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}'))
+        ),
+        cut AS (
+            SELECT *, sha256(role || chr(10) || text) AS tie,
+                   length('<|im_start|>' || regexp_replace(replace(replace(role, '\\', '\\\\'), chr(10), '\\n'), '<(\\\\*)\\|', '<\\1\\\\|', 'g')
+                          || chr(10) || regexp_replace(text, '<(\\\\*)\\|', '<\\1\\\\|', 'g') || '<|im_end|>' || chr(10)) AS size
+            FROM turns
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, tie)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, tie) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(size) AS BIGINT) AS formatted_chars
+        FROM cut GROUP BY conv_id
+    """,
     "op12_filter_audit": """
         WITH RECURSIVE letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
         orders(filter_order, used) AS (
