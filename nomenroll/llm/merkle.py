@@ -20,6 +20,7 @@ fields are read, so extra columns never clash. An empty table gives an empty tab
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ from nomenroll.llm.common import written
 BITS = 8
 #: Rows of counts (one for each range partition and group) up to which they are broadcast; joined by shuffle beyond.
 BROADCAST_ROWS = 100_000
+_NO_STEPS = "cast(array() as array<struct<left: boolean, digest: string>>)"
 
 
 def encoded(field: Column) -> Column:
@@ -106,7 +108,7 @@ def _step(node: Column, parent: Column, before: Column, after: Column) -> Column
 
 def _paths(levels: Column, count: Column) -> Column:
     """For each node of the lowest level, its steps up to the block's single top node."""
-    none = F.expr("array(cast(array() as array<struct<left: boolean, digest: string>>))")
+    none = F.array(F.expr(_NO_STEPS))
     down = F.reverse(F.slice(F.array(*[F.lit(i) for i in range(BITS)]), 1, count))
 
     def below(paths: Column, level: Column) -> Column:
@@ -145,41 +147,51 @@ def blocks(nodes: DataFrame, bucket: int, payload: Sequence[str], label: str) ->
     )
 
 
-def tree(leaves: DataFrame, payload: Sequence[str], label: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, roots) of the trees of all groups.
+_WHOLE = "hi - lo = size"  # a block whose top node covers its group
 
-    ``leaves``: grp, size, lo, digest and ``payload``. rows: grp, digest, payload and ``steps``, from the leaf to its
-    group's top; roots: grp, digest.
-    """
+
+def grow(leaves: DataFrame, payload: Sequence[str], label: str) -> list[DataFrame]:
+    """The blocks of each bucket of levels over ``leaves`` (grp, size, lo, digest and ``payload``), lowest first."""
     nodes = leaves.withColumn("hi", F.col("lo") + 1)
     largest = leaves.agg(F.max("size")).first()[0] or 0
-    buckets = max(1, -(-max(0, largest - 1).bit_length() // BITS))
     made = []
-    for bucket in range(buckets):
+    for bucket in range(max(1, -(-max(0, largest - 1).bit_length() // BITS))):
         made.append(blocks(nodes, bucket, payload if bucket == 0 else [], f"{label}-{bucket}"))
-        nodes = made[-1].filter(height(F.col("size")) > BITS * (bucket + 1)).select("grp", "size", "lo", "hi", F.col("top").alias("digest"))
-    roots = made[0].filter(F.lit(False)).select("grp", F.col("top").alias("digest"))
-    steps = None
-    for bucket in reversed(range(buckets)):
+        nodes = made[-1].filter(f"NOT ({_WHOLE})").select("grp", "size", "lo", "hi", F.col("top").alias("digest"))
+    return made
+
+
+def tops(made: list[DataFrame]) -> DataFrame:
+    """grp, digest: the last node of each group, which one block has."""
+    found = [b.filter(_WHOLE).select("grp", F.col("top").alias("digest")) for b in made]
+    return reduce(DataFrame.unionByName, found)
+
+
+def attach(made: list[DataFrame], above: DataFrame, payload: Sequence[str]) -> DataFrame:
+    """grp, digest, payload, subroot, root and ``steps``, from the leaf up and on through ``above``.
+
+    ``above``: grp, subroot, root, steps, a row per group: it meets the one block that covers the group. Any other
+    block meets the node of the bucket above that contains it, by group and bucket key.
+    """
+    held = ["subroot", "root", "more"]
+    groups = above.select(F.col("grp").alias("g"), "subroot", "root", F.col("steps").alias("more"))
+    nodes = None
+    for bucket in reversed(range(len(made))):
         own = made[bucket]
-        done = F.col("hi") - F.col("lo") == F.col("size")
-        roots = roots.unionByName(own.filter(done).select("grp", F.col("top").alias("digest")))
-        if steps is None:
-            own = own.withColumn("more", F.expr("cast(array() as array<struct<left: boolean, digest: string>>)"))
-        else:
-            # the node above that contains the block, found by group and bucket key
-            own = own.join(
-                steps.select(F.col("grp").alias("g"), F.col("lo").alias("from"), F.col("hi").alias("to"), F.col("steps").alias("more")),
+        found = own.filter(_WHOLE).join(groups, F.col("grp") == F.col("g")).select(*own.columns, *held)
+        if nodes is not None:
+            parents = nodes.select(F.col("grp").alias("g"), F.col("lo").alias("begin"), F.col("hi").alias("end"), "subroot", "root", F.col("steps").alias("more"))
+            contained = (
                 (F.col("grp") == F.col("g"))
-                & (F.col("key") == F.shiftright("from", BITS * (bucket + 1)))
-                & (F.col("from") <= F.col("lo"))
-                & (F.col("hi") <= F.col("to")),
-                "left",
-            ).withColumn("more", F.coalesce("more", F.expr("cast(array() as array<struct<left: boolean, digest: string>>)")))
-        each = own.select("grp", "more", F.explode(F.arrays_zip("rows", "paths")).alias("x"))
+                & (F.col("key") == F.shiftright("begin", BITS * (bucket + 1)))
+                & (F.col("begin") <= F.col("lo"))
+                & (F.col("hi") <= F.col("end"))
+            )
+            found = found.unionByName(own.filter(f"NOT ({_WHOLE})").join(parents, contained).select(*own.columns, *held))
         names = ["lo", "hi", "digest", *(payload if bucket == 0 else [])]
-        steps = each.select("grp", *[F.col(f"x.rows.{c}").alias(c) for c in names], F.concat("x.paths", "more").alias("steps"))
-    return steps.select("grp", "digest", *payload, "steps"), roots
+        each = found.select("grp", *held, F.explode(F.arrays_zip("rows", "paths")).alias("x"))
+        nodes = each.select("grp", *[F.col(f"x.rows.{c}").alias(c) for c in names], "subroot", "root", F.concat("x.paths", "more").alias("steps"))
+    return nodes.select("grp", "digest", *payload, "subroot", "root", "steps")
 
 
 def folded(leaf: Column, steps: Column) -> Column:
@@ -210,14 +222,13 @@ def manifest(rows: DataFrame, key: str, group: str, fields: Sequence[str], prese
         (own if presented is None else presented).alias("presented"),
     )
     leaves = written(leaves, "merkle-leaves")
-    paths, subroots = tree(ranked(leaves, ["id", "digest"], "merkle-order"), ["id", "presented"], "merkle")
-    subroots = written(subroots, "merkle-subroots")
-    tops = ranked(subroots.select(F.lit("").alias("grp"), F.col("grp").alias("part"), "digest"), ["part"], "merkle-parts")
-    parts, root = tree(tops, ["part"], "merkle-top")
-    parts = parts.join(root.select("grp", F.col("digest").alias("root")), "grp")
-    parts = parts.select(F.col("part").alias("grp"), F.col("digest").alias("subroot"), "root", F.col("steps").alias("top_steps"))
-    return paths.join(parts, "grp").select(
-        F.col("id").alias(key), F.col("digest").alias("leaf"), "presented", "subroot", "root", F.concat("steps", "top_steps").alias("steps")
+    made = grow(ranked(leaves, ["id", "digest"], "merkle-order"), ["id", "presented"], "merkle")
+    parts = ranked(tops(made).select(F.lit("").alias("grp"), F.col("grp").alias("part"), "digest"), ["part"], "merkle-parts")
+    over = grow(parts, ["part"], "merkle-top")
+    root = tops(over).select("grp", F.col("digest").alias("subroot"), F.col("digest").alias("root"), F.expr(_NO_STEPS).alias("steps"))
+    above = attach(over, root, ["part"]).select(F.col("part").alias("grp"), F.col("digest").alias("subroot"), "root", "steps")
+    return attach(made, above, ["id", "presented"]).select(
+        F.col("id").alias(key), F.col("digest").alias("leaf"), "presented", "subroot", "root", "steps"
     )
 
 
