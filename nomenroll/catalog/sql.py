@@ -318,6 +318,13 @@ ORDERS_STATUS = table_status(
     "o_orderkey",
     "o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority",
 )
+_PLAIN_ORDERS = "SELECT * REPLACE (CAST(o_orderdate AS TIMESTAMP) AS o_orderdate) FROM orders"
+CORRECTED_ORDERS = (
+    f"SELECT * REPLACE (CASE WHEN o_orderdate >= TIMESTAMP '2001-01-01' AND o_orderstatus = 'F' THEN o_totalprice + 1 "
+    f"ELSE o_totalprice END AS o_totalprice) FROM ({_PLAIN_ORDERS}) WHERE o_orderdate < TIMESTAMP '2001-01-01' "
+    f"OR o_orderstatus <> 'P' UNION ALL SELECT * FROM ({_PLAIN_ORDERS}) WHERE o_orderdate >= TIMESTAMP '2001-01-01' "
+    f"AND o_orderpriority = '1-URGENT'"
+)
 LINE_REST = (
     "l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate"
 )
@@ -508,6 +515,9 @@ ORACLES: dict[str, str] = {
     "table_verify_hot_keys": table_status(
         "SELECT * FROM lineitem", LATER_LINES, "l_returnflag, l_linestatus", f"l_orderkey, l_linenumber, {LINE_REST}"
     ),
+    "table_verify_by_ranges": "SELECT * FROM ("
+    + table_status(_PLAIN_ORDERS, CORRECTED_ORDERS, "o_orderdate, o_orderkey", "o_custkey, o_orderstatus, o_totalprice, o_orderpriority")
+    + ") WHERE status <> 'ok'",
     "table_verdict": verdict_of(f"({ORDERS_STATUS})"),
     "checksum_parse": f"WITH {PAGE_LIST} SELECT path, digest FROM listed",
     "checksum_list_roundtrip": (

@@ -1,3 +1,5 @@
+import datetime
+import decimal
 import hashlib
 import os
 import pathlib
@@ -7,7 +9,17 @@ import pytest
 from pyspark.sql import functions as F
 
 from nomenroll.functions.digests import row_digest, sha256_hex
-from nomenroll.operators.verify import compare_digests, compare_tables, last_entry, listed_only, on_both_sides, verdict
+from nomenroll.operators.verify import (
+    changed_keys,
+    compare_digests,
+    compare_ranges,
+    compare_tables,
+    key_ranges,
+    last_entry,
+    listed_only,
+    on_both_sides,
+    verdict,
+)
 from nomenroll.plans.verification import publish_checksums, verify_files
 from nomenroll.sources import artifacts as A
 
@@ -80,6 +92,64 @@ def test_hot_key_does_not_pair_rows(spark):
     assert "Join" not in compared._jdf.queryExecution().executedPlan().toString()
 
 
+def _not_ok(spark, before, after, key):
+    return status(compare_tables(before, after, key).filter("status <> 'ok'"), *key)
+
+
+KEYS = {
+    "bigint": lambda i: (i - 300) * 10**15,
+    "int": lambda i: i * 7 - 900,
+    "date": lambda i: datetime.date(1969, 6, 1) + datetime.timedelta(days=i),
+    "timestamp": lambda i: datetime.datetime(1969, 12, 31) + datetime.timedelta(minutes=37 * i, microseconds=i),
+    "string": lambda i: f"k{i}",
+    "decimal(10,2)": lambda i: decimal.Decimal(i) / 4,
+}
+
+
+@pytest.mark.parametrize("kind", KEYS)
+@pytest.mark.parametrize("count", [1, 16, 4096])
+def test_changed_keys(spark, kind, count):
+    make = KEYS[kind]
+    rows = [(make(i), i % 3, str(i)) for i in range(600)] + [(make(5), 1, "again")] * 2 + [(None, 0, "null"), (None, None, None)]
+    later = [r for i, r in enumerate(rows) if i not in (7, 590)]
+    later[100] = (*later[100][:2], "changed")
+    later.remove((make(5), 1, "again"))
+    later += [(make(700), 0, "new"), (None, 1, "more")]
+    later = [(k, n, v if (k, v) != (None, "null") else None) for k, n, v in later]
+    schema = f"k {kind}, n int, v string"
+    before, after = spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(later, schema)
+    key = ["k", "n"]
+    want = _not_ok(spark, before, after, key)
+    assert len(want) == 7 and status(changed_keys(before, after, key, count=count), *key) == want
+    assert changed_keys(before, before, key, count=count).count() == 0
+    empty = before.limit(0)
+    assert changed_keys(empty, empty, key).count() == 0
+    assert set(status(changed_keys(empty, after, key), *key).values()) == {"extra"}
+
+
+def test_ranges_shuffle_sums_only(spark, path):
+    rows = spark.range(20_000).select(F.timestamp_seconds(F.col("id") * 3600).alias("t"), F.col("id").alias("v"))
+    rows.repartitionByRange(8, "t").write.parquet(path)
+    before = spark.read.parquet(path)
+    after = before.withColumn("v", F.when(F.col("v") >= 19_500, 0).otherwise(F.col("v")))
+    cut = key_ranges(before, after, ["t"], 64)
+    compared = compare_ranges(before, after, cut)
+    assert compared.count() <= 64 and compared.filter("differs").count() < 6
+    changed = changed_keys(before, after, ["t"], count=64)
+    assert changed.count() == 500
+    plan = changed._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(t), GreaterThanOrEqual(t," in plan
+    same = changed_keys(before, before, ["t"])
+    assert same.count() == 0 and "Exchange" not in same._jdf.queryExecution().optimizedPlan().toString()
+    assert "FileScan" not in same._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_exchange(spark):
+    rows = spark.range(100).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    plan = compare_tables(rows, rows, ["k"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 GLOBS = ["*.tmp", "b/*.tmp", "a/*", "x?.bin", "[ab]/f", "[!a]*", "a/b/c.txt", "*", "d.e", "**/q"]
 PATHS = ["f.tmp", "a/f.tmp", "a/b/f.tmp", "b/f.tmp", "c/b/f.tmp", "a/x", "a/b/x", "x1.bin", "x12.bin", "a/f", "c/f",
          "a/b/c.txt", "z/a/b/c.txt", "d.e", "dxe", "m/n/q", "q", "ب/پ.tmp", "a\nb.tmp"]
