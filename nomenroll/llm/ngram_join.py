@@ -33,14 +33,15 @@ from pyspark.sql import functions as F
 from nomenroll.llm.common import components, slices, text_bytes, words, written
 
 #: Signatures of one bucket, about, and of a chunk that is packed at once.
-BUCKET_SIGNATURES = 1_500_000
-CHUNK_SIGNATURES = 1_500_000
+BUCKET_SIGNATURES = 500_000
+CHUNK_SIGNATURES = 400_000
 #: A block of the exact count holds so many documents and bytes of sets at most, on average.
 BLOCK_DOCS, BLOCK_BYTES = 4096, 16 << 20
 #: For the choice by cost: the chance, for each token that a signature covers, that unrelated documents agree in it
 #: (measured: about 6e-8 for subsets of 5.6 tokens), and a pair's cost in signatures.
 SHARED, PAIR_COST = 0.05, 0.1
-MEMO_WORDS = 500_000
+#: Words that the memo holds at most, some 15 MB.
+MEMO_WORDS = 100_000
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -52,7 +53,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Words(dict):
-    """Word to 64-bit hash; bounded."""
+    """Word to 64-bit hash; bounded, and emptied when a task ends, since workers are used again."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMO_WORDS:
@@ -64,6 +65,18 @@ class _Words(dict):
 _WORDS = _Words()
 
 
+def _releasing(run):
+    """``run``, a function of batches, with the memo emptied after it."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _WORDS.clear()
+
+    return wrapped
+
+
 def shingles(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``size`` words; of all words, if they are fewer."""
     found = words(text)
@@ -157,7 +170,7 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(h, pa.int64()) for h in halves)], ["doc_id", "n_shingles", "k1", "k2"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long")
+    return docs.mapInArrow(_releasing(run), "doc_id long, n_shingles long, k1 long, k2 long")
 
 
 def _stars(signatures: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,7 +250,7 @@ def candidate_links(docs: DataFrame, size: int, bands: Bands, buckets: int) -> D
 
     blobs = "bucket long, data binary"
     gather = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    return gather(gather(docs.mapInArrow(pack, blobs)).mapInArrow(link, blobs)).mapInArrow(unite, "a long, b long")
+    return gather(gather(docs.mapInArrow(_releasing(pack), blobs)).mapInArrow(link, blobs)).mapInArrow(unite, "a long, b long")
 
 
 def exact_links(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -250,7 +263,7 @@ def exact_links(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
             tokens = pa.array([shingles(x, size).tobytes() for x in text_bytes(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), tokens], names)
 
-    made = members.mapInArrow(sets, "cluster long, part int, parts int, rep long, copies long, tokens binary")
+    made = members.mapInArrow(_releasing(sets), "cluster long, part int, parts int, rep long, copies long, tokens binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
     pairs = made.select("*", other).withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o")}).drop("o", "parts")
     keys = ["cluster", "i", "j"]
