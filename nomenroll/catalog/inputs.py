@@ -15,6 +15,7 @@ from nomenroll.functions.ordering import packed_order
 from nomenroll.operators.gazetteer import Gazetteer, build_gazetteer
 
 # --- Fixed values shared with the SQL side ----------------------------------------------------
+WORD = "[a-zß-öø-ÿ]+"
 CAPITALIZED = "[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ]+"
 PATTERNS = {
     "PER": CAPITALIZED,
@@ -143,7 +144,23 @@ def candidate_order() -> Column:
     return packed_order((F.col("src"), 1), (F.col("id"), 19), (F.col("pos"), 10))
 
 
-def document_gazetteer(spark: SparkSession, sf_dir: str, broadcast_bytes: int | None = None) -> Gazetteer:
+def one_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one text, in order of their ids, with single spaces."""
+    in_order = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
+    return spaced_documents(spark, sf_dir).agg(F.array_join(in_order["text"], " ").alias("text")).select(F.lit(0).alias("doc_id"), "text")
+
+
+def word_pair_gazetteer(spark: SparkSession, sf_dir: str) -> Gazetteer:
+    """Pairs of lower-case words, which overlap one another along whole sentences, typed by their length."""
+    pairs = F.regexp_extract_all("text", F.lit(f"{WORD} {WORD}"), F.lit(0))
+    found = spaced_documents(spark, sf_dir).select(F.explode(pairs).alias("surface")).distinct()
+    kinds = F.array(*[F.lit(k) for k in ("PER", "LOC", "ORG", "FAC", "PRO", "EVENT")])
+    return build_gazetteer(found.select("surface", F.element_at(kinds, F.char_length("surface") % 6 + 1).alias("type")))
+
+
+def document_gazetteer(
+    spark: SparkSession, sf_dir: str, broadcast_bytes: int | None = None, filter_bytes: int | None = None
+) -> Gazetteer:
     """All capitalised words and word pairs, typed by their length."""
     surfaces = F.concat(
         F.regexp_extract_all("text", F.lit(CAPITALIZED), F.lit(0)),
@@ -152,4 +169,4 @@ def document_gazetteer(spark: SparkSession, sf_dir: str, broadcast_bytes: int |
     kinds = F.array(*[F.lit(k) for k in ("PER", "LOC", "ORG", "FAC", "PRO", "EVENT")])
     found = spaced_documents(spark, sf_dir).select(F.explode(surfaces).alias("surface")).distinct()
     typed = found.select("surface", F.element_at(kinds, F.char_length("surface") % 6 + 1).alias("type"))
-    return build_gazetteer(typed, broadcast_bytes=broadcast_bytes)
+    return build_gazetteer(typed, broadcast_bytes=broadcast_bytes, filter_bytes=filter_bytes)

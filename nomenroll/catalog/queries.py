@@ -220,10 +220,23 @@ def matches_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def matches_gazetteer_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same matches by a shuffled join, as for a gazetteer too large to broadcast."""
+    book = I.document_gazetteer(spark, sf_dir, broadcast_bytes=0, filter_bytes=0)
+    return gazetteer_matches(I.spaced_documents(spark, sf_dir), ["doc_id"], "text", book)
+
+
+@query
+def matches_gazetteer_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a shuffled join again, with a membership filter that holds back n-grams that are no surface."""
     book = I.document_gazetteer(spark, sf_dir, broadcast_bytes=0)
     return gazetteer_matches(I.spaced_documents(spark, sf_dir), ["doc_id"], "text", book)
 
 
+@query
+def mentions_one_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps in one very long text, all documents in a row: its parts are resolved apart."""
+    return gazetteer_spans(I.one_text(spark, sf_dir), ["doc_id"], "text", I.word_pair_gazetteer(spark, sf_dir))
+
+
 @query
 def mentions_gazetteer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gazetteer matches, leftmost and then longest where they overlap."""

@@ -409,6 +409,18 @@ ORACLES: dict[str, str] = {
     ),
     "matches_gazetteer": f"WITH RECURSIVE {GAZETTEER} SELECT doc_id, text, type, start_char, end_char FROM matches",
     "matches_gazetteer_joined": f"WITH RECURSIVE {GAZETTEER} SELECT doc_id, text, type, start_char, end_char FROM matches",
+    "matches_gazetteer_filtered": f"WITH RECURSIVE {GAZETTEER} SELECT doc_id, text, type, start_char, end_char FROM matches",
+    "mentions_one_text": (
+        f"WITH docs AS ({DOCS}), surfaces AS (SELECT DISTINCT unnest(regexp_extract_all(text, {quoted(f'{I.WORD} {I.WORD}')})) "
+        "AS surface FROM docs), all_text AS (SELECT string_split(string_agg(text, ' ' ORDER BY doc_id), ' ') AS ws FROM docs), "
+        "words AS (SELECT unnest(ws) AS word, unnest(range(0, len(ws))) AS i FROM all_text), "
+        "placed AS (SELECT i, word || ' ' || lead(word) OVER w AS surface, coalesce(sum(length(word) + 1) OVER (ORDER BY i "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM words WINDOW w AS (ORDER BY i)), "
+        "matches AS (SELECT i, surface, pos, i - row_number() OVER (ORDER BY i) AS island FROM placed JOIN surfaces USING (surface)) "
+        "SELECT 0 AS doc_id, surface AS text, ['PER','LOC','ORG','FAC','PRO','EVENT'][length(surface) % 6 + 1] AS type, "
+        "CAST(pos AS INTEGER) AS start_char, CAST(pos + length(surface) AS INTEGER) AS end_char FROM matches "
+        "QUALIFY row_number() OVER (PARTITION BY island ORDER BY i) % 2 = 1"
+    ),
     "mentions_gazetteer": f"WITH RECURSIVE {GAZETTEER} SELECT doc_id, text, type, start_char, end_char FROM kept",
     "processed_gazetteer": (
         f"WITH RECURSIVE {GAZETTEER}, arrays AS (SELECT doc_id, CAST(to_json(list({{'text': text, 'type': type, "

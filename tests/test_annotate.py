@@ -137,8 +137,7 @@ def greedy(text, entries):
 
 def test_gazetteer_agrees_with_brute_force(spark, monkeypatch):
     # small windows, so that surfaces cross every kind of border
-    monkeypatch.setattr(G, "OUTER_WINDOW", 64)
-    monkeypatch.setattr(G, "INNER_WINDOW", 16)
+    monkeypatch.setattr(G, "WINDOWS", (256, 64, 16))
     rng = random.Random(5)
     words = ["a", "b", "ab", "ba", "cc", "😀", "شهر", "longerword"]
     surfaces = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 5))) for _ in range(25)}
@@ -188,7 +187,8 @@ def test_overlap_golden(spark):
     assert got == [("b", "ORG", 0, 9), ("d", "PER", 10, 12)]
 
 
-def test_overlaps_agree_with_plain_greedy(spark):
+@pytest.mark.parametrize("part", [1, 7, 64, 1 << 16])
+def test_overlaps_agree_with_plain_greedy(spark, part):
     rng = random.Random(11)
     rows = []
     for k in range(120):
@@ -197,7 +197,7 @@ def test_overlaps_agree_with_plain_greedy(spark):
             rows.append((k, "t", rng.choice(list(ORDER)), start, start + rng.randrange(1, 15)))
     rows += [(999, "t", "PER", i, i + 2) for i in range(3000)]  # one island of 3000 matches
     frame = spark.createDataFrame(rows, "k int, text string, type string, start_char int, end_char int")
-    got = sorted((r.k, r.type, r.start_char, r.end_char) for r in G.resolve_overlaps(frame, ["k"]).collect())
+    got = sorted((r.k, r.type, r.start_char, r.end_char) for r in G.resolve_overlaps(frame, ["k"], part).collect())
     want = []
     for k in {r[0] for r in rows}:
         free = 0
@@ -208,10 +208,35 @@ def test_overlaps_agree_with_plain_greedy(spark):
     assert got == sorted(want)
 
 
-def test_resolution_uses_one_shuffle(spark):
-    frame = spark.createDataFrame([(1, "a", "PER", 0, 1)], "k int, text string, type string, start_char int, end_char int")
-    plan = G.resolve_overlaps(frame.repartition(3), ["k"])._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning(k") == 1
+def test_parts_of_a_document_are_resolved_apart(spark, path):
+    # one document; every hundred characters an island of three matches, every tenth of them across two parts
+    start = F.floor(F.col("id") / 3) * 100 + 97 + F.col("id") % 3 * 2
+    rows = spark.range(30_000).select(
+        (F.col("id") * 0).cast("int").alias("k"), F.lit("t").alias("text"), F.lit("PER").alias("type"), start.cast("int").alias("start_char"), (start + 3).cast("int").alias("end_char")
+    )
+    rows.write.parquet(path)
+    resolved = G.resolve_overlaps(spark.read.parquet(path), ["k"], 1000)
+    assert len(resolved.collect()) == 20_000
+    plan = resolved._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    # the matches are shuffled once, by document and part; what goes on by document alone are open islands
+    assert len(re.findall(r"- Exchange hashpartitioning\(k#\d+, part#", plan)) == 1 and "ReusedExchange" in plan
+    assert rows.groupBy("k", F.floor(F.col("start_char") / 1000)).count().agg(F.max("count")).first()[0] <= 32
+
+
+@pytest.mark.parametrize("limit", [200, 1000, None])
+def test_membership_filter(spark, limit):
+    rng = random.Random(8)
+    known = [f"w{i} v{i}" for i in range(300)]
+    book = G.build_gazetteer(spark.createDataFrame([(x, "PER") for x in known], "surface string, type string"), broadcast_bytes=0, filter_bytes=limit)
+    assert G.filter_blocks(book) == {200: 1, 1000: 5, None: 8}[limit]
+    other = [f"w{i} v{i + 1}" for i in range(5000)]
+    ngrams = spark.createDataFrame([(x,) for x in known + other], "surface string")
+    left = {r.surface for r in G.possible_surfaces(ngrams, book).collect()}
+    assert set(known) <= left and (limit is not None or len(left) < 300 + 150)
+    texts = [" ".join(rng.choice(known + other) for _ in range(30)) for _ in range(40)]
+    entries = dict.fromkeys(known, "PER")
+    found = sorted(tuple(r) for r in G.gazetteer_spans(docs(spark, texts), ["doc_id"], "text", book).collect())
+    assert found == sorted((i, *s) for i, text in enumerate(texts) for s in greedy(text, entries))
 
 
 def spans_frame(spark):
