@@ -191,13 +191,13 @@ def teach(docs: DataFrame, known: DataFrame, doc_id: str, text: str, sample: int
     return train(parts, np.array(ys, dtype=np.float64)) if len(set(ys)) == 2 else None
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, held_out: int = 1, sample: int = SAMPLE, keep: list[str] | None = None) -> tuple[Toxicity, DataFrame]:
-    """The model, and id, ``keep`` columns and raw score of every document. Rows whose crc32(id) mod ``modulus`` is ``held_out`` teach
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, held_out: int = 1, sample: int = SAMPLE) -> tuple[Toxicity, DataFrame]:
+    """The model, and id and raw score of every document. Rows whose crc32(id) mod ``modulus`` is ``held_out`` teach
     nothing; of the others, three quarters may teach vectors and the rest calibrates."""
     known = known_labels(docs, labels, doc_id, label, modulus, held_out)
     taught = teach(docs, known, doc_id, text, sample)
     model = taught or Toxicity(np.zeros(BUCKETS, np.float32))
-    raws = written(scored(docs, model.raw, "__raw", list(dict.fromkeys([doc_id, *(keep or [])])), text), "raw")
+    raws = written(scored(docs, model.raw, "__raw", [doc_id], text), "raw")
     rest = known.filter("part = 3") if taught else known
     model.calibration = Logistic(histogram(raws.join(rest, F.col(doc_id) == F.col("id")), "__raw", "y", -40.0, 40.0))
     return model, raws
@@ -218,9 +218,12 @@ def scored(docs: DataFrame, function, name: str, keep: list[str], text: str = "t
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``keep`` columns of ``docs`` (default: the id), held_out, score, predicted."""
     keep = [c for c in keep or [doc_id] if c not in ("held_out", "score", "predicted")]
-    model, raws = fit(docs, labels, doc_id, text, keep=keep)
-    a, b = model.calibration.a, model.calibration.b
-    odds = F.least(F.greatest(F.col("__raw") * F.lit(a) + F.lit(b), F.lit(-30.0)), F.lit(30.0))
-    result = raws.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))
+    model, raws = fit(docs, labels, doc_id, text)
+    if keep == [doc_id]:
+        a, b = model.calibration.a, model.calibration.b
+        odds = F.least(F.greatest(F.col("__raw") * F.lit(a) + F.lit(b), F.lit(-30.0)), F.lit(30.0))
+        result = raws.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))
+    else:  # scored again: a table of raw scores with all columns would be a copy of the texts
+        result = scored(docs, lambda texts: model.calibration(model.raw(texts)), "score", list(dict.fromkeys([*keep, doc_id])), text)
     held = F.coalesce(remainder(F.col(doc_id), 3) == 1, F.lit(False))
     return result.select(*keep, held.alias("held_out"), "score", (F.col("score") >= REJECT).cast("int").alias("predicted"))
