@@ -23,6 +23,17 @@ PATTERNS = {
     "ORG": f"{CAPITALIZED} (?:of|de|la|und) [a-zß-öø-ÿ]+",
     "DATE": "[0-9]{2,}",
 }
+#: All six classes.
+CLASS_PATTERNS = {
+    "PER": CAPITALIZED,
+    "LOC": "[a-zß-öø-ÿ]{12,}",
+    "ORG": f"{CAPITALIZED} (?:of|de|la|und) [a-zß-öø-ÿ]+",
+    "FAC": "[A-Z]{2,}",
+    "PRO": "[0-9]{2,}",
+    "EVENT": "(?:the|das|les|los) [a-zß-öø-ÿ]{3,}",
+}
+#: Matches with blanks at their ends, and of a blank alone.
+PADDED_PATTERNS = {"PER": f" ?{CAPITALIZED} ?", "LOC": "[a-zß-öø-ÿ]{12,} ", "PRO": " [0-9]{2,}", "EVENT": " (?:[0-9]+ )?"}
 LETTERS = (
     "abcdefghijklmnopqrstuvwxyzàâçéèêîôûüäößñáíóú,",
     "ابكدیفگهيجكلمنوپ‌رستىـشخيزَآچِّٰئؤُقعغصضطظحث،",
@@ -68,6 +79,14 @@ def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return standardize(table(spark, sf_dir, "documents"), title="source", content="text", key=["doc_id"])
 
 
+def uneven_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a capitalised source as title; contents are null for Spanish, empty for French, blank for German."""
+    lang = F.col("lang")
+    text = F.when(lang == "es", None).when(lang == "fr", "").when(lang == "de", " \t\n ").otherwise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").withColumns({"text": text, "source": F.initcap("source")})
+    return standardize(docs, title="source", content="text", key=["doc_id"])
+
+
 def pages_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumn("link", F.col("url"))
     return standardize(pages, title="url", content="html", key=["page_id"])

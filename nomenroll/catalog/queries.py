@@ -55,8 +55,9 @@ from nomenroll.plans.verification import publish_checksums, verify_files
 from nomenroll.plans.extraction import annotate_fields, gazetteer_fields, inventory_of, run_extraction
 from nomenroll.plans.quality import run_quality, with_context
 from nomenroll.session import scratch_path
-from nomenroll.sources import artifacts, corpus, inventory
-from nomenroll.streaming.ingest import read_table, running_rule_counts, running_totals, start_extraction
+from nomenroll.sources import artifacts, corpus, folders, inventory
+from nomenroll.streaming.compaction import compact_all
+from nomenroll.streaming.ingest import read_table, record_progress, run_record, running_rule_counts, running_totals, start_extraction
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -120,6 +121,13 @@ def first_n_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_n(after_key(I.documents_corpus(spark, sf_dir), "doc_id", 99), "doc_id", 500)
 
 
+@query
+def first_n_most_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine tenths of a table in key order, found by counting: no task sorts them."""
+    orders = I.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return first_n(orders, "o_orderkey", orders.count() * 9 // 10)
+
+
 @query
 def corpus_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corpus written as CSV and scanned back: quotes, line breaks and markup stay as they are."""
@@ -270,6 +278,26 @@ def mentions_both_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory_of(_annotated(spark, sf_dir), ["doc_id"])
 
 
+@query
+def mentions_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null, empty and blank contents beside titles with mentions; spans with blanks at their ends, and of nothing else."""
+    return inventory_of(annotate_fields(I.uneven_corpus(spark, sf_dir), ["doc_id"], pattern_annotator(I.PADDED_PATTERNS), "both", NO_STAGES), ["doc_id"])
+
+
+@query
+def spans_by_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the same corpus with and without spans, by field, and how many of their spans no inventory takes."""
+    annotated = annotate_fields(I.uneven_corpus(spark, sf_dir), ["doc_id"], pattern_annotator(I.PADDED_PATTERNS), "both", NO_STAGES)
+    fields = [F.struct(F.lit(f).alias("field"), F.col(f"entities_{f}").alias("spans")) for f in ("title", "content")]
+    each = annotated.select(F.explode(F.array(*fields)).alias("x")).select("x.*")
+    return each.groupBy("field").agg(
+        F.count_if(F.size("spans") > 0).alias("with_spans"),
+        F.count_if(F.size("spans") == 0).alias("without"),
+        F.sum(F.size(F.filter("spans", lambda s: F.trim(s["text"]) == "")).cast("bigint")).alias("blank_spans"),
+        F.sum(F.size(F.filter("spans", lambda s: (F.trim(s["text"]) != "") & (F.trim(s["text"]) != s["text"]))).cast("bigint")).alias("padded_spans"),
+    )
+
+
 @query
 def mentions_from_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inventory from the processed table's JSON; one more type is mapped to a class."""
@@ -309,6 +337,34 @@ def inventory_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.read_inventory(spark, path, type(rows.schema)(columns), "csv")
 
 
+def _six_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = I.spaced_documents(spark, sf_dir)
+    return mentions(docs.select("doc_id", pattern_annotator(I.CLASS_PATTERNS)(F.col("text")).alias("spans")), ["doc_id"], {"content": "spans"})
+
+
+@query
+def inventory_class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five of six classes as one CSV file each, imported by file name; the sixth file is absent."""
+    path = scratch_path(spark, "class-files")
+    inventory.write_class_files(_six_classes(spark, sf_dir), path, [c for c in K.ENTITY_CLASSES if c != "FAC"])
+    return inventory.read_class_files(spark, path)
+
+
+@query
+def inventory_file_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventory files by class as written: rows, and whether at most one is below a tenth of the target size."""
+    path, target = scratch_path(spark, "sized"), 64 << 10
+    inventory.write_inventory(_six_classes(spark, sf_dir).repartition(64), path, target_bytes=target)
+    files = (
+        spark.read.parquet(path)
+        .groupBy("entity_class", "_metadata.file_path")
+        .agg(F.count("*").alias("n"), F.first("_metadata.file_size").alias("bytes"))
+    )
+    return files.groupBy("entity_class").agg(
+        F.sum("n").alias("mentions"), (F.count_if(F.col("bytes") < target / 10) <= 1).alias("sized")
+    )
+
+
 @query
 def dropped_span_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of types that no inventory takes."""
@@ -331,12 +387,14 @@ def extraction_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def extraction_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The run's metrics row: rows in, mentions per class, dropped types."""
+    """The run's metrics row, read back from its table: rows in and observed, mentions per class, dropped types."""
     path = scratch_path(spark, "extraction")
-    metrics = run_extraction(_annotated(spark, sf_dir), ["doc_id"], path, config=NO_STAGES)
-    return metrics.select(
+    run_extraction(_annotated(spark, sf_dir), ["doc_id"], path, config=NO_STAGES)
+    return spark.read.parquet(f"{path}/runs").select(
         "text_field",
         "rows_in",
+        "observed_rows",
+        "agrees",
         *[F.col("mentions")[c].alias(f"mentions_{c.lower()}") for c in K.ENTITY_CLASSES],
         F.to_json("dropped_types").alias("dropped_types"),
     )
@@ -399,6 +457,14 @@ def qc_split_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
+@query
+def qc_raw_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw copy of all rows as it was written."""
+    path = scratch_path(spark, "raw")
+    inventory.write_raw_copy(with_rules(I.candidates(spark, sf_dir)), path)
+    return spark.read.parquet(path).select("context", "entity")
+
+
 @query
 def qc_split_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals(_ledger(spark, sf_dir))
@@ -638,7 +704,7 @@ def named_file_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Named files, the list of names made from the folder's own listing; paths relative to the root."""
     root = _supplier_files(spark, sf_dir)
     listed = artifacts.exclude_globs(artifacts.list_files(spark, root), "path", ["_*", ".*"])
-    digests = artifacts.named_file_digests(spark, [r.path for r in listed.select("path").toLocalIterator()], root=root)
+    digests = artifacts.named_file_digests(spark, listed.select("path"), root=root)
     return digests.select(_supplier_of("path"), "digest")
 
 
@@ -654,20 +720,23 @@ def files_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming ------------------------------------------------------------------------------
 
 
-def _stream_documents(spark: SparkSession, sf_dir: str, **options) -> str:
+def _stream_documents(spark: SparkSession, sf_dir: str, with_progress: bool = False, **options) -> str:
     """Documents as a stream of files, a few per micro-batch, through the extraction job."""
     source, out, checkpoint = (scratch_path(spark, f"stream-{part}") for part in ("in", "out", "checkpoint"))
     docs = I.documents_corpus(spark, sf_dir)
     docs.repartitionByRange(6, "doc_id").write.parquet(source)
     stream = corpus.stream_files(spark, source, docs.schema, files_per_batch=2)
-    start_extraction(
+    query = start_extraction(
         stream,
         ["doc_id"],
         lambda batch: annotate_fields(batch, ["doc_id"], _spans_by_pattern(), "content", NO_STAGES),
         out,
         checkpoint,
         **options,
-    ).awaitTermination()
+    )
+    query.awaitTermination()
+    if with_progress:
+        record_progress(query, out, spark)
     return out
 
 
@@ -687,3 +756,44 @@ def stream_qc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_qc_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals of a streamed corpus."""
     return running_totals(spark, _stream_documents(spark, sf_dir, count_rules=True, settings=STREAM_SETTINGS))
+
+
+@query
+def stream_qc_counts_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running rule counts after earlier batches have been merged below a mark."""
+    out = _stream_documents(spark, sf_dir, count_rules=True, settings=STREAM_SETTINGS)
+    compact_all(spark, out)
+    return running_rule_counts(spark, out)
+
+
+@query
+def stream_mentions_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs on one checkpoint: files come between them, and the last batch of the first run is replayed."""
+    source, out, checkpoint = (scratch_path(spark, f"stream-{part}") for part in ("in", "out", "checkpoint"))
+    docs = I.documents_corpus(spark, sf_dir)
+
+    def run() -> None:
+        stream = corpus.stream_files(spark, source, docs.schema, files_per_batch=1)
+        annotate = lambda batch: annotate_fields(batch, ["doc_id"], _spans_by_pattern(), "content", NO_STAGES)
+        start_extraction(stream, ["doc_id"], annotate, out, checkpoint).awaitTermination()
+
+    first = F.length("content") % 2 == 0
+    docs.filter(first).repartition(2).write.parquet(source)
+    run()
+    # as after a crash between a batch's writes and its commit
+    commits = [c for c in folders.children(spark, f"{checkpoint}/commits") if c.isdigit()]
+    folders.remove(spark, f"{checkpoint}/commits/{max(commits, key=int)}")
+    docs.filter(~first).repartition(2).write.mode("append").parquet(source)
+    run()
+    return read_table(spark, out, "inventory")
+
+
+@query
+def stream_run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record of a streamed run, added up: rows and mentions observed, committed and reported by Spark."""
+    out = _stream_documents(spark, sf_dir, with_progress=True)
+    return run_record(spark, out).agg(
+        F.count("*").alias("batches"),
+        *[F.sum(c).alias(c) for c in ("rows_observed", "rows_committed", "input_rows", "mentions_observed", "mentions_committed")],
+        F.bool_and("agrees").alias("agrees"),
+    )

@@ -128,6 +128,15 @@ JSON_SPANS = (
     "ORDER BY start_char, end_char DESC, rank)) AS VARCHAR), '[]')"
 )
 
+_UNEVEN_CONTENT = f"CASE WHEN lang IN ('es', 'fr', 'de') THEN '' ELSE {ws(html('text'))} END"
+UNEVEN_SPANS = spans(
+    "SELECT doc_id, 'title' AS field, upper(source[1]) || lower(source[2:]) AS text FROM documents UNION ALL "
+    f"SELECT doc_id, 'content', {_UNEVEN_CONTENT} FROM documents",
+    "doc_id",
+    I.PADDED_PATTERNS,
+)
+CLASS_SPANS = spans(f"SELECT doc_id, 'content' AS field, text FROM ({DOCS})", "doc_id", I.CLASS_PATTERNS)
+
 # --- gazetteer --------------------------------------------------------------------------------
 GAZETTEER = (
     f"docs AS ({DOCS}), surfaces AS (SELECT unnest(regexp_extract_all(text, {quoted(I.CAPITALIZED)})) AS surface FROM "
@@ -366,6 +375,10 @@ ORACLES: dict[str, str] = {
         "SELECT doc_id, coalesce(lang, 'nan') AS title, coalesce(CAST(quality AS VARCHAR), 'nan') AS content, "
         "coalesce(source, 'nan') AS link FROM documents LEFT JOIN labels USING (doc_id)"
     ),
+    "first_n_most_keys": (
+        "SELECT o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey) <= "
+        "(SELECT count(*) * 9 // 10 FROM orders)"
+    ),
     "first_n_by_key": (
         "SELECT doc_id, source AS title, text AS content, '' AS link FROM documents WHERE doc_id > 99 "
         "ORDER BY doc_id LIMIT 500"
@@ -441,6 +454,14 @@ ORACLES: dict[str, str] = {
         "FROM documents d LEFT JOIN arrays USING (doc_id)"
     ),
     "mentions_both_fields": f"WITH {FIELD_SPANS}, {inventory()} SELECT * FROM inventory",
+    "mentions_padded": f"WITH {UNEVEN_SPANS}, {inventory()} SELECT * FROM inventory",
+    "spans_by_field": (
+        f"WITH {UNEVEN_SPANS} SELECT t.field, count(DISTINCT s.doc_id) AS with_spans, "
+        "count(DISTINCT t.doc_id) - count(DISTINCT s.doc_id) AS without, "
+        "CAST(sum(CASE WHEN trim(s.text) = '' THEN 1 ELSE 0 END) AS BIGINT) AS blank_spans, "
+        "CAST(sum(CASE WHEN trim(s.text) <> '' AND trim(s.text) <> s.text THEN 1 ELSE 0 END) AS BIGINT) AS padded_spans "
+        "FROM texts t LEFT JOIN spans s ON s.doc_id = t.doc_id AND s.field = t.field GROUP BY t.field"
+    ),
     "mentions_from_processed": (
         f"WITH {FIELD_SPANS} SELECT CASE WHEN type = 'DATE' THEN 'EVENT' ELSE upper(type) END AS entity_class, "
         "text AS entity, doc_id, field, start_char, end_char FROM spans"
@@ -455,6 +476,13 @@ ORACLES: dict[str, str] = {
     ),
     "inventory_single_class": f"WITH {MENTIONS} SELECT entity AS org_entities FROM inventory WHERE entity_class = 'ORG'",
     "inventory_csv_roundtrip": f"WITH {MENTIONS} SELECT * FROM inventory",
+    "inventory_class_files": (
+        f"WITH {CLASS_SPANS}, {inventory()} SELECT k.inventory AS context, entity FROM inventory i JOIN {CLASS_ROWS} "
+        "ON i.entity_class = k.entity_class WHERE i.entity_class <> 'FAC'"
+    ),
+    "inventory_file_sizes": (
+        f"WITH {CLASS_SPANS}, {inventory()} SELECT entity_class, count(*) AS mentions, true AS sized FROM inventory GROUP BY 1"
+    ),
     "dropped_span_types": (
         f"WITH {DOC_SPANS} SELECT upper(type) AS type, count(*) AS spans FROM spans WHERE NOT {IN_CLASSES} GROUP BY 1"
     ),
@@ -465,7 +493,7 @@ ORACLES: dict[str, str] = {
     "extraction_run": f"WITH {PAGE_SPANS}, {inventory('page_id')} SELECT * FROM inventory",
     "extraction_metrics": (
         f"WITH {FIELD_SPANS}, {inventory()} SELECT 'title+content' AS text_field, "
-        "(SELECT count(*) FROM documents) AS rows_in, "
+        "(SELECT count(*) FROM documents) AS rows_in, (SELECT count(*) FROM documents) AS observed_rows, true AS agrees, "
         + ", ".join(
             f"(SELECT count(*) FROM inventory WHERE entity_class = '{c}') AS mentions_{c.lower()}"
             for c in ("PER", "LOC", "ORG", "FAC", "PRO", "EVENT")
@@ -481,6 +509,7 @@ ORACLES: dict[str, str] = {
         f"WITH {CANDIDATES}, {features('candidates')}, {OWN_RULES} SELECT src, id, pos, "
         "array_to_string(rules, ',') AS rules FROM checked"
     ),
+    "qc_raw_copy": f"WITH {CANDIDATES} SELECT context, entity FROM candidates",
     "qc_clean": f"WITH {CHECKED} SELECT context, entity FROM checked WHERE len(rules) = 0",
     "qc_flagged": (
         f"WITH {CHECKED} SELECT context, entity, rules[1] AS first_rule, array_to_string(rules, ',') AS rules "
@@ -547,12 +576,24 @@ ORACLES: dict[str, str] = {
         "OR regexp_matches(path, '(^|/)[^/]*\\.com/[^/][^/]/[^/]*top$') OR regexp_matches(path, '(^|/)[^/a-z][^/]*$'))"
     ),
     "stream_mentions": "WITH " + spans(PLAIN_CONTENT, "doc_id") + f", {inventory()} SELECT * FROM inventory",
+    "stream_mentions_restarted": "WITH " + spans(PLAIN_CONTENT, "doc_id") + f", {inventory()} SELECT * FROM inventory",
+    "stream_run_metrics": (
+        "WITH " + spans(PLAIN_CONTENT, "doc_id") + f", {inventory()}, rows AS (SELECT count(*) AS n FROM documents), "
+        "mentions AS (SELECT count(*) AS m FROM inventory) SELECT CAST(3 AS BIGINT) AS batches, n AS rows_observed, n AS rows_committed, "
+        "n AS input_rows, m AS mentions_observed, m AS mentions_committed, true AS agrees FROM rows, mentions"
+    ),
     "stream_qc_counts": (
         f"WITH {checked_mentions(PLAIN_CONTENT, default_rules(2, 13))}, {COUNTED} SELECT context, overall, rank, rule, rows FROM rule_counts"
     ),
     "file_hashes": (
         "SELECT s_suppkey, CAST(length(s_name) + 1 AS BIGINT) AS length, upper(sha256(s_name || chr(10))) AS digest FROM supplier"
     ),
+    "stream_qc_counts_compacted": (
+        f"WITH {checked_mentions(PLAIN_CONTENT, default_rules(2, 13))}, {COUNTED} SELECT context, overall, rank, rule, rows FROM rule_counts"
+    ),
+    "file_hashes": (
+        "SELECT s_suppkey, CAST(length(s_name) + 1 AS BIGINT) AS length, upper(sha256(s_name || chr(10))) AS digest FROM supplier"
+    ),
     "named_file_hashes": "SELECT s_suppkey, upper(sha256(s_name || chr(10))) AS digest FROM supplier",
     "files_verified": "SELECT s_suppkey, 'ok' AS status FROM supplier",
     "stream_qc_totals": (

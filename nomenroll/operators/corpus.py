@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from nomenroll.functions.html import strip_html
 from nomenroll.functions.persian import NormalizeConfig, normalize_fa
+from nomenroll.operators.selection import comparable, nth_smallest
 
 TEXT_FIELDS = {"title": ("title",), "content": ("content",), "both": ("title", "content")}
 
@@ -62,12 +63,9 @@ def after_key(df: DataFrame, key: str, last) -> DataFrame:
 
 
 def first_n(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The ``n`` rows with the smallest (unique) keys; none for ``n`` of zero or less.
+    """The ``n`` rows with the smallest (unique) keys; none for ``n`` of zero or less, and no row without a key.
 
-    The top-n runs over the key column alone. The rows are then picked by comparing with the n-th
-    key, so no document text is ever sorted or moved to one task.
+    The n-th key is found by counting, so no row is sorted or moved, whatever ``n`` is; rows are then compared with it.
     """
-    if n <= 0:
-        return df.filter(F.lit(False))
-    cutoff = df.select(key).orderBy(key).limit(n).agg(F.max(key))
-    return df.filter(F.col(key) <= cutoff.scalar())
+    cutoff = nth_smallest(df, key, n) if n > 0 else None
+    return df.filter(F.lit(False) if cutoff is None else comparable(df, key) <= F.lit(cutoff))

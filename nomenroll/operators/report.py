@@ -133,18 +133,23 @@ def top_lists(top: DataFrame) -> DataFrame:
 
 
 def inventory_reports(book: DataFrame, k_examples: int = K.EXAMPLES_PER_RULE, k_top: int = K.TOP_ENTITIES) -> DataFrame:
-    """One nested row per inventory, and one overall row (null ``context``) without lists.
+    """One nested row per inventory, and one overall row (null ``context``) without lists."""
+    return nested_reports(totals(book), rule_counts(book), examples(book, k_examples), top_entities(book, k_top))
+
+
+def nested_reports(totals: DataFrame, rule_counts: DataFrame, examples: DataFrame, top_entities: DataFrame) -> DataFrame:
+    """The nested rows from the four report tables, which may have been read back.
 
     The joined parts have one row per inventory each.
     """
-    counts = rule_count_maps(rule_counts(book))
-    parts = totals(book).join(
+    counts = rule_count_maps(rule_counts)
+    parts = totals.join(
         counts.withColumnRenamed("context", "c").withColumnRenamed("overall", "o"),
         F.col("context").eqNullSafe(F.col("c")) & (F.col("overall") == F.col("o")),
         "left",
     ).drop("c", "o")
-    parts = parts.join(example_maps(examples(book, k_examples)), "context", "left")
-    parts = parts.join(top_lists(top_entities(book, k_top)), "context", "left")
+    parts = parts.join(example_maps(examples), "context", "left")
+    parts = parts.join(top_lists(top_entities), "context", "left")
     return parts.select(
         "context",
         "overall",

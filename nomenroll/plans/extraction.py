@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from nomenroll import constants as K
@@ -14,7 +14,7 @@ from nomenroll.functions.spans import no_spans
 from nomenroll.operators.corpus import clean_text, fields_of
 from nomenroll.operators.gazetteer import Gazetteer, attach_spans, gazetteer_spans
 from nomenroll.operators.mentions import dropped_types, explode_spans, mentions_of
-from nomenroll.sources.inventory import read_inventory, write_inventory
+from nomenroll.sources.inventory import TARGET_BYTES, read_inventory, write_inventory
 
 Annotator = Callable[[Column], Column]
 
@@ -77,7 +77,7 @@ def run_extraction(
     config: NormalizeConfig = NormalizeConfig(),
     aliases: Mapping[str, str] | None = None,
     generated_at: str | None = None,
-    compact: bool = False,
+    target_bytes: int | None = TARGET_BYTES,
 ) -> DataFrame:
     """Write ``processed``, ``inventory`` and a row of ``runs`` below ``out_dir``; return that row.
 
@@ -85,12 +85,14 @@ def run_extraction(
     costly step, runs once, and a lost executor only repeats its own tasks.
     """
     spark = annotated.sparkSession
-    annotated.write.mode("overwrite").parquet(f"{out_dir}/processed")
+    rows_seen, mentions_seen = Observation("rows"), Observation("mentions")
+    one = F.count(F.lit(1)).alias("n")
+    annotated.observe(rows_seen, one).write.mode("overwrite").parquet(f"{out_dir}/processed")
     processed = spark.read.schema(annotated.schema).parquet(f"{out_dir}/processed")
     inventory = inventory_of(processed, key, aliases)
-    write_inventory(inventory, f"{out_dir}/inventory", compact=compact)
+    write_inventory(inventory.observe(mentions_seen, one), f"{out_dir}/inventory", target_bytes=target_bytes)
 
-    # Counted from what was committed. Counters kept while writing could count a repeated task twice.
+    # Counted from what was committed, beside what was observed on the way there.
     written = read_inventory(spark, f"{out_dir}/inventory", inventory.schema).groupBy("entity_class").count()
     spans = explode_spans(processed, key, span_columns(processed))
     metrics = run_metrics(
@@ -100,6 +102,7 @@ def run_extraction(
         text_field="+".join(span_columns(annotated)),
         options={**(options or {}), **{k: str(v) for k, v in asdict(config).items()}},
         generated_at=generated_at,
+        observed=(rows_seen.get["n"], mentions_seen.get["n"]),
     )
     metrics.write.mode("append").parquet(f"{out_dir}/runs")
     return metrics
@@ -112,8 +115,12 @@ def run_metrics(
     text_field: str,
     options: Mapping[str, str],
     generated_at: str | None = None,
+    observed: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """One row about a run; without ``generated_at`` it depends on nothing but the run itself."""
+    """One row about a run; without ``generated_at`` it depends on nothing but the run itself.
+
+    ``observed`` rows and mentions are those that went to the writers; ``agrees`` says whether as many are in the tables.
+    """
     entries = F.array_sort(F.collect_list(F.struct("type", "spans")))
     return dropped.agg(F.map_from_entries(entries).alias("dropped_types")).select(
         F.lit(text_field).alias("text_field"),
@@ -126,4 +133,7 @@ def run_metrics(
         .cast("map<string,string>")
         .alias("options"),
         F.lit(generated_at).cast("string").alias("generated_at"),
+        F.lit(observed[0] if observed else None).cast("bigint").alias("observed_rows"),
+        F.lit(observed[1] if observed else None).cast("bigint").alias("observed_mentions"),
+        F.lit(observed is None or observed == (rows, sum(mentions.values()))).alias("agrees"),
     )

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from nomenroll import constants as K
 from nomenroll.operators.report import (
     examples,
-    inventory_reports,
     ledger,
+    nested_reports,
     rule_counts,
     top_entities,
     totals,
 )
 from nomenroll.operators.rules import RULES, Rule, RuleSettings, with_rules
-from nomenroll.sources.inventory import context_of_class, write_raw_copy, write_split
+from nomenroll.sources.inventory import TARGET_BYTES, context_of_class, write_raw_copy, write_split
 
 
 def with_context(inventory: DataFrame) -> DataFrame:
@@ -35,18 +35,18 @@ def run_quality(
     k_top: int = K.TOP_ENTITIES,
     raw_copy: bool = False,
     generated_at: str | None = None,
-    compact: bool = False,
+    target_bytes: int | None = TARGET_BYTES,
 ) -> DataFrame:
     """Split ``rows`` (``context``, ``entity``, ...) below ``out_dir`` and write the report tables.
 
-    Rows are split without a shuffle. The ledger is written once; each report table is an aggregate
-    of it. Returns the nested report.
+    Rows are split without a shuffle by key. The ledger is written once, each report table is an aggregate of it, and
+    the nested report, which is returned, is put together from the written tables.
     """
     spark = rows.sparkSession
     checked = with_rules(rows, settings=settings, rules=rules)
-    write_split(checked, f"{out_dir}/split", compact)
+    write_split(checked, f"{out_dir}/split", target_bytes)
     if raw_copy:
-        write_raw_copy(checked, f"{out_dir}/raw")
+        write_raw_copy(checked, f"{out_dir}/raw", target_bytes=target_bytes)
 
     book = ledger(rows, order, settings=settings, rules=rules)
     book.write.mode("overwrite").parquet(f"{out_dir}/ledger")
@@ -59,9 +59,10 @@ def run_quality(
     }
     for name, part in parts.items():
         part.write.mode("overwrite").parquet(f"{out_dir}/report/{name}")
+        parts[name] = spark.read.schema(part.schema).parquet(f"{out_dir}/report/{name}")
 
     limits = asdict(settings.thresholds)
-    report = inventory_reports(book, k_examples, k_top).select(
+    report = nested_reports(**parts).select(
         "*",
         F.lit(out_dir).alias("output_dir"),
         F.create_map(*[x for k in sorted(limits) for x in (F.lit(k), F.lit(float(limits[k])))]).alias("thresholds"),

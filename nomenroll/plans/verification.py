@@ -39,11 +39,11 @@ def verify_files(
     spark: SparkSession,
     list_path: str,
     root: str | None = None,
-    files: Sequence[str] | None = None,
+    files: DataFrame | Sequence[str] | None = None,
     exclude: Sequence[str] = (),
     skip: Sequence[str] = (),
 ) -> DataFrame:
-    """Compare a list with the files below ``root``, or with the named ``files``, relative to ``root`` if that is given.
+    """Compare a list with the files below ``root``, or with the named ``files`` (a table or a list of names), relative to ``root`` if that is given.
 
     A list below ``root`` is no extra file.
     """

@@ -8,7 +8,6 @@ here every file counts, and its content streams through the hash block by block.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -20,6 +19,7 @@ from nomenroll.session import materialize
 
 BLOCK_BYTES = 1 << 20
 TASKS_PER_CORE = 4
+PAGE_FILES = 10_000
 
 
 def glob_pattern(glob: str) -> str:
@@ -54,7 +54,7 @@ def exclude_globs(df: DataFrame, path: str, globs: Sequence[str]) -> DataFrame:
     return df
 
 
-def _file_system():
+def opener():
     """A function that opens ``path`` or URI as (file system, path inside it)."""
 
     def opened(path: str):
@@ -79,7 +79,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
     One round per level of the tree; within a round, each directory is listed by a task.
     """
-    opened = _file_system()
+    opened = opener()
     root = root.rstrip("/")
 
     def list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,11 +88,13 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         for batch in batches:
             for full, path in zip(batch["full"], batch["path"]):
                 system, inside = opened(full)
-                rows = [
-                    (f"{full}/{i.base_name}", path + i.base_name, i.type == fs.FileType.Directory, i.size or 0)
-                    for i in system.get_file_info(fs.FileSelector(inside))
-                ]
-                yield pd.DataFrame(rows, columns=["full", "path", "is_dir", "length"])
+                infos = system.get_file_info(fs.FileSelector(inside))
+                for begin in range(0, len(infos), PAGE_FILES):  # a flat directory may hold very many
+                    rows = [
+                        (f"{full}/{i.base_name}", path + i.base_name, i.type == fs.FileType.Directory, i.size or 0)
+                        for i in infos[begin : begin + PAGE_FILES]
+                    ]
+                    yield pd.DataFrame(rows, columns=["full", "path", "is_dir", "length"])
 
     schema = "full string, path string, is_dir boolean, length bigint"
     level = spark.createDataFrame([(root, "")], "full string, path string")
@@ -112,7 +114,7 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 def _with_digest(files: DataFrame) -> DataFrame:
     """Replace ``full`` by the ``digest`` of its content; a file that can't be read has a null one."""
-    opened, block_bytes = _file_system(), BLOCK_BYTES
+    opened, block_bytes = opener(), BLOCK_BYTES
 
     @F.pandas_udf("string")
     def digest(paths: pd.Series) -> pd.Series:
@@ -145,32 +147,39 @@ def file_digests(
     return _with_digest(files.filter(~F.col("path").isin(*skip)) if skip else files)
 
 
-def named_file_digests(spark: SparkSession, files: Sequence[str], root: str | None = None) -> DataFrame:
+def named_file_digests(spark: SparkSession, files: DataFrame | Sequence[str], root: str | None = None) -> DataFrame:
     """The named files only: by their path below ``root``, which relative names are below of, or else by the name given.
 
-    A missing file and a path that comes twice are errors; tasks ask for the files, not the driver.
+    ``files`` is a table of names (its first column), or a short list of them. A missing file, a name that isn't below
+    ``root`` and a path that comes twice are errors that show twenty of them. All of it is found by Spark: the driver
+    learns no names but those.
     """
-    opened = _file_system()
-    base = root.rstrip("/") + "/" if root else ""
-    rows = []
-    for name in files:
-        full = name if not base or name.startswith("/") or re.match(r"\w+:/", name) else base + name
-        if base and not full.startswith(base):
-            raise ValueError(f"{name} is not below {root}")
-        rows.append((full.removeprefix(base) if base else full, full))
-    repeated = sorted(p for p, n in Counter(p for p, _ in rows).items() if n > 1)
-    if repeated:
-        raise ValueError(f"named more than once: {repeated[:20]}")
+    names = files if isinstance(files, DataFrame) else spark.createDataFrame([(f,) for f in files], "name string")
+    name, base = F.col(names.columns[0]), root.rstrip("/") + "/" if root else ""
+    absolute = name.startswith("/") | name.rlike(r"^\w+:/")
+    full = F.when(absolute, name).otherwise(F.concat(F.lit(base), name)) if base else name
+    path = F.substring("full", len(base) + 1, 1 << 30)
+    opened = opener()
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             infos = [system.get_file_info(inside) for system, inside in map(opened, batch["full"])]
             yield batch.assign(length=pd.array([i.size if i.is_file else None for i in infos], dtype="Int64"))
 
-    named = _spread(spark.createDataFrame(rows, "path string, full string"))
-    found = materialize(named.mapInPandas(look, "path string, full string, length bigint"), "named")
-    if absent := found.filter("length IS NULL").select("full").limit(20).collect():
-        raise FileNotFoundError(", ".join(r.full for r in absent))
+    def some(rows: DataFrame, column: str) -> list[str]:
+        return [r[0] for r in rows.select(column).limit(20).collect()]
+
+    # repeated names are combined on the map side; each path is looked up once
+    counted = names.select(full.alias("full")).groupBy("full").agg(F.count("*").alias("times"))
+    counted = materialize(counted.select(path.alias("path"), "full", "times"), "names")
+    if outside := some(counted.filter(~F.col("full").startswith(base)), "full") if base else []:
+        raise ValueError(f"not below {root}: {outside}")
+    if repeated := some(counted.filter("times > 1"), "path"):
+        raise ValueError(f"named more than once: {sorted(repeated)}")
+    found = _spread(counted.select("path", "full")).mapInPandas(look, "path string, full string, length bigint")
+    found = materialize(found, "named")
+    if absent := some(found.filter("length IS NULL"), "full"):
+        raise FileNotFoundError(", ".join(absent))
     return _with_digest(found)
 
 

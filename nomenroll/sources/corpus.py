@@ -19,9 +19,14 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """All columns as text. Names come from the header, or are ``columns`` and checked against it."""
-    reader = spark.read.options(**CSV_OPTIONS)
+def read_csv(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, multi_line: bool = True
+) -> DataFrame:
+    """All columns as text. Names come from the header, or are ``columns`` and checked against it.
+
+    Without line breaks inside fields, ``multi_line=False`` lets many tasks read one large file.
+    """
+    reader = spark.read.options(**{**CSV_OPTIONS, "multiLine": multi_line})
     if columns is not None:
         reader = reader.schema(text_schema(columns)).option("enforceSchema", False)
     return reader.csv(path)

@@ -1,23 +1,29 @@
 """Inventories and quality splits on disk.
 
-Tables are written by the tasks that hold the rows, partitioned by directory only. There is no
-shuffle by class before: six keys would make six tasks, one of them with half of the data. Very many
-tasks leave very many small files, though. ``compact=True`` has the rows rebalanced first: adaptive
-execution then forms write tasks of the advisory partition size, splitting large classes and joining
-small pieces.
+Writers rebalance their rows by class: adaptive execution measures the bytes that each task holds of each class, splits
+large classes into write tasks of about ``target_bytes`` and puts small pieces together. (A plain shuffle by class
+would make six tasks, one of them with half of the data, and no shuffle at all six files for each task.) With
+``target_bytes=None`` rows are written by the tasks that hold them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from csv import reader as csv_reader
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nomenroll import constants as K
+from nomenroll.session import scratch_path
+from nomenroll.sources.artifacts import opener
 from nomenroll.sources.corpus import CSV_OPTIONS, text_schema
+from nomenroll.sources.folders import children, publish
 
+TARGET_BYTES = 128 << 20
+CSV_WRITE = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 CLASS_FILES = {f"{K.INVENTORY_NAMES[c]}.csv": K.INVENTORY_COLUMNS[c] for c in K.ENTITY_CLASSES}
 
 
@@ -34,17 +40,30 @@ def context_of_class(entity_class: Column) -> Column:
     return name
 
 
-def _sized(rows: DataFrame, compact: bool, *columns: str) -> DataFrame:
-    return rows.hint("rebalance", *[F.col(c) for c in columns]) if compact else rows
-
-
-def write_inventory(inventory: DataFrame, path: str, file_format: str = "parquet", compact: bool = False) -> None:
-    writer = _sized(inventory, compact, "entity_class").write.mode("overwrite").partitionBy("entity_class")
-    if file_format == "csv":
-        writer = writer.options(
-            header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-        )
-    writer.format(file_format).save(path)
+def _write_sized(rows: DataFrame, by: Sequence[str], target_bytes: int | None, write: Callable[[DataFrame], None]) -> None:
+    """``write`` rows rebalanced by the columns ``by``, in tasks of about ``target_bytes``."""
+    if target_bytes is None:
+        write(rows)
+        return
+    conf, name = rows.sparkSession.conf, "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = conf.get(name, None)
+    conf.set(name, str(target_bytes))
+    try:
+        write(rows.hint("rebalance", *[F.col(c) for c in by]))
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
+
+
+def write_inventory(
+    inventory: DataFrame, path: str, file_format: str = "parquet", target_bytes: int | None = TARGET_BYTES
+) -> None:
+    options = CSV_WRITE if file_format == "csv" else {}
+    _write_sized(
+        inventory,
+        ["entity_class"],
+        target_bytes,
+        lambda rows: rows.write.mode("overwrite").partitionBy("entity_class").options(**options).format(file_format).save(path),
+    )
 
 
 def read_inventory(
@@ -57,42 +76,74 @@ def read_inventory(
     return reader.format(file_format).load(path)
 
 
+def write_class_files(inventory: DataFrame, directory: str, classes: Sequence[str] = K.ENTITY_CLASSES) -> None:
+    """One CSV file for each class, with the class's own entity column; the format asks for single files.
+
+    Rows are sent to one task per class, without being sorted or held there.
+    """
+    for name in classes:
+        part = scratch_path(inventory.sparkSession, "class-file")
+        rows = inventory.filter(F.col("entity_class") == name).select(
+            F.coalesce("entity", F.lit("")).alias(K.INVENTORY_COLUMNS[name])  # a line without anything would be skipped
+        )
+        rows.coalesce(1).write.options(**CSV_WRITE).csv(part)
+        written = [f for f in children(inventory.sparkSession, part) if f.endswith(".csv")]
+        for file in written:
+            publish(inventory.sparkSession, f"{part}/{file}", f"{directory}/{K.INVENTORY_NAMES[name]}.csv")
+
+
+def class_headers(spark: SparkSession, directory: str, files: Mapping[str, str] = CLASS_FILES) -> dict[str, list[str]]:
+    """The columns of each of ``files`` that is in the directory: one listing, and one job that reads first lines only."""
+    present = [(f, f"{directory.rstrip('/')}/{f}") for f in children(spark, directory) if f in files]
+    if not present:
+        return {}
+    opened = opener()
+
+    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        for batch in batches:
+            headers = []
+            for full in batch["full"]:
+                system, inside = opened(full)
+                with system.open_input_stream(inside) as content:
+                    lines = io.TextIOWrapper(content, encoding="utf-8-sig", newline="")
+                    headers.append(next(csv_reader(lines), []))
+            yield pd.DataFrame({"name": batch["name"], "header": headers})
+
+    listed = spark.createDataFrame(present, "name string, full string").repartition(len(present))
+    return {r.name: list(r.header) for r in listed.mapInPandas(first_lines, "name string, header array<string>").collect()}
+
+
 def read_class_files(
     spark: SparkSession, directory: str, files: Mapping[str, str] = CLASS_FILES
 ) -> DataFrame:
     """Import per-class CSV files, named by ``files`` (file name -> entity column).
 
-    Absent files are skipped; a file without its entity column is an error. Gives ``context`` and
+    Absent files are skipped. All headers are checked before anything is read: files without their entity column are
+    an error that names them all. Gives ``context``, from the name of the file that a row is read from, and
     ``entity``. The loop runs over the names of ``files``, not over data.
     """
-    listing = spark.read.format("binaryFile").load(directory).select("path")
-    names = F.regexp_extract("path", "([^/]+)$", 1)
-    present = {r.path for r in listing.filter(names.isin(*files)).select("path").collect()}
-    parts = []
-    for path in sorted(present):
-        column = files[path.rsplit("/", 1)[-1]]
-        part = spark.read.options(**CSV_OPTIONS).csv(path)
-        if column not in part.columns:
-            raise ValueError(f"{path} has no column {column!r}; available: {part.columns}")
-        parts.append(
-            part.select(
-                context_of_path(F.col("_metadata.file_path")).alias("context"),
-                F.coalesce(column, F.lit("")).alias("entity"),
-            )
+    headers = class_headers(spark, directory, files)
+    wrong = {f: h for f, h in headers.items() if files[f] not in h}
+    if wrong:
+        said = "; ".join(f"{f} has no column {files[f]!r}; available: {h}" for f, h in sorted(wrong.items()))
+        raise ValueError(said)
+    result = spark.createDataFrame([], text_schema(["context", "entity"]))
+    for name, header in sorted(headers.items()):
+        rows = spark.read.options(**CSV_OPTIONS).schema(text_schema(header)).csv(f"{directory.rstrip('/')}/{name}")
+        result = result.unionByName(
+            rows.select(context_of_path(F.col("_metadata.file_path")).alias("context"), F.coalesce(files[name], F.lit("")).alias("entity"))
         )
-    if not parts:
-        return spark.createDataFrame([], text_schema(["context", "entity"]))
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
     return result
 
 
-def write_split(checked: DataFrame, path: str, compact: bool = False) -> None:
+def write_split(checked: DataFrame, path: str, target_bytes: int | None = TARGET_BYTES) -> None:
     """Clean and flagged rows in one pass: ``split=clean`` and ``split=flagged`` below each context."""
     split = F.when(F.col("_qc_flag"), "flagged").otherwise("clean")
-    rows = _sized(checked.withColumn("split", split).drop("_qc_flag"), compact, "context", "split")
-    rows.write.mode("overwrite").partitionBy("context", "split").parquet(path)
+    by = ["context", "split"]
+    rows = checked.withColumn("split", split).drop("_qc_flag")
+    _write_sized(rows, by, target_bytes, lambda r: r.write.mode("overwrite").partitionBy(*by).parquet(path))
 
 
 def read_split(spark: SparkSession, path: str, split: str, schema: T.StructType | None = None) -> DataFrame:
@@ -107,6 +158,9 @@ def read_split(spark: SparkSession, path: str, split: str, schema: T.StructType
     return rows.drop("_qc_rules", "_qc_first_rule") if split == "clean" else rows
 
 
-def write_raw_copy(checked: DataFrame, path: str, columns: Sequence[str] = ("context", "entity")) -> None:
+def write_raw_copy(
+    checked: DataFrame, path: str, columns: Sequence[str] = ("context", "entity"), target_bytes: int | None = TARGET_BYTES
+) -> None:
     """The normalized entities of all rows."""
-    checked.select(*columns).write.mode("overwrite").partitionBy("context").parquet(path)
+    rows = checked.select(*columns)
+    _write_sized(rows, ["context"], target_bytes, lambda r: r.write.mode("overwrite").partitionBy("context").parquet(path))

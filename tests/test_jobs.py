@@ -1,4 +1,6 @@
 import csv
+import datetime
+import decimal
 import os
 
 import pytest
@@ -9,13 +11,16 @@ from nomenroll.functions.persian import NormalizeConfig
 from nomenroll.operators.annotate import pattern_annotator
 from nomenroll.operators.corpus import after_key, fields_of, first_n, standardize
 from nomenroll.operators.gazetteer import build_gazetteer
+from nomenroll.operators import selection
 from nomenroll.operators.rules import with_rules
 from nomenroll.plans.extraction import annotate_fields, gazetteer_fields, inventory_of, run_extraction
 from nomenroll.plans.quality import with_context
 from nomenroll.session import shared_dir
 from nomenroll.sources import corpus as C
 from nomenroll.sources import inventory as I
-from nomenroll.streaming.ingest import read_table, running_rule_counts, running_totals, start_extraction
+from nomenroll.sources.folders import publish, remove
+from nomenroll.streaming import compaction as Q
+from nomenroll.streaming.ingest import read_table, record_progress, run_record, running_rule_counts, running_totals, start_extraction
 
 ROWS = [
     (1, "Ada", "<p>Bo &amp; Cy</p><script>No</script>", "l1"),
@@ -52,6 +57,37 @@ def test_first_n_and_resume(spark):
     assert first_n(rows, "doc_id", 0).count() == 0 and first_n(rows, "doc_id", -1).count() == 0
 
 
+KEYS = {
+    "bigint": lambda i: (i * 7919 % 10_007 - 5_000) * 10**14,
+    "string": lambda i: f"k{i * 7919 % 10007}é"[: 2 + i % 5] + str(i),
+    "date": lambda i: datetime.date(1969, 1, 1) + datetime.timedelta(days=i * 17 % 30_011),
+    "timestamp": lambda i: datetime.datetime(1969, 12, 1) + datetime.timedelta(seconds=i * 7919 % 100_003, microseconds=i),
+    "decimal(12,2)": lambda i: decimal.Decimal(i * 7919 % 10007) / 4,
+}
+
+
+@pytest.mark.parametrize("kind", KEYS)
+def test_nth_key_is_found_by_counting(spark, kind, monkeypatch):
+    monkeypatch.setattr(selection, "SAMPLE", 20)
+    monkeypatch.setattr(selection, "PIVOTS", 5)
+    values = [KEYS[kind](i) for i in range(400)]
+    rows = spark.createDataFrame([(v, "x") for v in values] + [(None, "x")] * 3, f"k {kind}, v string").repartition(3)
+    ordered = [r.k for r in rows.filter("k is not null").orderBy("k").collect()]
+    for n in (1, 2, 199, 399, 400, 401):
+        assert [r.k for r in first_n(rows, "k", n).orderBy("k").collect()] == ordered[:n]
+    plan = first_n(rows, "k", 390)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "Sort" not in plan
+    assert first_n(rows.limit(0), "k", 5).count() == 0
+
+
+def test_nth_key_with_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(selection, "SAMPLE", 4)
+    keys = [7] * 5000 + [1] * 2000 + list(range(100, 130))
+    rows = spark.createDataFrame([(k,) for k in keys], "k int")
+    for n in (1, 2000, 2001, 7000, 7001, 7029):
+        assert selection.nth_smallest(rows, "k", n) == sorted(keys)[n - 1]
+
+
 def test_after_key_and_columns_reach_the_scan(spark, path):
     contract(spark).write.parquet(path)
     plan = after_key(spark.read.parquet(path), "doc_id", 2).select("doc_id", "title")
@@ -135,8 +171,18 @@ def test_class_files(spark, path):
     assert got == [("loc", "Rome"), ("pers", "007"), ("pers", "Ada"), ("pers", "NA")]
     with open(f"{path}/org.csv", "w") as out:
         out.write("wrong\nx\n")
-    with pytest.raises(ValueError, match="no column 'org_entities'"):
+    assert I.class_headers(spark, path) == {"loc.csv": ["loc_entities"], "org.csv": ["wrong"], "pers.csv": ["pers_entities"]}
+    with pytest.raises(ValueError, match="org.csv has no column 'org_entities'; available: \\['wrong'\\]"):
         I.read_class_files(spark, path)
+    assert I.read_class_files(spark, f"{path}/absent").count() == 0
+
+
+def test_class_files_written_and_read(spark, path):
+    rows = spark.createDataFrame([("PER", 'a "b", c'), ("PER", "007"), ("LOC", "x\ny"), ("ORG", None)], "entity_class string, entity string")
+    I.write_class_files(rows, path, ["PER", "LOC", "ORG"])
+    assert {f for f in os.listdir(path) if not f.startswith(".")} == {"loc.csv", "org.csv", "pers.csv"}
+    got = sorted(map(tuple, I.read_class_files(spark, path).collect()))
+    assert got == [("loc", "x\ny"), ("org", ""), ("pers", "007"), ("pers", 'a "b", c')]
 
 
 def test_context_of_path(spark):
@@ -156,23 +202,28 @@ def test_inventory_files(spark, path, file_format):
     assert "PartitionFilters: [isnotnull(entity_class" in part
 
 
-def test_compact_writes_few_files_and_the_same_rows(spark, path):
-    rows = spark.range(4000).repartition(16).select(
-        F.when(F.col("id") % 3 == 0, "PER").otherwise("LOC").alias("entity_class"),
-        F.concat(F.lit("e"), "id").alias("entity"),
+def test_writers_size_their_files(spark, path):
+    rows = spark.range(40_000).repartition(16).select(
+        F.when(F.col("id") % 100 == 0, "PER").otherwise("LOC").alias("entity_class"),
+        F.sha2(F.col("id").cast("string"), 256).alias("entity"),
         F.lit("pers").alias("context"),
     )
-    for compact in (False, True):
-        I.write_inventory(rows.drop("context"), f"{path}/i{compact}", compact=compact)
-        I.write_split(with_rules(rows), f"{path}/s{compact}", compact)
+    for name, target in (("none", None), ("sized", 400_000)):
+        I.write_inventory(rows.drop("context"), f"{path}/i{name}", target_bytes=target)
+        I.write_split(with_rules(rows), f"{path}/s{name}", target)
+        I.write_raw_copy(rows, f"{path}/r{name}", target_bytes=target)
 
-    def files(name):
-        return sum(f.endswith(".parquet") for _, _, fs in os.walk(f"{path}/{name}") for f in fs)
+    def sizes(name):
+        return sorted(os.path.getsize(f"{d}/{f}") for d, _, fs in os.walk(f"{path}/{name}") for f in fs if f.endswith(".parquet"))
 
-    assert (files("iFalse"), files("iTrue")) == (32, 2) and files("sTrue") < files("sFalse")
-    for table in "is":
-        a, b = (spark.read.parquet(f"{path}/{table}{c}") for c in (False, True))
-        assert a.count() == 4000 and a.exceptAll(b).isEmpty()
+    assert len(sizes("inone")) == 32 and len(sizes("snone")) >= 16
+    large = [n for n in sizes("isized") if n > 100_000]
+    assert 4 <= len(large) <= 9 and len(sizes("isized")) <= len(large) + 2 and max(large) < 1_000_000
+    assert 4 <= len(sizes("ssized")) <= 10 and 4 <= len(sizes("rsized")) <= 10
+    for table in "isr":
+        a, b = (spark.read.parquet(f"{path}/{table}{c}") for c in ("none", "sized"))
+        assert a.count() == 40_000 and a.exceptAll(b).isEmpty()
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") != "400000"
 
 
 def plain(batch):
@@ -206,6 +257,57 @@ def test_stream_with_restarts_equals_batch(spark, path):
     assert running_rule_counts(spark, out).filter("overall").count() == checked.filter("_qc_flag").count()
 
 
+def _state(spark, out):
+    return {t: sorted(map(str, read_table(spark, out, t).collect())) for t in ("processed", "inventory", "runs")} | {
+        "totals": sorted(map(tuple, running_totals(spark, out).collect())),
+        "rule_counts": sorted(map(str, running_rule_counts(spark, out).collect())),
+    }
+
+
+def test_compaction_stopped_between_steps(spark, path):
+    source, out, checkpoint = f"{path}/in", f"{path}/out", f"{path}/checkpoint"
+    rows = contract(spark)
+    for i in (1, 2, 3, 4):
+        rows.filter(F.col("doc_id") == i).coalesce(1).write.mode("append").parquet(source)
+    run_stream(spark, source, out, checkpoint)
+    before = _state(spark, out)
+    assert Q.batches(spark, out, "inventory") == [0, 1, 2, 3] and Q.marks(spark, out, "inventory") == []
+    for table, merge in Q.MERGES.items():  # stopped after step one: the merged rows aren't seen
+        new = Q.merged(spark, out, table, 1, merge)
+        assert _state(spark, out) == before and Q.marks(spark, out, table) == []
+        publish(spark, new, f"{out}/_compacted/{table}/upto=1")  # stopped after step two: batches aren't seen twice
+        assert _state(spark, out) == before and Q.marks(spark, out, table) == [1]
+    with pytest.raises(Exception, match="(?i)exist"):  # a mark is published once
+        publish(spark, Q.merged(spark, out, "totals", 1), f"{out}/_compacted/totals/upto=1")
+    assert Q.compact_all(spark, out) == dict.fromkeys(Q.MERGES, 2)
+    assert _state(spark, out) == before
+    assert Q.batches(spark, out, "inventory") == [2, 3]  # batch 2 is below the last mark only
+    assert spark.read.parquet(f"{out}/_compacted/totals/upto=2").count() <= 2
+    # the newest batch is never merged: a replay after the compaction changes nothing
+    assert Q.compact_all(spark, out) == dict.fromkeys(Q.MERGES, 2)
+    remove(spark, f"{checkpoint}/commits/3")
+    rows.filter("doc_id = 4").withColumn("doc_id", F.lit(5)).coalesce(1).write.mode("append").parquet(source)
+    run_stream(spark, source, out, checkpoint)
+    assert read_table(spark, out, "processed").count() == 5 and Q.batches(spark, out, "processed") == [2, 3, 4]
+
+
+def test_run_record(spark, path):
+    source, out, checkpoint = f"{path}/in", f"{path}/out", f"{path}/checkpoint"
+    contract(spark).repartition(2).write.parquet(source)
+    stream = C.stream_files(spark, source, contract(spark).schema, files_per_batch=1)
+    query = start_extraction(stream, ["doc_id"], plain, out, checkpoint)
+    query.awaitTermination()
+    record_progress(query, out, spark)
+    record_progress(query, out, spark)
+    rows = run_record(spark, out).collect()
+    assert len(rows) == 2 and all(r.agrees for r in rows) and sum(r.rows_committed for r in rows) == 4
+    assert sum(r.input_rows for r in rows) == 4 and sum(r.mentions_committed for r in rows) == read_table(spark, out, "inventory").count()
+    # what isn't committed as observed doesn't agree
+    spark.read.parquet(f"{out}/runs/batch=0").withColumn("rows_committed", F.lit(0).cast("long")).write.parquet(f"{path}/lost")
+    spark.read.parquet(f"{path}/lost").write.mode("overwrite").parquet(f"{out}/runs/batch=0")
+    assert sorted(r.agrees for r in run_record(spark, out).collect()) == [False, True]
+
+
 def test_a_replayed_batch_changes_nothing(spark, path):
     source, out, checkpoint = f"{path}/in", f"{path}/out", f"{path}/checkpoint"
     contract(spark).coalesce(1).write.parquet(source)
