@@ -223,6 +223,13 @@ def test_parts_of_a_document_are_resolved_apart(spark, path):
     assert rows.groupBy("k", F.floor(F.col("start_char") / 1000)).count().agg(F.max("count")).first()[0] <= 32
 
 
+@pytest.mark.parametrize("text", ["", "a", "ab 12 cd", "12", "12 34", "x\x0112 y\x01", "\x01", "é😀12", "12 " * 3000, None])
+def test_pattern_spans_in_one_pass(spark, text):
+    found = docs(spark, [text]).select(pattern_annotator({"N": "[0-9]+"})(F.col("text")).alias("s")).first().s
+    want = [(m.group(), "N", m.start(), m.end()) for m in re.finditer("[0-9]+", text or "")]
+    assert [tuple(s) for s in found] == want
+
+
 @pytest.mark.parametrize("limit", [200, 1000, None])
 def test_membership_filter(spark, limit):
     rng = random.Random(8)
