@@ -1,11 +1,15 @@
 """Toxicity: averaged subword vectors and a linear softmax, trained jointly in numpy.
 
-A word is the bag of hashed byte n-grams of ``<word>``; a segment of up to ``SEGMENT`` words is the mean of its
-distinct words' vectors, and a softmax of two classes reads it. Vectors and softmax are trained together on a bounded sample
-of segments of labelled documents (``SAMPLE`` for each class, those with the smallest hashes; documented bound). A
-misspelling shares most n-grams, hence vectors, with the word it hides. A document's raw score is the mean logit of
-its ``TOP`` most toxic distinct words, so that neither long nor short texts dilute it, and every word of every text
-counts. A logistic curve fitted on labelled documents that taught no vectors turns raw scores into probabilities.
+A word is the bag of hashed byte n-grams of ``<word>``: the mean of their vectors. A window of ``WINDOW`` words is the
+mean of its words, and a softmax of two classes reads it; windows overlap by half, cover the whole text, and the most
+toxic one decides, so neither long texts nor many clean words dilute a few bad ones. A misspelling shares most n-grams,
+hence vectors, with the word it hides.
+
+Which n-grams get vectors is counted on Spark, over all labelled texts that may teach: those whose share of toxic
+texts stands out (``LEAST_Z`` standard deviations), so rare toxic words teach too; others have the zero vector. Their
+log odds are where vectors start. Vectors and softmax are then trained together on each text's most toxic window, of a
+bounded sample of texts (``SAMPLE`` for each class, those with the smallest hashes; documented bound). Isotonic
+calibration on labelled documents that taught neither counts nor vectors turns a window's logit into a probability.
 
 Null text counts as empty and has no words: its raw score is 0. Null labels and ids take no part;
 an id with several labels is toxic if one of them is. Without labelled rows of both classes every score is the
@@ -24,25 +28,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from nomenroll.llm.calibration import Logistic, histogram
+from nomenroll.llm.calibration import Isotonic, histogram
 from nomenroll.llm.common import remainder, slices, written
 
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 18
 DIMENSION = 4
-SEGMENT = 2048
-#: Neutral words that each segment is thought to hold besides its own, so that one word doesn't decide a short text.
-NEUTRAL = 40
-#: Words that matter are about a hundredth of a segment.
-SCALE = 100
-RATE, DECAY = 0.1, 1e-4
-#: Words whose mean makes a document's raw score.
-TOP = 2
-#: Segments of each class that may teach vectors.
-SAMPLE = 1500
-EPOCHS = 30
-#: A bucket must occur in this share of the sample's segments, and in two, to get a vector of its own.
-LEAST_SHARE = 0.002
+#: Words of a window, of which every second half overlaps the next; a shorter text counts as so many words at least.
+WINDOW, LEAST_WORDS = 64, 32
+#: Standard deviations by which an n-gram's count in toxic texts exceeds what its count in all texts lets expect.
+LEAST_Z = 4.0
+#: And the least log odds, so that words which are only somewhat commoner there, in long texts, count for nothing.
+LEAST_ODDS = 2.0
+#: A word that matters is a few in a hundred of its window.
+SCALE = 20.0
+RATE, EPOCHS = 0.05, 20
+#: Texts of each class whose most toxic windows train vectors and softmax.
+SAMPLE = 4000
+#: Of so many parts of the labelled texts, all but one teach and one calibrates.
+PARTS = 5
 REJECT = 0.7
 #: Words that the memo holds at most, some 15 MB; it starts anew beyond that and goes with its task.
 MEMO_WORDS = 100_000
@@ -76,13 +80,19 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
+def counted(owners: np.ndarray, telling: np.ndarray, words: int) -> np.ndarray:
+    """By how many n-grams a word's sum is divided: those with vectors, half of all at least."""
+    every, known = np.bincount(owners, minlength=words), np.bincount(owners[telling], minlength=words)
+    return np.maximum(np.maximum(known, every / 2), 1)
+
+
 @dataclass
 class Toxicity:
-    """A word's logit is the mean of ``values[bucket]`` over its n-grams, which is what vectors and softmax amount to once
-    trained."""
+    """A word's logit is the mean of ``values[bucket]`` over its n-grams that have vectors, or half of them all if those are
+    fewer, which is what vectors and softmax amount to once trained."""
 
     values: np.ndarray
-    calibration: Logistic | None = None
+    calibration: Isotonic | None = None
     _memo: dict = field(default_factory=dict)
 
     def word_values(self, words: list[bytes]) -> np.ndarray:
@@ -92,51 +102,63 @@ class Toxicity:
                 memo.clear()
                 new = list(dict.fromkeys(words))
             buckets, owners = ngrams(new)
-            sums = np.bincount(owners, weights=self.values[buckets], minlength=len(new)) / np.bincount(owners, minlength=len(new))
-            memo.update(zip(new, sums.tolist()))
+            found = self.values[buckets]
+            means = np.bincount(owners, weights=found, minlength=len(new)) / counted(owners, found != 0, len(new))
+            memo.update(zip(new, means.tolist()))
         return np.fromiter(map(memo.__getitem__, words), dtype=np.float64, count=len(words))
 
+    def windows(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, end and logit of each window of a text's words."""
+        n = len(words)
+        sums = np.concatenate([[0.0], np.cumsum(self.word_values(words))])
+        begins = np.arange(0, max(1, n - WINDOW // 2), WINDOW // 2)
+        ends = np.minimum(begins + WINDOW, n)
+        return begins, ends, SCALE * (sums[ends] - sums[begins]) / np.maximum(ends - begins, LEAST_WORDS)
+
+    def worst(self, words: list[bytes]) -> list[bytes]:
+        begins, ends, logits = self.windows(words)
+        at = logits.argmax()
+        return words[begins[at] : ends[at]]
+
     def raw(self, texts: list[str | None]) -> np.ndarray:
-        bags = [list(dict.fromkeys(words_of(x))) for x in texts]
-        values = self.word_values([w for bag in bags for w in bag])
-        result, at = np.zeros(len(texts)), 0
-        for i, bag in enumerate(bags):
-            own = values[at : at + len(bag)]
-            at += len(bag)
-            result[i] = np.partition(own, len(own) - TOP)[-TOP:].sum() if len(own) > TOP else own.sum()
-        return result / (TOP * SCALE)
+        return np.array([self.windows(w)[2].max() if (w := words_of(x)) else 0.0 for x in texts], dtype=np.float64)
 
     def __getstate__(self) -> dict:
         return {"values": self.values, "calibration": self.calibration, "_memo": {}}
 
 
-def train(segments: list[list[bytes]], labels: np.ndarray, seed: int = 10) -> Toxicity:
-    """Adam on vectors and softmax together, with all segments of the sample in each step and equal classes."""
+def train(windows: list[list[bytes]], labels: np.ndarray, start: np.ndarray, seed: int = 10) -> Toxicity:
+    """Adam on vectors and softmax together, with all windows of the sample in each step and equal classes.
+
+    ``start``: log odds of the n-grams that get vectors, else 0.
+    """
     rng = np.random.default_rng(seed)
     number: dict[bytes, int] = {}
-    at = np.array([number.setdefault(w, len(number)) for part in segments for w in part], dtype=np.int64)
-    sizes = np.array([len(part) for part in segments])
-    starts, word_rows = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(segments)), sizes)
+    at = np.array([number.setdefault(w, len(number)) for part in windows for w in part], dtype=np.int64)
+    sizes = np.array([len(part) for part in windows])
+    starts, word_rows = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(windows)), sizes)
     buckets, owners = ngrams(list(number))
-    order = np.lexsort((buckets, owners))
-    buckets, owners = buckets[order], owners[order]
-    share = 1 / np.maximum(1, np.bincount(owners, minlength=len(number)))
-    seen = np.bincount(buckets, weights=np.bincount(at)[owners], minlength=BUCKETS)
-    common = seen[buckets] >= max(2, LEAST_SHARE * len(segments))
-    buckets, owners = buckets[common], owners[common]
+    telling = start[buckets] != 0
+    share = 1 / counted(owners, telling, len(number))[:, None]
+    buckets, owners = buckets[telling], owners[telling]
     used, index = np.unique(buckets, return_inverse=True)
+    if not len(used):
+        return Toxicity(start.astype(np.float32))
+    order = np.argsort(owners, kind="stable")
+    index, owners = index[order], owners[order]
     holders, word_starts = np.unique(owners, return_index=True)
     by_bucket, by_word = np.argsort(index, kind="stable"), np.argsort(at, kind="stable")
     bucket_starts = np.searchsorted(index[by_bucket], np.arange(len(used)))
     at_starts = np.searchsorted(at[by_word], np.arange(len(number)))
-    vectors = rng.normal(0, 0.1, (len(used), DIMENSION)).astype(np.float32)
-    softmax, bias = rng.normal(0, 0.5, (DIMENSION, 2)).astype(np.float32), np.zeros(2, np.float32)
-    scale = (SCALE / (sizes + NEUTRAL)).astype(np.float32)[:, None]
-    share = share.astype(np.float32)[:, None]
-    target = np.stack([1 - labels, labels], axis=1).astype(np.float32)
-    weight = np.where(labels > 0, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum())).astype(np.float32)[:, None]
+    direction = rng.normal(0, 1, DIMENSION)
+    direction /= np.linalg.norm(direction)
+    vectors = start[used][:, None] * direction / 2 + rng.normal(0, 0.01, (len(used), DIMENSION))
+    softmax, bias = np.stack([-direction, direction], axis=1), np.zeros(2)
+    scale = (SCALE / np.maximum(sizes, LEAST_WORDS))[:, None]
+    target = np.stack([1 - labels, labels], axis=1)
+    weight = np.where(labels > 0, 0.5 / max(1, labels.sum()), 0.5 / max(1, (1 - labels).sum()))[:, None]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, softmax, bias)]
-    words = np.zeros((len(number), DIMENSION), np.float32)
+    words = np.zeros((len(number), DIMENSION))
     for step in range(1, EPOCHS + 1):
         words[holders] = np.add.reduceat(vectors[index], word_starts, axis=0)
         mean = np.add.reduceat((words * share)[at], starts, axis=0) * scale
@@ -146,13 +168,12 @@ def train(segments: list[list[bytes]], labels: np.ndarray, seed: int = 10) -> To
         back = (error @ softmax.T) * scale
         word_gradient = np.add.reduceat(back[word_rows[by_word]], at_starts, axis=0) * share
         gradient = np.add.reduceat(word_gradient[owners[by_bucket]], bucket_starts, axis=0)
-        gradients = (gradient + DECAY * vectors, mean.T @ error + DECAY * softmax, error.sum(axis=0))
-        for (m, v), weights, g in zip(moments, (vectors, softmax, bias), gradients):
+        for (m, v), weights, g in zip(moments, (vectors, softmax, bias), (gradient, mean.T @ error, error.sum(axis=0))):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             weights -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    values = np.zeros(BUCKETS, dtype=np.float32)
-    values[used] = SCALE * vectors @ (softmax[:, 1] - softmax[:, 0])
+    values = start.astype(np.float32)  # of n-grams that no window of the sample holds
+    values[used] = vectors @ (softmax[:, 1] - softmax[:, 0])
     return Toxicity(values)
 
 
@@ -161,45 +182,80 @@ def known_labels(docs: DataFrame, labels: DataFrame, doc_id: str, label: str, mo
     known = labels.filter(F.col(label).isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out))
     known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max(F.col(label)) > 0).cast("int").alias("y"))
     there = docs.select(F.col(doc_id).cast("long").alias("id"))
-    return written(known.join(there, "id", "left_semi").withColumn("part", F.pmod(F.xxhash64(F.lit(10), "id"), F.lit(4))), "known")
+    return written(known.join(there, "id", "left_semi").withColumn("part", F.pmod(F.xxhash64(F.lit(10), "id"), F.lit(PARTS))), "known")
+
+
+def class_counts(texts: DataFrame) -> np.ndarray:
+    """Texts of each class that hold each n-gram's bucket, and texts of each class in the last column. ``texts``: y, text.
+
+    A task sends the buckets that it has seen, added up.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, BUCKETS + 1), dtype=np.int64)
+        for batch in slices(batches):
+            for y, text in zip(batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+                if own := list(dict.fromkeys(words_of(text))):
+                    counts[y, np.unique(ngrams(own)[0])] += 1
+                counts[y, BUCKETS] += 1
+        ys, at = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(ys), pa.array(at), pa.array(counts[ys, at])], ["y", "bucket", "n"])
+
+    found = texts.mapInArrow(run, "y long, bucket long, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((2, BUCKETS + 1))
+    counts[found.column("y").to_numpy(), found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def log_odds(counts: np.ndarray) -> np.ndarray:
+    """Of each bucket that stands out in toxic texts; 0 for all others."""
+    clean, toxic = counts[:, :-1]
+    share = counts[1, -1] / counts[:, -1].sum()
+    expected = (clean + toxic) * share
+    z = (toxic - expected) / np.sqrt(expected * (1 - share) + 0.25)
+    odds = np.log((toxic + 2 * share) / (clean + 2 * (1 - share))) - np.log(share / (1 - share))
+    return np.where((z > LEAST_Z) & (odds > LEAST_ODDS), odds, 0.0)
 
 
 def teach(docs: DataFrame, known: DataFrame, doc_id: str, text: str, sample: int) -> Toxicity | None:
-    """Vectors from three quarters of the labelled documents, as far as the bound goes; None without both classes.
+    """Vectors and softmax from the labelled documents but the calibrating part; None without both classes.
 
-    The ids of at most ``sample`` documents of each class are broadcast, so no text is shuffled; of their segments, at
-    most ``sample`` of each class are used.
+    The sampled documents' windows of ``WINDOW`` words come to the driver, at most ``sample`` of each class.
     """
-    chosen = [known.filter((F.col("y") == y) & (F.col("part") < 3)).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
-    ids = F.broadcast(chosen[0].unionByName(chosen[1]).select("id", "y"))
+    taught = known.filter(F.col("part") < PARTS - 1)
+    named = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    texts = written(named.join(taught, "id").select("id", F.col("y").cast("long").alias("y"), "text"), "labelled")
+    counts = class_counts(texts.select("y", "text"))
+    if not counts[:, -1].all():
+        return None
+    start = log_odds(counts)
+    shared = docs.sparkSession.sparkContext.broadcast(start.astype(np.float32))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Segments, as texts."""
+        model = Toxicity(shared.value)
         for batch in slices(batches):
-            rows = [(i, y, k // SEGMENT, " ".join(w[k : k + SEGMENT])) for i, y, t in zip(*(batch.column(c).to_pylist() for c in ("id", "y", "text"))) for w in [(t or "").lower().split()] for k in range(0, len(w), SEGMENT)]
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.string()))], ["id", "y", "k", "segment"])
+            found = [" ".encode().join(model.worst(w)) if (w := words_of(t)) else b"" for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], ["id", "y", "window"])
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id").select("id", "y", "text")
-    segments = written(texts.mapInArrow(cut, "id long, y int, k int, segment string"), "segments")
+    windows = written(texts.mapInArrow(cut, "id long, y long, window binary"), "windows")
     parts, ys = [], []
     for y in (0, 1):
-        some = segments.filter(F.col("y") == y).orderBy(F.xxhash64("id", "k"), "id", "k").limit(sample)
-        for row in some.select("segment").toLocalIterator():
-            parts.append(list(dict.fromkeys(words_of(row["segment"]))))
+        some = windows.filter((F.col("y") == y) & (F.octet_length("window") > 0)).orderBy(F.xxhash64("id"), "id", "window").limit(sample)
+        for row in some.select("window").toLocalIterator():
+            parts.append(bytes(row["window"]).split(b" "))
             ys.append(y)
-    return train(parts, np.array(ys, dtype=np.float64)) if len(set(ys)) == 2 else None
+    return train(parts, np.array(ys, dtype=np.float64), start) if len(set(ys)) == 2 else Toxicity(start.astype(np.float32))
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", modulus: int = 3, held_out: int = 1, sample: int = SAMPLE) -> tuple[Toxicity, DataFrame]:
     """The model, and id and raw score of every document. Rows whose crc32(id) mod ``modulus`` is ``held_out`` teach
-    nothing; of the others, three quarters may teach vectors and the rest calibrates."""
+    nothing; of the others, one part in ``PARTS`` calibrates and the rest teaches."""
     known = known_labels(docs, labels, doc_id, label, modulus, held_out)
     taught = teach(docs, known, doc_id, text, sample)
     model = taught or Toxicity(np.zeros(BUCKETS, np.float32))
     raws = written(scored(docs, model.raw, "__raw", [doc_id], text), "raw")
-    rest = known.filter("part = 3") if taught else known
-    model.calibration = Logistic(histogram(raws.join(rest, F.col(doc_id) == F.col("id")), "__raw", "y", -40.0, 40.0))
+    rest = known.filter(F.col("part") == PARTS - 1) if taught else known
+    model.calibration = Isotonic(histogram(raws.join(rest, F.col(doc_id) == F.col("id")), "__raw", "y", -40.0, 40.0))
     return model, raws
 
 
@@ -220,9 +276,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     keep = [c for c in keep or [doc_id] if c not in ("held_out", "score", "predicted")]
     model, raws = fit(docs, labels, doc_id, text)
     if keep == [doc_id]:
-        a, b = model.calibration.a, model.calibration.b
-        odds = F.least(F.greatest(F.col("__raw") * F.lit(a) + F.lit(b), F.lit(-30.0)), F.lit(30.0))
-        result = raws.withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))
+        result = scored(raws, lambda values: model.calibration(np.array(values, dtype=np.float64)), "score", keep, "__raw")
     else:  # scored again: a table of raw scores with all columns would be a copy of the texts
         result = scored(docs, lambda texts: model.calibration(model.raw(texts)), "score", list(dict.fromkeys([*keep, doc_id])), text)
     held = F.coalesce(remainder(F.col(doc_id), 3) == 1, F.lit(False))
