@@ -17,8 +17,9 @@ Windows give the components. Direct links are then counted exactly inside each c
 a clique larger than a window loses no link. Counts leave a block, pairs don't.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, and rows without an id, link with
-nothing. Vectors of different lengths are never compared. Repeated rows are copies of each other. An empty table
-gives an empty table; other columns are not read.
+nothing. Vectors of different lengths are never compared. Repeated rows are copies of each other. Rows that share an id
+and not the vector are vectors of their own, which may link with each other, and are counted as such; each row is in the
+component of its own vector. An empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -264,20 +265,21 @@ def near_duplicates(
     fine = usable(F.col("vector")) & F.col("vec_id").isNotNull()
     digest = F.struct(F.xxhash64(F.lit(1), "vector").alias("h1"), F.xxhash64("vector", F.lit(2)).alias("h2"))
     good = rows.filter(fine).select("vec_id", "vector", digest.alias("digest")).select("vec_id", "vector", "digest.*")
-    classes = written(
-        good.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vector").alias("vector")), "classes"
-    )
+    classes = good.groupBy("h1", "h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vector").alias("vector"))
+    # a class has a number of its own, since one id may have several vectors; fixed, as it is written
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     links = all_rounds(classes, window, threshold, recall, block, seed)
     joined = written(components(written(links.distinct(), "links")), "joined").withColumnRenamed("node", "rep")
     sizes = joined.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
     members = classes.select("rep", "copies", "vector").join(joined.join(sizes, "component"), "rep")
     members = members.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int"))
     counted = count_links(members, threshold)
-    known = classes.select("h1", "h2", "rep", "copies").join(joined, "rep", "left").join(counted, "rep", "left")
+    smallest = joined.join(classes.select("rep", "least"), "rep").groupBy("component").agg(F.min("least").alias("component_id"))
+    known = classes.select("h1", "h2", "rep", "least", "copies").join(joined, "rep", "left").join(smallest, "component", "left").join(counted, "rep", "left")
     linked = good.select("vec_id", "h1", "h2").join(known, ["h1", "h2"]).select(
         "vec_id",
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-        F.coalesce("component", "rep").alias("component_id"),
+        F.coalesce("component_id", "least").alias("component_id"),
     )
     alone = rows.filter(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -165,3 +165,21 @@ def test_pairs_in_dense_regions_are_found(spark):
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
     found = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(table).collect()}
     assert np.mean([found[a] == found[b] for a, b in pairs]) >= 0.95
+
+
+def test_vectors_that_share_an_id(spark):
+    rng = np.random.default_rng(4)
+    near = lambda v: (v + rng.normal(0, 0.02, 16)).tolist()
+    a, b, c = (rng.normal(0, 1, 16) for _ in range(3))
+    rows = [(5, near(a)), (5, near(a)), (9, near(a)), (5, b.tolist()), (7, b.tolist()), (5, c.tolist()), (2, near(a))]
+    rows += [(100 + i, rng.normal(0, 1, 16).tolist()) for i in range(50)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    vectors = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    linked = [[i != j and float(x @ y) >= 0.9 for j, y in enumerate(vectors)] for i, x in enumerate(vectors)]
+    group = list(range(len(rows)))
+    for _ in rows:
+        group = [min([group[i], *(group[j] for j in range(len(rows)) if linked[i][j])]) for i in range(len(rows))]
+    least = {g: min(rows[i][0] for i in range(len(rows)) if group[i] == g) for g in group}
+    want = sorted((rows[i][0], sum(linked[i]), least[group[i]], rows[i][0] == least[group[i]]) for i in range(len(rows)))
+    assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(table).collect()) == want
+    assert want.count((5, 3, 2, False)) == 2 and (5, 1, 5, True) in want and (5, 0, 5, True) in want
