@@ -1,10 +1,12 @@
 """Fingerprints of improbable features.
 
-Windows of ``WINDOW`` bytes start at places that the bytes themselves choose. How rare a window's entropy is in the
-whole corpus ranks it (a bounded histogram over all texts); the rarest of its neighbourhood are a text's features, a
-hash deciding ties. Features go, in order, into Bloom filters of 2048 bits with five hashes; a filter takes 160 and
-then the next one is chained. Two fingerprints are compared filter by filter: common bits beyond those expected by
-chance, as a share of the most that were possible; each filter of the shorter chain takes its best partner.
+Every window of ``WINDOW`` bytes is ranked by how rare its entropy is in the whole corpus (a bounded histogram over all
+windows of all texts), a hash deciding ties. A window that is the rarest within ``reach`` bytes on both sides is a
+feature, so each stretch of text has one; the reach grows with the text, from 2 to 27 bytes, so that short texts
+have a dozen features too, and what a longer reach chooses a shorter one chooses as well. Features go, in order, into
+Bloom filters of 2048 bits with five hashes; a filter takes 160 and then the next one is chained. Two fingerprints
+are compared filter by filter: common bits beyond those expected by chance, as a share of the most that were
+possible; each filter of the shorter chain takes its best partner.
 
 A text shorter than a window is one padded window. Null text counts as empty: no features and an empty fingerprint.
 Two empty fingerprints have likeness 1, an empty and another one 0. For ``with_edits``, rows are ordered by
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 
 from nomenroll.llm.common import slices, text_bytes
 
-WINDOW = 16
-REACH = 6
+WINDOW = 8
+#: Bytes on both sides within which a feature is the rarest window, by the size of the text: a sixteenth, rounded down.
+REACHES = (2, 4, 8, 16, 27)
 BITS, HASHES, PER_FILTER = 2048, 5, 160
 ENTROPY_BINS = 1024
 #: Bytes of text that one range of ids holds, about.
@@ -35,42 +38,72 @@ RANGES_MOST = 10_000
 CHUNK_BYTES = 1 << 20
 
 
-def _windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, entropy bin and 64-bit hash of every chosen window, in order."""
+def reach_of(size: int) -> int:
+    return max((r for r in REACHES if r * 16 <= size), default=REACHES[0])
+
+
+def _laid_out(texts: list[bytes], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, with a gap after each text; whether a window of a text begins at each place; the text's number there."""
     padded = [t.ljust(WINDOW, b"\0") if t else b"" for t in texts]
-    data = np.frombuffer(b"".join(padded), dtype=np.uint8)
+    data = np.frombuffer((b"\0" * gap).join([*padded, b"\0" * WINDOW]), dtype=np.uint8)
     sizes = np.fromiter(map(len, padded), dtype=np.int64, count=len(padded))
-    ends = np.cumsum(sizes)
-    n = len(data) - WINDOW + 1
-    if n < 1:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    mixed = (data[:n].astype(np.uint32) * 31 + data[1 : n + 1].astype(np.uint32) * 17 + data[2 : n + 2]) * np.uint32(0x9E3779B1)
-    chosen = (mixed >> np.uint32(30)) == 0
-    chosen[(ends - sizes)[sizes > 0]] = True
-    at = np.flatnonzero(chosen)
-    text = np.searchsorted(ends, at, side="right")
-    inside = at + WINDOW <= ends[text]
-    at, text = at[inside], text[inside]
-    bins = np.empty(len(at), dtype=np.int64)
-    hashes = np.empty(len(at), dtype=np.uint64)
-    view = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
-    logs = np.log2(np.arange(1, WINDOW + 1))
-    for k in range(0, len(at), 16384):
-        rows = np.ascontiguousarray(view[at[k : k + 16384]])
-        ordered = np.sort(rows, axis=1)
-        same = np.ones(rows.shape, dtype=np.int64)  # how many equal bytes up to here, in order
-        for j in range(1, WINDOW):
-            same[:, j] = np.where(ordered[:, j] == ordered[:, j - 1], same[:, j - 1] + 1, 1)
-        # the sum of c log c over bytes is the sum of its steps
-        steps = np.concatenate([[0.0], np.diff(np.concatenate([[0.0], np.arange(1, WINDOW + 1) * logs]))])
-        entropy = np.log2(WINDOW) - steps[same].sum(axis=1) / WINDOW
-        bins[k : k + 16384] = np.minimum(np.rint(entropy * (ENTROPY_BINS - 1) / np.log2(WINDOW)), ENTROPY_BINS - 1)
-        pair = rows.view(np.uint64)
-        h = (pair[:, 0] * np.uint64(0x9E3779B97F4A7C15)) ^ (pair[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        hashes[k : k + 16384] = h ^ (h >> np.uint64(32))
-    return text, bins, hashes
+    number = np.repeat(np.arange(len(padded)), sizes + gap)
+    begins = np.cumsum(sizes + gap) - sizes - gap
+    place = np.arange(len(number)) - begins[number]
+    return data, place <= (sizes - WINDOW)[number], number
+
+
+def _bins(data: np.ndarray, n: int) -> np.ndarray:
+    """Entropy bin of the window at each of the first ``n`` places.
+
+    The sum of c log c over the counts of a window's bytes is a sum of steps, one for each byte, by how many equal ones
+    come before it in the window.
+    """
+    equal = [data[: n + WINDOW - 1 - d] == data[d : n + WINDOW - 1] for d in range(1, WINDOW)]
+    total = np.zeros(n, dtype=np.uint16)
+    for j in range(1, WINDOW):
+        earlier = np.zeros(n, dtype=np.uint8)
+        for d in range(1, j + 1):
+            earlier += equal[d - 1][j - d : j - d + n]
+        total += _STEPS[earlier]
+    return _BINS[total]
+
+
+#: c log c - (c - 1) log (c - 1) in thousandths of a bit, and the entropy bin of each sum of them.
+_LOGS = np.arange(WINDOW + 1) * np.log2(np.maximum(1, np.arange(WINDOW + 1)))
+_STEPS = np.rint(np.diff(_LOGS) * 1000).astype(np.uint16)
+_BINS = np.rint((1 - np.minimum(1, np.arange(1000 * WINDOW * int(np.log2(WINDOW)) + WINDOW) / (1000 * _LOGS[-1]))) * (ENTROPY_BINS - 1)).astype(np.int64)
+
+
+def _hashes(data: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of the window at each of the first ``n`` places."""
+    h = np.ndarray(n, dtype="<u8", buffer=data, strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def _least_of_next(x: np.ndarray, length: int) -> np.ndarray:
+    """Minimum of ``length`` values from each place on; the last ``length`` - 1 places have none."""
+    size = 1
+    while size * 2 <= length:
+        x = np.minimum(x[: len(x) - size], x[size:])
+        size *= 2
+    rest = length - size
+    return np.minimum(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+def _features(texts: list[bytes], ranks: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of each feature, in order."""
+    data, valid, number = _laid_out(texts, reach + WINDOW)
+    n = len(valid)
+    hashes = _hashes(data, n)
+    highest = np.uint64(0xFFFFFFFFFFFFFFFF)
+    key = np.where(valid, (ranks[_bins(data, n)].astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16)), highest)
+    least = _least_of_next(np.concatenate([np.full(reach, highest), key, np.full(reach, highest)]), reach)
+    # of equal windows the first one counts
+    chosen = valid & (key < least[:n]) & (key <= least[reach + 1 : reach + 1 + n])
+    return number[chosen], hashes[chosen]
 
 
 def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -79,7 +112,8 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ENTROPY_BINS, dtype=np.int64)
         for batch in slices(batches, 128):
-            total += np.bincount(_windows(text_bytes(batch, text))[1], minlength=ENTROPY_BINS)
+            data, valid, _ = _laid_out(text_bytes(batch, text), 0)
+            total += np.bincount(_bins(data, len(valid))[valid], minlength=ENTROPY_BINS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bin", "n"])
 
@@ -93,14 +127,16 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 def filters(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
     """Each text's chain: filters x 256 bytes."""
-    text, bins, hashes = _windows(texts)
-    key = (ranks[bins].astype(np.uint64) << np.uint64(48)) | (hashes >> np.uint64(16))
-    least = np.ones(len(key), dtype=bool)
-    for d in range(1, min(REACH, len(key) - 1) + 1):
-        near = text[d:] == text[:-d]
-        least[d:] &= ~(near & (key[:-d] <= key[d:]))
-        least[:-d] &= ~(near & (key[d:] < key[:-d]))
-    text, hashes = text[least], hashes[least]
+    by_reach: dict[int, list[int]] = {}
+    for i, t in enumerate(texts):
+        by_reach.setdefault(reach_of(len(t)), []).append(i)
+    found = []
+    for reach, members in by_reach.items():
+        number, own = _features([texts[i] for i in members], ranks, reach)
+        found.append((np.array(members, dtype=np.int64)[number], own))
+    text, hashes = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    in_order = np.argsort(text, kind="stable")
+    text, hashes = text[in_order], hashes[in_order]
     counts = np.bincount(text, minlength=len(texts))
     chains = -(-counts // PER_FILTER)
     first = np.cumsum(chains) - chains

@@ -174,3 +174,54 @@ def test_fingerprints(spark):
     assert fingerprints.with_edits(table.limit(0)).count() == 0
     chain = fingerprints.decode(by[9].fingerprint)
     assert fingerprints.encode(chain) == by[9].fingerprint and fingerprints.likeness(chain, chain) == 1.0
+
+
+def entropy(window):
+    return -sum(n / len(window) * math.log2(n / len(window)) for n in Counter(window).values())
+
+
+def test_features_are_the_rarest_windows_of_each_stretch():
+    rng = np.random.default_rng(7)
+    texts = [bytes(rng.choice(list(b"abc d"), n)) for n in (0, 3, 8, 9, 31, 64, 200, 700)] + [b"ab" * 60, b"=" * 300]
+    every = [fingerprints._laid_out([t], 0) for t in texts]
+    bins = [fingerprints._bins(d, len(v))[v] for d, v, _ in every]
+    for t, found in zip(texts, bins):
+        padded = t.ljust(8, b"\0") if t else b""
+        want = [entropy(padded[i : i + 8]) for i in range(len(padded) - 7)] if t else []
+        assert np.allclose(found, np.array(want) * 1023 / 3, atol=1)
+    ranks = rng.permutation(fingerprints.ENTROPY_BINS)
+    for reach in fingerprints.REACHES:
+        number, hashes = fingerprints._features(texts, ranks, reach)
+        for i, (t, own) in enumerate(zip(texts, bins)):
+            padded = np.frombuffer((t.ljust(8, b"\0") if t else b"") + bytes(8), dtype=np.uint8)
+            h = fingerprints._hashes(padded, len(own))
+            key = [(int(ranks[b]), int(x) >> 16) for b, x in zip(own, h)]
+            chosen = [
+                h[k] for k in range(len(key)) if all(key[j] > key[k] for j in range(max(0, k - reach), k)) and all(key[j] >= key[k] for j in range(k + 1, min(len(key), k + reach + 1)))
+            ]
+            assert hashes[number == i].tolist() == chosen
+            assert not t or chosen  # every stretch has one
+    # a longer reach chooses among what a shorter one chooses
+    sets = [set(zip(*(x.tolist() for x in fingerprints._features(texts, ranks, r)))) for r in fingerprints.REACHES]
+    assert all(b <= a for a, b in zip(sets, sets[1:]))
+
+
+@pytest.mark.parametrize("size", [40, 80, 400])
+def test_one_changed_character_of_a_short_text(spark, size):
+    docs = read(spark, "/root/testdata/sf0.001", "documents")
+    ranks = fingerprints.rarity(docs)
+    rng = np.random.default_rng(size)
+    texts = [r.text.encode() for r in docs.select("text").collect() if len(r.text.encode()) >= size]
+    alike = 0
+    for _ in range(200):
+        text = texts[rng.integers(len(texts))]
+        begin = rng.integers(len(text) - size + 1)
+        one = bytearray(text[begin : begin + size])
+        other = bytearray(one)
+        at = rng.integers(size)
+        other[at] = 97 + (other[at] + 5) % 26
+        a, b = fingerprints.filters([bytes(one), bytes(other)], ranks)
+        alike += fingerprints.likeness(a, b) > 0.5
+    assert alike >= 180
+    far = [fingerprints.likeness(*fingerprints.filters([a, b], ranks)) for a, b in zip(texts, texts[7:])]
+    assert np.median(far) < 0.15
