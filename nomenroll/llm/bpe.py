@@ -4,7 +4,9 @@ Merges are applied by rank. Whether some merge ever crosses a position depends o
 far as the merge list lets information travel left, and each such step needs a merge of lower rank. ``lookahead``
 computes that distance from the list; a token that ends at least so many bytes before the end of what has been read
 is final, is emitted, and its bytes are dropped. So any run of bytes is encoded with a buffer of constant size.
-Words are short, so nearly all of them are encoded in one step; a bounded memo keeps the frequent ones.
+Words are short, so nearly all of them are encoded in one step; a bounded memo keeps the frequent ones. Texts come in
+chunks: a splitter settles the words that no later character can change, and hands on a word that fills its buffer to
+the transducer bit by bit, so a text of any length takes constant memory.
 
 Null and empty texts give no ids. The special token's string in a text becomes its id, as in the library.
 """
@@ -33,6 +35,8 @@ from nomenroll.llm.common import slices
 LATIN = "A-Za-zÀ-ÖØ-öø-ƺ"
 MARKS = "¡-©«-±´¶-¸»¿×÷\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
 PLAIN = rf"'(?:[stmd]|re|ve|ll)| ?(?:[{LATIN}]+|[0-9]+|[^\t-\r 0-9{LATIN}]+)|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+#: Characters of a chunk, and of text that the splitter holds before it settles some.
+CHUNK_CHARS = BUFFER_CHARS = 1 << 16
 #: Words that the memo holds at most; it starts anew beyond that.
 MEMO_WORDS = 100_000
 #: A run up to this length is merged by rescanning; a heap serves longer ones.
@@ -180,6 +184,59 @@ class Bpe:
                 ids.extend(chain.from_iterable(map(memo.__getitem__, self.pieces(part))))
         return ids
 
+    def _settled(self, buffer: str) -> tuple[list[int], int]:
+        """Ids that nothing after ``buffer`` can change, and how many of its characters they stand for."""
+        held = len(buffer)
+        if self._split is not None:
+            if ends := [m.end() for m in self._split.finditer(buffer)]:
+                return self.encode(buffer[: ends[-1]]), ends[-1]
+            longest = max(map(len, self.special))
+            for begin in range(max(0, held - longest), held):  # what may be the beginning of a special token
+                if any(s.startswith(buffer[begin:]) for s in self.special):
+                    held = begin
+                    break
+        pieces = self.pieces(buffer[:held])
+        # the last word may go on, or, of blanks, lose its last one; a quote and two letters may become one word
+        kept = 2 if len(pieces) > 1 and pieces[-2] == "'" and len(pieces[-1]) <= 2 else 1
+        if len(pieces) > kept:
+            done = pieces[:-kept]
+            return list(chain.from_iterable(map(self._memo.__getitem__, done))), sum(map(len, done))
+        if not pieces or "'" in pieces[0]:  # the rest of a run of marks would begin with a quote
+            return [], 0
+        return self._emitted(pieces[0].encode())
+
+    def _emitted(self, data: bytes) -> tuple[list[int], int]:
+        """Stable ids of a word that isn't over, up to the end of a character, and the characters they stand for."""
+        ids: list[int] = []
+        done = at = count = 0  # at: the last end of a character between tokens, after ``count`` ids
+        while len(data) - done > self.window + 4:
+            stable = done + self.window - self.lookahead - 4
+            for token in self.merge(data[done : done + self.window]):
+                size = len(self.bytes_of[token])
+                if done + size > stable:
+                    break
+                done += size
+                ids.append(token)
+                if data[done] & 0xC0 != 0x80:
+                    at, count = done, len(ids)
+        return ids[:count], len(data[:at].decode())
+
+    def encode_stream(self, chunks: Iterable[str], buffer_chars: int | None = None) -> Iterator[list[int]]:
+        """Ids of a text that comes in chunks, list by list; a buffer and a chunk are held, and no more.
+
+        (A run of marks with quotes in it is the exception: it is held until it ends.)
+        """
+        limit, buffer = BUFFER_CHARS if buffer_chars is None else buffer_chars, ""
+        for chunk in chunks:
+            buffer += chunk
+            while len(buffer) > limit:
+                ids, size = self._settled(buffer)
+                if not size:
+                    break
+                yield ids
+                buffer = buffer[size:]
+        yield self.encode(buffer)
+
     def decode_stream(self, ids: Iterable[int], chunk: int = 1 << 16) -> Iterator[str]:
         """Text of ids in pieces: a state machine keeps at most three bytes of an unfinished character, and what can't
         become one is U+FFFD. Ids that the vocabulary hasn't are skipped."""
@@ -243,19 +300,26 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one pass and keeps neither ids nor text."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one pass, in chunks, and keeps neither ids nor text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for batch in slices(batches):
             counts, encoded, decoded = [], [], []
             for text in batch.column("text").to_pylist():
-                ids = bpe.encode(text)
-                back = hashlib.sha256()
-                for part in bpe.decode_stream(ids):
+                count, there, back = 0, hashlib.sha256(), hashlib.sha256()
+
+                def told(text: str = text or "") -> Iterator[list[int]]:
+                    nonlocal count
+                    for ids in bpe.encode_stream(text[i : i + CHUNK_CHARS] for i in range(0, len(text), CHUNK_CHARS)):
+                        count += len(ids)
+                        there.update(little_endian(ids))
+                        yield ids
+
+                for part in bpe.decode_stream(chain.from_iterable(told())):
                     back.update(part.encode())
-                counts.append(len(ids))
-                encoded.append(hashlib.sha256(little_endian(ids)).hexdigest())
+                counts.append(count)
+                encoded.append(there.hexdigest())
                 decoded.append(back.hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(encoded), pa.array(decoded)],

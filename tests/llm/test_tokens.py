@@ -53,6 +53,36 @@ def test_stream_holds_a_constant_window(monkeypatch):
     assert longest <= tokenizer.window
 
 
+@pytest.mark.parametrize("buffer", [1, 7, 40])
+def test_text_in_chunks(monkeypatch, buffer):
+    tokenizer, rng = bpe.Bpe(PATH), random.Random(buffer)
+    monkeypatch.setattr(tokenizer, "window", tokenizer.lookahead + 40)
+    runs = ["a" * 400, " " * 300, "\n" * 300, "é" * 200, "漢字" * 150, "'" * 90 + "s", "it's", "'re ", "'ve", "'l", "l", " 'm", "12" * 150, "!?" * 200, "\u3000" * 120, "<|endoftext|>", "<|endof", "<", "😀" * 100, " \n", "x", "\t ", ". "]
+    texts = [x or "" for x in TEXTS] + ["".join(rng.choice(runs) for _ in range(rng.randrange(14))) for _ in range(250)]
+    for text in texts:
+        step = rng.choice([1, 3, 17, 1000])
+        parts = list(tokenizer.encode_stream((text[i : i + step] for i in range(0, len(text), step)), buffer))
+        assert [x for part in parts for x in part] == expected(text), text
+
+
+def test_long_text_in_constant_memory(monkeypatch):
+    tokenizer, rng = bpe.tokenizer(PATH), random.Random(9)
+    words = ["the ", "naïve ", "漢字", "it's ", "\n\n", "12ab, ", "zorro", "x" * 9000, " " * 9000]
+    pieces = [rng.choice(words[:-2]) if rng.random() < 0.9995 else rng.choice(words[-2:]) for _ in range(1_500_000)] + ["漢" * 300_000, "z" * 1_000_000]
+    held, settled = [], tokenizer._settled
+
+    def seen(buffer):
+        held.append(len(buffer))
+        return settled(buffer)
+
+    monkeypatch.setattr(tokenizer, "_settled", seen)
+    text = "".join(pieces)
+    assert len(text) > 10_000_000
+    ids = [x for part in tokenizer.encode_stream(text[i : i + 50_000] for i in range(0, len(text), 50_000)) for x in part]
+    assert ids == expected(text) and max(held) <= bpe.BUFFER_CHARS + 50_000
+    assert "".join(tokenizer.decode_stream(iter(ids))) == text
+
+
 def test_lookahead_of_small_lists():
     assert bpe.lookahead([(b"a", b"b")]) == 1
     # whether a joins b depends on whether c takes b, which depends on whether d takes c
