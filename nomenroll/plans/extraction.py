@@ -14,6 +14,7 @@ from nomenroll.functions.spans import no_spans
 from nomenroll.operators.corpus import clean_text, fields_of
 from nomenroll.operators.gazetteer import Gazetteer, attach_spans, gazetteer_spans
 from nomenroll.operators.mentions import dropped_types, explode_spans, mentions_of
+from nomenroll.session import observed
 from nomenroll.sources.inventory import TARGET_BYTES, read_inventory, write_inventory
 
 Annotator = Callable[[Column], Column]
@@ -102,7 +103,7 @@ def run_extraction(
         text_field="+".join(span_columns(annotated)),
         options={**(options or {}), **{k: str(v) for k, v in asdict(config).items()}},
         generated_at=generated_at,
-        observed=(rows_seen.get["n"], mentions_seen.get["n"]),
+        seen=(observed(rows_seen, "n"), observed(mentions_seen, "n")),
     )
     metrics.write.mode("append").parquet(f"{out_dir}/runs")
     return metrics
@@ -115,11 +116,11 @@ def run_metrics(
     text_field: str,
     options: Mapping[str, str],
     generated_at: str | None = None,
-    observed: tuple[int, int] | None = None,
+    seen: tuple[int, int] | None = None,
 ) -> DataFrame:
     """One row about a run; without ``generated_at`` it depends on nothing but the run itself.
 
-    ``observed`` rows and mentions are those that went to the writers; ``agrees`` says whether as many are in the tables.
+    ``seen`` rows and mentions are those that went to the writers; ``agrees`` says whether as many are in the tables.
     """
     entries = F.array_sort(F.collect_list(F.struct("type", "spans")))
     return dropped.agg(F.map_from_entries(entries).alias("dropped_types")).select(
@@ -133,7 +134,7 @@ def run_metrics(
         .cast("map<string,string>")
         .alias("options"),
         F.lit(generated_at).cast("string").alias("generated_at"),
-        F.lit(observed[0] if observed else None).cast("bigint").alias("observed_rows"),
-        F.lit(observed[1] if observed else None).cast("bigint").alias("observed_mentions"),
-        F.lit(observed is None or observed == (rows, sum(mentions.values()))).alias("agrees"),
+        F.lit(seen[0] if seen else None).cast("bigint").alias("observed_rows"),
+        F.lit(seen[1] if seen else None).cast("bigint").alias("observed_mentions"),
+        F.lit(seen is None or seen == (rows, sum(mentions.values()))).alias("agrees"),
     )

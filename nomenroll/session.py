@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -63,3 +64,16 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def observed(seen: Observation, name: str) -> int:
+    """A count that an action has observed; 0 where there was so certainly no row that the plan was cut off above it.
+
+    Spark then has an empty row of metrics, which it can't hand over.
+    """
+    try:
+        return seen.get[name]
+    except Py4JJavaError as error:
+        if "toPyRow" not in str(error):
+            raise
+        return 0

@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from nomenroll.operators.rules import RULES, Rule, RuleSettings, rule_rank, with_rules
 from nomenroll.plans.extraction import inventory_of
 from nomenroll.plans.quality import with_context
+from nomenroll.session import observed
 from nomenroll.streaming.compaction import read_marked
 
 
@@ -31,7 +32,7 @@ def _observed_batch(df: DataFrame, out_dir: str, table: str, batch_id: int) -> t
     """The written batch, and how many rows passed on their way to it."""
     seen = Observation(f"{table}-{batch_id}")
     table_rows = _write_batch(df.observe(seen, F.count(F.lit(1)).alias("rows")), out_dir, table, batch_id)
-    return table_rows, seen.get["rows"]
+    return table_rows, observed(seen, "rows")
 
 
 RUN_SCHEMA = "batch_id long, rows_observed long, rows_committed long, mentions_observed long, mentions_committed long"

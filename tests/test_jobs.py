@@ -356,3 +356,12 @@ def test_extraction_without_any_mention(spark, path):
     nothing = contract(spark).filter("doc_id = 3").withColumn("title", F.lit(""))
     metrics = run_extraction(annotate_fields(nothing, ["doc_id"], PATTERN), ["doc_id"], path).first()
     assert (metrics.rows_in, set(metrics.mentions.values()), metrics.dropped_types) == (1, {0}, {})
+    assert (metrics.observed_rows, metrics.observed_mentions, metrics.agrees) == (1, 0, True)
+
+
+def test_stream_batch_without_any_mention(spark, path):
+    source, out = f"{path}/in", f"{path}/out"
+    contract(spark).filter("doc_id = 3").withColumn("title", F.lit("")).coalesce(1).write.parquet(source)
+    run_stream(spark, source, out, f"{path}/checkpoint")
+    (row,) = read_table(spark, out, "runs").collect()
+    assert (row.rows_observed, row.rows_committed, row.mentions_observed, row.mentions_committed) == (1, 1, 0, 0)
