@@ -28,3 +28,19 @@ def test_every_oracle_has_a_query():
 def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert sum(r.rows_flagged for r in rows) > 0 and sum(r.rows_clean for r in rows) > 0
+
+
+def test_queries_hold_the_rows_that_they_are_about(spark):
+    """Null, empty, blank and padded texts, titles beside contents, six classes, an absent class file, changed keys."""
+    query = entry.queries()
+    by_field = {r.field: r for r in query["spans_by_field"](spark, SF).collect()}
+    assert by_field["title"].with_spans > 0 and by_field["title"].padded_spans == 0
+    assert all(by_field["content"][c] > 0 for c in ("with_spans", "without", "blank_spans", "padded_spans"))
+    found = query["mentions_padded"](spark, SF)
+    assert found.filter("field = 'title'").count() > 0 and found.filter("field = 'content'").count() > 0
+    assert found.filter("entity = '' or entity <> trim(entity)").count() == 0
+    assert query["inventory_file_sizes"](spark, SF).filter("mentions > 0 and sized").count() == 6
+    assert {r.context for r in query["inventory_class_files"](spark, SF).select("context").distinct().collect()} == {"pers", "loc", "org", "pro", "event"}
+    assert {r.status for r in query["table_verify_by_ranges"](spark, SF).collect()} == {"missing", "mismatch"}
+    assert query["first_n_most_keys"](spark, SF).count() > 1000
+    assert query["stream_run_metrics"](spark, SF).first().mentions_committed > 0
