@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from nomenroll.llm.common import slices, written
+from nomenroll.llm.common import released, slices, written
 
 WINDOW = 3
 ENDS = " \t\r"
@@ -53,7 +53,7 @@ def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     names = ["known", "id", "version", "h1", "h2", "first", "last"]
     return docs.select("known", "id", "version", "text").mapInArrow(
-        run, "known boolean, id long, version long, h1 long, h2 long, first int, last int"
+        released(run), "known boolean, id long, version long, h1 long, h2 long, first int, last int"
     )
 
 
@@ -94,4 +94,4 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", siz
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], [*names, "n_lines", "n_removed"])
 
     schema = StructType([docs.schema[n] if n != text else docs.schema[n].__class__(n, StringType()) for n in names])
-    return both.mapInArrow(run, schema.add("n_lines", LongType()).add("n_removed", LongType()))
+    return both.mapInArrow(released(run), schema.add("n_lines", LongType()).add("n_removed", LongType()))

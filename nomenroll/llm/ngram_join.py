@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nomenroll.llm.common import components, slices, text_bytes, words, written
+from nomenroll.llm.common import components, released, slices, text_bytes, words, written
 
 #: Signatures of one bucket, about, and of a chunk that is packed at once.
 BUCKET_SIGNATURES = 500_000
@@ -65,16 +65,8 @@ class _Words(dict):
 _WORDS = _Words()
 
 
-def _releasing(run):
-    """``run``, a function of batches, with the memo emptied after it."""
-
-    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            _WORDS.clear()
-
-    return wrapped
+def forget_words() -> None:
+    _WORDS.clear()
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -170,7 +162,7 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(h, pa.int64()) for h in halves)], ["doc_id", "n_shingles", "k1", "k2"]
             )
 
-    return docs.mapInArrow(_releasing(run), "doc_id long, n_shingles long, k1 long, k2 long")
+    return docs.mapInArrow(released(run, forget_words), "doc_id long, n_shingles long, k1 long, k2 long")
 
 
 def _stars(signatures: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -250,7 +242,7 @@ def candidate_links(docs: DataFrame, size: int, bands: Bands, buckets: int) -> D
 
     blobs = "bucket long, data binary"
     gather = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    return gather(gather(docs.mapInArrow(_releasing(pack), blobs)).mapInArrow(link, blobs)).mapInArrow(unite, "a long, b long")
+    return gather(gather(docs.mapInArrow(released(pack, forget_words), blobs)).mapInArrow(released(link), blobs)).mapInArrow(released(unite), "a long, b long")
 
 
 def exact_links(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -263,7 +255,7 @@ def exact_links(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
             tokens = pa.array([shingles(x, size).tobytes() for x in text_bytes(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), tokens], names)
 
-    made = members.mapInArrow(_releasing(sets), "cluster long, part int, parts int, rep long, copies long, tokens binary")
+    made = members.mapInArrow(released(sets, forget_words), "cluster long, part int, parts int, rep long, copies long, tokens binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
     pairs = made.select("*", other).withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o")}).drop("o", "parts")
     keys = ["cluster", "i", "j"]
@@ -325,7 +317,7 @@ def exact_links(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
         if held:
             yield count(held)
 
-    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, links long, b long")
+    return pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(released(run), "a long, links long, b long")
 
 
 def similar_sets(table: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 4, num: int = 85, den: int = 100) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
 from nomenroll.llm.calibration import Isotonic, histogram
-from nomenroll.llm.common import remainder, slices, text_bytes, written
+from nomenroll.llm.common import released, remainder, slices, text_bytes, written
 
 FEATURES = 192
 RIDGE = 1e-3
@@ -68,7 +68,7 @@ def with_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
             stats = pa.array([statistics(x) for x in text_bytes(batch, text)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), stats], [*keep, "__stats"])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(released(run), schema)
 
 
 @dataclass
@@ -111,7 +111,7 @@ def scored(stats: DataFrame, function, name: str, keep: list[str]) -> DataFrame:
             values = pa.array(function(stats_of(batch)), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), values], [*keep, name])
 
-    return stats.mapInArrow(run, schema)
+    return stats.mapInArrow(released(run), schema)
 
 
 def moments(stats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def normal_equations(train: DataFrame, model: Quality) -> tuple[np.ndarray, np.n
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(upper), pa.array(total.ravel()[upper])], ["cell", "value"])
 
-    cells = train.select("__stats", "y").mapInArrow(run, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+    cells = train.select("__stats", "y").mapInArrow(released(run), "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
     full = np.zeros(size * (size + 1))
     full[np.array(cells.column("cell"), dtype=np.int64)] = np.array(cells.column("value"))
     full = full.reshape(size, size + 1)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from nomenroll.llm.calibration import Isotonic, histogram
-from nomenroll.llm.common import remainder, slices, written
+from nomenroll.llm.common import released, remainder, slices, written
 
 SIZES = (4, 5, 6)
 BUCKETS = 1 << 18
@@ -201,7 +201,7 @@ def class_counts(texts: DataFrame) -> np.ndarray:
         ys, at = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(ys), pa.array(at), pa.array(counts[ys, at])], ["y", "bucket", "n"])
 
-    found = texts.mapInArrow(run, "y long, bucket long, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.mapInArrow(released(run), "y long, bucket long, n long").groupBy("y", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((2, BUCKETS + 1))
     counts[found.column("y").to_numpy(), found.column("bucket").to_numpy()] = found.column("n").to_numpy()
     return counts
@@ -237,7 +237,7 @@ def teach(docs: DataFrame, known: DataFrame, doc_id: str, text: str, sample: int
             found = [" ".encode().join(model.worst(w)) if (w := words_of(t)) else b"" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], ["id", "y", "window"])
 
-    windows = written(texts.mapInArrow(cut, "id long, y long, window binary"), "windows")
+    windows = written(texts.mapInArrow(released(cut), "id long, y long, window binary"), "windows")
     parts, ys = [], []
     for y in (0, 1):
         some = windows.filter((F.col("y") == y) & (F.octet_length("window") > 0)).orderBy(F.xxhash64("id"), "id", "window").limit(sample)
@@ -268,7 +268,7 @@ def scored(docs: DataFrame, function, name: str, keep: list[str], text: str = "t
             values = pa.array(function(batch.column(text).to_pylist()), pa.float64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), values], [*keep, name])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(released(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
