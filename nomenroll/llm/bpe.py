@@ -37,8 +37,8 @@ MARKS = "¡-©«-±´¶-¸»¿×÷\u2010-\u2027\u2030-\u205e\u20a0-\u20bf"
 PLAIN = rf"'(?:[stmd]|re|ve|ll)| ?(?:[{LATIN}]+|[0-9]+|[^\t-\r 0-9{LATIN}]+)|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 #: Characters of a chunk, and of text that the splitter holds before it settles some.
 CHUNK_CHARS = BUFFER_CHARS = 1 << 16
-#: Words that the memo holds at most; it starts anew beyond that.
-MEMO_WORDS = 100_000
+#: Words that the memo holds at most, some 80 MB; it starts anew beyond that.
+MEMO_WORDS = 400_000
 #: A run up to this length is merged by rescanning; a heap serves longer ones.
 SHORT = 64
 
