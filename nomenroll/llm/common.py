@@ -44,16 +44,14 @@ def _trim() -> None:
         trim(0)
 
 
-def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], forget: Callable[[], None] | None = None):
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run``, a function of batches for ``mapInArrow``, that leaves little behind: workers are used again by later tasks,
-    and what an earlier one has freed would else stay with the process. ``forget``, a function of a module, empties memos."""
+    and what an earlier one has freed would else stay with the process."""
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from run(batches)
         finally:
-            if forget is not None:
-                forget()
             _trim()
 
     return wrapped

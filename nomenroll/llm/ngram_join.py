@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nomenroll.llm.common import components, released, slices, text_bytes, words, written
+from nomenroll.llm.common import components, released, slices, text_bytes, written
 
 #: Signatures of one bucket, about, and of a chunk that is packed at once.
 BUCKET_SIGNATURES = 500_000
@@ -40,8 +40,6 @@ BLOCK_DOCS, BLOCK_BYTES = 4096, 16 << 20
 #: For the choice by cost: the chance, for each token that a signature covers, that unrelated documents agree in it
 #: (measured: about 6e-8 for subsets of 5.6 tokens), and a pair's cost in signatures.
 SHARED, PAIR_COST = 0.05, 0.1
-#: Words that the memo holds at most, some 15 MB.
-MEMO_WORDS = 100_000
 
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
@@ -52,29 +50,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Words(dict):
-    """Word to 64-bit hash; bounded, and emptied when a task ends, since workers are used again."""
+#: Bytes that part words, A-Z in lower case, a random number for each byte, and odd powers for places in a word.
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.arange(256, dtype=np.uint8) + 32 * np.isin(np.arange(256), range(65, 91)).astype(np.uint8)
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _K[1])
+_POWERS = np.cumprod(np.full(1 << 14, _K[0], dtype=np.uint64))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = self[word] = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return value
 
-
-_WORDS = _Words()
-
-
-def forget_words() -> None:
-    _WORDS.clear()
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hash of each word ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased: a sum over its bytes, at all words at once."""
+    data = np.frombuffer(text, dtype=np.uint8)
+    blank = _BLANK[data]
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).view(np.int8)))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    at = np.flatnonzero(~blank)
+    place = at - np.repeat(starts, sizes)
+    powers = _POWERS[place % len(_POWERS)] + (place // len(_POWERS)).astype(np.uint64) * _K[2]  # the latter in words beyond 16 KB
+    sums = np.add.reduceat(_BYTES[_LOWER[data[at]]] * powers, np.cumsum(sizes) - sizes)
+    return mix(sums + sizes.astype(np.uint64) * _K[3])
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``size`` words; of all words, if they are fewer."""
-    found = words(text)
-    if not found:
-        return np.zeros(0, dtype=np.uint64)
-    w = np.fromiter(map(_WORDS.__getitem__, found), dtype=np.uint64, count=len(found))
+    w = word_hashes(text)
+    if not len(w):
+        return w
     n = min(size, len(w))
     h = np.full(len(w) - n + 1, n, dtype=np.uint64)
     for j in range(n):
@@ -162,7 +164,7 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), *(pa.array(h, pa.int64()) for h in halves)], ["doc_id", "n_shingles", "k1", "k2"]
             )
 
-    return docs.mapInArrow(released(run, forget_words), "doc_id long, n_shingles long, k1 long, k2 long")
+    return docs.mapInArrow(released(run), "doc_id long, n_shingles long, k1 long, k2 long")
 
 
 def _stars(signatures: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +244,7 @@ def candidate_links(docs: DataFrame, size: int, bands: Bands, buckets: int) -> D
 
     blobs = "bucket long, data binary"
     gather = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    return gather(gather(docs.mapInArrow(released(pack, forget_words), blobs)).mapInArrow(released(link), blobs)).mapInArrow(released(unite), "a long, b long")
+    return gather(gather(docs.mapInArrow(released(pack), blobs)).mapInArrow(released(link), blobs)).mapInArrow(released(unite), "a long, b long")
 
 
 def exact_links(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -255,7 +257,7 @@ def exact_links(members: DataFrame, size: int, num: int, den: int) -> DataFrame:
             tokens = pa.array([shingles(x, size).tobytes() for x in text_bytes(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), tokens], names)
 
-    made = members.mapInArrow(released(sets, forget_words), "cluster long, part int, parts int, rep long, copies long, tokens binary")
+    made = members.mapInArrow(released(sets), "cluster long, part int, parts int, rep long, copies long, tokens binary")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("o")
     pairs = made.select("*", other).withColumns({"i": F.least("part", "o"), "j": F.greatest("part", "o")}).drop("o", "parts")
     keys = ["cluster", "i", "j"]

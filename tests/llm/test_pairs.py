@@ -183,3 +183,16 @@ def test_vectors_that_share_an_id(spark):
     want = sorted((rows[i][0], sum(linked[i]), least[group[i]], rows[i][0] == least[group[i]]) for i in range(len(rows)))
     assert sorted(tuple(r) for r in embedding_dedup.near_duplicates(table).collect()) == want
     assert want.count((5, 3, 2, False)) == 2 and (5, 1, 5, True) in want and (5, 0, 5, True) in want
+
+
+def test_word_hashes_are_of_words():
+    rng, seen = random.Random(6), {}
+    texts = ["", " \t\n\x0b\x0c\r", "a", " a ", "A b\u00a0c \u2003 É é", "x\x1fy \x1c", "ab ba a b", "z" * 70_000, "z" * 16_384 + "a", "z" * 32_768 + "a"]
+    texts += ["".join(rng.choice("abAB é\n漢") for _ in range(rng.randrange(60))) for _ in range(300)]
+    for text in texts:
+        words = text.encode().lower().split()
+        found = ngram_join.word_hashes(text.encode()).tolist()
+        assert len(found) == len(words)
+        for word, number in zip(words, found):
+            assert seen.setdefault(word, number) == number
+    assert len(set(seen.values())) == len(seen) > 300
