@@ -152,6 +152,38 @@ def test_gazetteer_agrees_with_brute_force(spark, monkeypatch):
         assert sorted(got[i], key=lambda s: s[2]) == greedy(text, entries)
 
 
+def test_texts_in_pieces_have_the_spans_of_whole_texts(spark, monkeypatch):
+    monkeypatch.setattr(G, "WINDOWS", (256, 64, 16))
+    rng = random.Random(8)
+    words = ["a", "b", "ab", "cc", "😀", "longerword"]
+    entries = {" ".join(rng.choice(words) for _ in range(n)): "PER" for n in (1, 2, 2, 3, 4, 4, 6)}
+    book = G.build_gazetteer(spark.createDataFrame(list(entries.items()), "surface string, type string"))
+    wholes, rows = [], []
+    for i in range(4):
+        pieces = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 1, 2, 3, 90]))) for _ in range(60)]
+        starts = [sum(len(p) + 1 for p in pieces[:n]) for n in range(len(pieces))]
+        rows += [(i, at, piece) for at, piece in zip(starts, pieces)]
+        wholes.append(" ".join(pieces))
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, "doc_id int, at long, text string")
+    got = {tuple(r) for r in G.gazetteer_spans(frame, ["doc_id"], "text", book, at="at").collect()}
+    assert got == {tuple(r) for r in G.gazetteer_spans(docs(spark, wholes), ["doc_id"], "text", book).collect()}
+    assert got == {(i, *s) for i, whole in enumerate(wholes) for s in greedy(whole, entries)}
+
+
+def test_one_text_is_never_in_one_row(spark, path, monkeypatch):
+    from nomenroll.catalog import inputs
+
+    monkeypatch.setattr(inputs, "DOCUMENTS_PER_PART", 5)
+    rng = random.Random(1)
+    rows = [(rng.choice([None, *range(20)]), rng.choice([None, "", " a  b ", "c", "longer text\nof four"])) for _ in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    got = inputs.one_text(spark, path).orderBy("at").collect()
+    kept = sorted(((-1 if k is None else k), " ".join(t.split())) for k, t in rows if t is not None)
+    assert len(got) == len(kept) and " ".join(r.text for r in got) == " ".join(t for _, t in kept)
+    assert [r.at for r in got] == [sum(len(t) + 1 for _, t in kept[:n]) for n in range(len(kept))]
+
+
 @pytest.mark.parametrize("limit", [0, 60, 10**9])
 def test_gazetteer_is_the_same_with_and_without_broadcast(spark, monkeypatch, limit):
     monkeypatch.setattr(G, "BROADCAST_BYTES", limit)
