@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from nomenroll import constants as K
 from nomenroll.session import scratch_path
-from nomenroll.sources.artifacts import opener
+from nomenroll.sources.artifacts import BLOCK_BYTES, opener
 from nomenroll.sources.corpus import CSV_OPTIONS, text_schema
 from nomenroll.sources.folders import children, publish
 
@@ -79,17 +79,41 @@ def read_inventory(
 def write_class_files(inventory: DataFrame, directory: str, classes: Sequence[str] = K.ENTITY_CLASSES) -> None:
     """One CSV file for each class, with the class's own entity column; the format asks for single files.
 
-    Rows are sent to one task per class, without being sorted or held there.
+    The inventory is made once, and written as lines by the tasks that hold it. What a single file needs is done on
+    bytes only: a task for each class puts its lines behind one another, block by block.
     """
-    for name in classes:
-        part = scratch_path(inventory.sparkSession, "class-file")
-        rows = inventory.filter(F.col("entity_class") == name).select(
-            F.coalesce("entity", F.lit("")).alias(K.INVENTORY_COLUMNS[name])  # a line without anything would be skipped
-        )
-        rows.coalesce(1).write.options(**CSV_WRITE).csv(part)
-        written = [f for f in children(inventory.sparkSession, part) if f.endswith(".csv")]
-        for file in written:
-            publish(inventory.sparkSession, f"{part}/{file}", f"{directory}/{K.INVENTORY_NAMES[name]}.csv")
+    spark = inventory.sparkSession
+    parts = scratch_path(spark, "class-lines")
+    rows = inventory.filter(F.col("entity_class").isin(*classes)).select(
+        "entity_class", F.coalesce("entity", F.lit("")).alias("entity")  # a line without anything would be skipped
+    )
+    rows.write.partitionBy("entity_class").options(**{**CSV_WRITE, "header": False}).csv(parts)
+    opened = opener()
+
+    def join_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import uuid
+
+        from pyarrow import fs
+
+        for batch in batches:
+            written = []
+            for name, column in zip(batch["name"], batch["column"]):
+                system, inside = opened(f"{parts}/entity_class={name}")
+                found = system.get_file_info(fs.FileSelector(inside, allow_not_found=True))
+                full = f"{parts}/{uuid.uuid4().hex}.csv"  # a task that runs again writes another file
+                with system.open_output_stream(opened(full)[1]) as out:
+                    out.write(f"{column}\n".encode())
+                    for path in sorted(i.path for i in found if i.base_name.endswith(".csv") and i.base_name[0] not in "._"):
+                        with system.open_input_stream(path) as lines:
+                            while block := lines.read(BLOCK_BYTES):
+                                out.write(block)
+                written.append(full)
+            yield pd.DataFrame({"name": batch["name"], "full": written})
+
+    wanted = spark.createDataFrame([(c, K.INVENTORY_COLUMNS[c]) for c in classes], "name string, column string")
+    joined = wanted.repartition(max(1, len(classes))).mapInPandas(join_lines, "name string, full string").collect()
+    for row in joined:
+        publish(spark, row.full, f"{directory}/{K.INVENTORY_NAMES[row.name]}.csv")
 
 
 def class_headers(spark: SparkSession, directory: str, files: Mapping[str, str] = CLASS_FILES) -> dict[str, list[str]]:
@@ -116,13 +140,14 @@ def class_headers(spark: SparkSession, directory: str, files: Mapping[str, str]
 
 
 def read_class_files(
-    spark: SparkSession, directory: str, files: Mapping[str, str] = CLASS_FILES
+    spark: SparkSession, directory: str, files: Mapping[str, str] = CLASS_FILES, multi_line: bool = True
 ) -> DataFrame:
     """Import per-class CSV files, named by ``files`` (file name -> entity column).
 
     Absent files are skipped. All headers are checked before anything is read: files without their entity column are
     an error that names them all. Gives ``context``, from the name of the file that a row is read from, and
-    ``entity``. The loop runs over the names of ``files``, not over data.
+    ``entity``. The loop runs over the names of ``files``, not over data. Without line breaks inside entities,
+    ``multi_line=False`` lets many tasks read one large file.
     """
     headers = class_headers(spark, directory, files)
     wrong = {f: h for f, h in headers.items() if files[f] not in h}
@@ -131,7 +156,7 @@ def read_class_files(
         raise ValueError(said)
     result = spark.createDataFrame([], text_schema(["context", "entity"]))
     for name, header in sorted(headers.items()):
-        rows = spark.read.options(**CSV_OPTIONS).schema(text_schema(header)).csv(f"{directory.rstrip('/')}/{name}")
+        rows = spark.read.options(**{**CSV_OPTIONS, "multiLine": multi_line}).schema(text_schema(header)).csv(f"{directory.rstrip('/')}/{name}")
         result = result.unionByName(
             rows.select(context_of_path(F.col("_metadata.file_path")).alias("context"), F.coalesce(files[name], F.lit("")).alias("entity"))
         )

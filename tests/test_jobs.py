@@ -185,6 +185,23 @@ def test_class_files_written_and_read(spark, path):
     assert got == [("loc", "x\ny"), ("org", ""), ("pers", "007"), ("pers", 'a "b", c')]
 
 
+def test_class_files_are_made_from_one_pass_of_many_tasks(spark, path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    names = ["PER", "LOC", "ORG", "EVENT"]
+    rows = spark.range(0, 400, 1, 7).selectExpr("element_at(array('PER', 'LOC', 'ORG', 'FAC'), int(id % 4) + 1) AS entity_class", "'é \"' || id AS entity")
+    I.write_class_files(rows.mapInPandas(counted, rows.schema), path, names)
+    assert seen.value == 400
+    got = sorted(map(tuple, I.read_class_files(spark, path, multi_line=False).collect()))
+    assert got == sorted((I.K.INVENTORY_NAMES[names[i % 4]], f'é "{i}') for i in range(400) if i % 4 < 3)
+    assert open(f"{path}/event.csv", encoding="utf-8").read() == "event_entities\n"
+
+
 def test_context_of_path(spark):
     frame = spark.createDataFrame([("file:/a/PERS.xlsx",), ("/x.y/Loc.csv",), ("org",)], "p string")
     assert [r.c for r in frame.select(I.context_of_path(F.col("p")).alias("c")).collect()] == ["pers", "loc", "org"]
