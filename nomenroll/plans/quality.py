@@ -18,6 +18,7 @@ from nomenroll.operators.report import (
     totals,
 )
 from nomenroll.operators.rules import RULES, Rule, RuleSettings, with_rules
+from nomenroll.session import materialize
 from nomenroll.sources.inventory import TARGET_BYTES, context_of_class, write_raw_copy, write_split
 
 
@@ -39,16 +40,19 @@ def run_quality(
 ) -> DataFrame:
     """Split ``rows`` (``context``, ``entity``, ...) below ``out_dir`` and write the report tables.
 
-    Rows are split without a shuffle by key. The ledger is written once, each report table is an aggregate of it, and
+    Rows are made and checked once: split, raw copy and ledger are made from that table, below the shared folder. They are
+    split without a shuffle by key. The ledger is written once, each report table is an aggregate of it, and
     the nested report, which is returned, is put together from the written tables.
     """
     spark = rows.sparkSession
-    checked = with_rules(rows, settings=settings, rules=rules)
+    ordered = with_rules(rows.withColumn("_qc_order", order), settings=settings, rules=rules)
+    ordered = materialize(ordered, "checked")
+    checked = ordered.drop("_qc_order")
     write_split(checked, f"{out_dir}/split", target_bytes)
     if raw_copy:
         write_raw_copy(checked, f"{out_dir}/raw", target_bytes=target_bytes)
 
-    book = ledger(rows, order, settings=settings, rules=rules)
+    book = ledger(ordered, F.col("_qc_order"), settings=settings, rules=rules)
     book.write.mode("overwrite").parquet(f"{out_dir}/ledger")
     book = spark.read.schema(book.schema).parquet(f"{out_dir}/ledger")
     parts = {

@@ -160,3 +160,16 @@ def test_report_of_a_rerun_is_the_same(spark, path):
         return sorted(r.value for r in spark.read.text(path + "/report/nested").collect())
 
     assert text() == text()
+
+
+def test_quality_job_makes_its_rows_once(spark, path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = frame(spark)
+    run_quality(rows.mapInPandas(counted, rows.schema), F.col("n"), path, raw_copy=True)
+    assert seen.value == rows.count()
