@@ -35,20 +35,25 @@ def _observed_batch(df: DataFrame, out_dir: str, table: str, batch_id: int) -> t
     return table_rows, observed(seen, "rows")
 
 
+TASKS_PER_CORE = 2
 RUN_SCHEMA = "batch_id long, rows_observed long, rows_committed long, mentions_observed long, mentions_committed long"
 
 
+def batch_entities(inventory: DataFrame) -> DataFrame:
+    """Distinct entities per context with their ``mentions``: rules depend on nothing else, so each is checked once."""
+    return with_context(inventory).groupBy("context", "entity").agg(F.count("*").alias("mentions"))
+
+
 def batch_totals(checked: DataFrame) -> DataFrame:
-    return checked.groupBy("context").agg(
-        F.count("*").alias("rows_total"), F.count_if("_qc_flag").alias("rows_flagged")
-    )
+    flagged = F.coalesce(F.sum(F.when(F.col("_qc_flag"), F.col("mentions"))), F.lit(0))
+    return checked.groupBy("context").agg(F.sum("mentions").alias("rows_total"), flagged.alias("rows_flagged"))
 
 
 def batch_rule_counts(checked: DataFrame) -> DataFrame:
     return (
-        checked.select("context", F.explode("_qc_rules").alias("rule"))
+        checked.select("context", "mentions", F.explode("_qc_rules").alias("rule"))
         .groupBy("context", "rule")
-        .agg(F.count("*").alias("rows"))
+        .agg(F.sum("mentions").alias("rows"))
     )
 
 
@@ -68,16 +73,18 @@ def start_extraction(
 
     ``annotate_batch`` turns a corpus frame into key, title, link and span columns; it may use any
     annotator, windows included, as it sees an ordinary DataFrame. It runs once per batch: the
-    other tables are made from the processed rows just written.
+    other tables are made from the processed rows just written. Rows are dealt out by key before: a batch
+    may be a few large files, and a file one row group, which would leave most cores idle.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism * TASKS_PER_CORE, *key)
         processed, rows = _observed_batch(annotate_batch(batch), out_dir, "processed", batch_id)
         inventory, mentions = _observed_batch(inventory_of(processed, key, aliases), out_dir, "inventory", batch_id)
         record = [(batch_id, rows, processed.count(), mentions, inventory.count())]
         _write_batch(batch.sparkSession.createDataFrame(record, RUN_SCHEMA).coalesce(1), out_dir, "runs", batch_id)
         if count_rules:
-            checked = with_rules(with_context(inventory), settings=settings, rules=rules)
+            checked = with_rules(batch_entities(inventory), settings=settings, rules=rules)
             _write_batch(batch_totals(checked), out_dir, "totals", batch_id)
             _write_batch(batch_rule_counts(checked), out_dir, "rule_counts", batch_id)
 

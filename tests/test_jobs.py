@@ -382,3 +382,20 @@ def test_stream_batch_without_any_mention(spark, path):
     run_stream(spark, source, out, f"{path}/checkpoint")
     (row,) = read_table(spark, out, "runs").collect()
     assert (row.rows_observed, row.rows_committed, row.mentions_observed, row.mentions_committed) == (1, 1, 0, 0)
+
+
+def test_stream_spreads_a_batch_of_one_file_and_counts_repeated_entities(spark, path):
+    source, out, checkpoint, parts = (*(f"{path}/{p}" for p in ("in", "out", "checkpoint")), [])
+    contract(spark).unionByName(contract(spark)).coalesce(1).write.parquet(source)
+
+    def annotate(batch):
+        parts.append(batch.rdd.getNumPartitions())
+        return annotate_fields(batch, ["doc_id"], PATTERN)
+
+    stream = C.stream_files(spark, source, contract(spark).schema, files_per_batch=1)
+    start_extraction(stream, ["doc_id"], annotate, out, checkpoint, count_rules=True).awaitTermination()
+    assert parts and min(parts) >= spark.sparkContext.defaultParallelism
+    inventory = read_table(spark, out, "inventory")
+    expected = with_rules(with_context(inventory)).groupBy("context").agg(F.count("*").alias("n"), F.count_if("_qc_flag").alias("f"))
+    got = {tuple(r) for r in running_totals(spark, out).select("context", "rows_total", "rows_flagged").collect()}
+    assert got == {tuple(r) for r in expected.collect()}
