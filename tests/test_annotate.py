@@ -171,6 +171,12 @@ def test_texts_in_pieces_have_the_spans_of_whole_texts(spark, monkeypatch):
     assert got == {(i, *s) for i, whole in enumerate(wholes) for s in greedy(whole, entries)}
 
 
+def test_only_words_that_begin_a_surface_meet_a_large_gazetteer(spark):
+    book = G.build_gazetteer(spark.createDataFrame([("New York", "LOC"), ("Ada", "PER")], "surface string, type string"), broadcast_bytes=0, filter_bytes=0)
+    words = G._words(docs(spark, ["in New York Ada met a new friend"]), ["doc_id"], F.col("text"), book.max_chars + 2)
+    assert (words.count(), G._with_known_heads(words, book).count()) == (9, 2)  # with the empty one after the last space
+
+
 def test_one_text_is_never_in_one_row(spark, path, monkeypatch):
     from nomenroll.catalog import inputs
 
