@@ -684,7 +684,9 @@ def _supplier_files(spark: SparkSession, sf_dir: str) -> str:
     """A folder for each supplier, with one file that holds its name."""
     root = scratch_path(spark, "files")
     rows = I.table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_name").alias("value"))
-    rows.write.partitionBy("s_suppkey").text(root)
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    # a task for many files each; all lines of a supplier go to one
+    rows.repartition(tasks, "s_suppkey").write.partitionBy("s_suppkey").text(root)
     return root
 
 

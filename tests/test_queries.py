@@ -44,3 +44,14 @@ def test_queries_hold_the_rows_that_they_are_about(spark):
     assert {r.status for r in query["table_verify_by_ranges"](spark, SF).collect()} == {"missing", "mismatch"}
     assert query["first_n_most_keys"](spark, SF).count() > 1000
     assert query["stream_run_metrics"](spark, SF).first().mentions_committed > 0
+
+
+def test_supplier_files_are_written_by_many_tasks_one_for_each_supplier(spark):
+    import os
+
+    from nomenroll.catalog.queries import _supplier_files
+
+    root = _supplier_files(spark, SF).removeprefix("file:")
+    files = [os.listdir(f"{root}/{d}") for d in os.listdir(root) if d.startswith("s_suppkey=")]
+    names = [f for inside in files for f in inside if f.startswith("part-")]
+    assert len(names) == len(files) > 1 and len({f.split("-")[1] for f in names}) > 1
