@@ -5,7 +5,9 @@ from __future__ import annotations
 import ctypes
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,14 +31,44 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """``df`` as a table below the shared folder: lineage ends there, and lost executors cost no more than their tasks."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _trim() -> None:
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, the shuffle files of an action of this session go when the action ends, not when the driver happens to
+    collect its garbage. What is read again has to be a written table."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, old)
+
+
+def planes(numbers: np.ndarray, width: int | None = None) -> bytes:
+    """The lowest ``width`` bytes of each number, first bytes first: small numbers leave planes of zeros, which compress."""
+    return numbers.view(np.uint8).reshape(-1, numbers.itemsize)[:, :width].T.tobytes()
+
+
+def unplaned(data: bytes, kind: type, width: int | None = None) -> np.ndarray:
+    """The inverse of ``planes``."""
+    size = np.dtype(kind).itemsize
+    width = width or size
+    result = np.zeros((len(data) // width, size), dtype=np.uint8)
+    result[:, :width] = np.frombuffer(data, dtype=np.uint8).reshape(width, len(result)).T
+    return result.view(kind).ravel()
+
+
+def trim() -> None:
     """Give memory that isn't in use back to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -52,7 +84,7 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
         try:
             yield from run(batches)
         finally:
-            _trim()
+            trim()
 
     return wrapped
 

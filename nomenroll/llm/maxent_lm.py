@@ -10,8 +10,9 @@ softmax whose weights are smoothed log counts.
 
 That part has a fixed size. What grows with the corpus is a table of exact counts of every n-gram and skip context of
 actual words (previous word, previous two, second and third before) and of every word in each of them, with as many
-rows as the training texts have such features, partitioned by a 64-bit hash and joined to tokens. Each kind gives a
-distribution over all words that falls back on the part above; a token's probability is a mixture of them, whose
+rows as the training texts have such features. Texts lie in chunks of bounded size; for one kind after the other, each
+chunk sends its distinct features, packed by ranges of their hash, each range is counted in one place, and the totals go
+back in the order in which they were asked for. Shuffle files are removed when a step ends. Each kind gives a distribution over all words that falls back on the part above; a token's probability is a mixture of them, whose
 shares are trained by one step for each slice of the training texts, with the token itself left out of the counts.
 
 The base score (add-one unigram) uses exact counts of all training tokens. The most frequent words, whose number is
@@ -30,20 +31,25 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nomenroll.llm.common import remainder, slices, text_bytes, words, written
+from nomenroll.llm.common import planes, released, remainder, shuffles_removed, slices, text_bytes, trim, unplaned, words, written
 
 #: Words that are broadcast with their counts at most.
 HEAD = 500_000
-#: Features that are broadcast with their counts at most; all others meet their counts in a join.
-HEAD_FEATURES = 1_000_000
+#: Features that are counted together, about.
+PART_FEATURES = 1 << 21
+#: Tokens of a chunk, about; bits of a feature's hash, each kind by itself; the kind of words alone, asked outside the head.
+CHUNK, KEY_BITS, ALONE = 1 << 18, 50, 4
 #: Words that are units of their own; units by ending; context words for classes; classes; rows of features.
-OWN, ENDINGS, CONTEXTS, CLASSES, FEATURES = 8192, 2048, 64, 48, 1 << 15
+OWN, ENDINGS, CONTEXTS, CLASSES, FEATURES = 8192, 2048, 64, 48, 1 << 15  # a power of two, up to 1 << 16
 UNITS = OWN + ENDINGS
 END, START = UNITS, UNITS + 1
 #: Gradient updates; each sees the training texts of one slice, and all slices together all of them.
@@ -57,9 +63,10 @@ SLOTS = 2 * KINDS + 1
 STRENGTHS = (2.0, 32.0)
 PARTS = 1 + KINDS * len(STRENGTHS)
 END_NUMBER, START_NUMBER = -1, -2
-#: Tasks that send tables at most, and floats of one block.
-TASKS, BLOCK = 4096, 1 << 15
-TOKENS = 1 << 15
+#: Tasks that send tables at most, for each core, and floats of one block.
+TASKS, BLOCK = 4, 1 << 15
+#: Tokens of a run, where classes are predicted and where they are only counted.
+TOKENS, COUNTED = 1 << 15, 1 << 17
 
 
 def ending_unit(word: bytes) -> int:
@@ -96,9 +103,10 @@ def gathered(df: DataFrame, size: int, function: Callable[[pa.RecordBatch, np.nd
         if block is not None:
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["block", "data"])
 
-    sent = df.coalesce(TASKS).mapInArrow(send, "block long, data binary")
+    context = df.sparkSession.sparkContext
+    sent = df.coalesce(TASKS * context.defaultParallelism).mapInArrow(released(send), "block long, data binary")
     result = np.zeros(size, dtype=np.float32)
-    for row in sent.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, data binary").toLocalIterator():
+    for row in sent.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, data binary").collect():
         values = np.frombuffer(row["data"], dtype=np.float32)
         result[row["block"] * BLOCK : row["block"] * BLOCK + len(values)] = values
     return result
@@ -141,6 +149,9 @@ class Head:
             _LOOKUPS[self.key] = {w: i for i, w in enumerate(value.split(b"\n"))} if value else {}
         return _LOOKUPS[self.key]
 
+    def forget(self) -> None:
+        _LOOKUPS.clear()
+
 
 _LOOKUPS: dict[str, dict[bytes, int]] = {}
 
@@ -169,9 +180,9 @@ def most_frequent(counts: DataFrame, limit: int) -> pa.Table | None:
 
 
 def encoded(docs: DataFrame, head: Head) -> DataFrame:
-    """doc_id, held_out, key, slice, ids, tail, far: ids of head words, or minus 1 minus the unit of others, which
-    ``tail`` holds in order, and ``far`` their 64-bit hashes."""
-    names = ["doc_id", "held_out", "key", "slice", "ids", "tail", "far"]
+    """doc_id, held_out, slice, ids, tail, far: ids of head words, or minus 1 minus the unit of others, which
+    ``tail`` holds in order, and ``far`` their 64-bit hashes. Numbers are kept in byte planes."""
+    names = ["doc_id", "held_out", "slice", "ids", "tail", "far"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = head.lookup()
@@ -182,27 +193,69 @@ def encoded(docs: DataFrame, head: Head) -> DataFrame:
                 numbers = np.fromiter((lookup.get(w, -1) for w in found), dtype=np.int32, count=len(found))
                 tail = [found[i] for i in np.flatnonzero(numbers < 0)]
                 numbers[numbers < 0] = [-1 - ending_unit(w) for w in tail]
-                ids.append(numbers.tobytes())
+                ids.append(planes(numbers))
                 tails.append(tail)
-                fars.append(np.array([far_number(w) for w in tail], dtype=np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:4]), pa.array(ids, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(fars, pa.binary())], names)
+                fars.append(planes(np.array([far_number(w) for w in tail], dtype=np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array(ids, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(fars, pa.binary())], names)
+        head.forget()
 
     part = F.pmod(F.xxhash64(F.lit(2), "text", "doc_id"), F.lit(UPDATES)).cast("int")
     held = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
-    key = F.struct(F.xxhash64("doc_id", "text").alias("h1"), F.xxhash64("text", F.lit(3), "doc_id").alias("h2"))
-    rows = docs.select("doc_id", "text", held.alias("held_out"), key.alias("key"), part.alias("slice"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, key struct<h1: long, h2: long>, slice int, ids binary, tail array<binary>, far binary")
+    rows = docs.select("doc_id", "text", held.alias("held_out"), part.alias("slice"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, slice int, ids binary, tail array<binary>, far binary")
+
+
+def chunked(texts: DataFrame) -> DataFrame:
+    """chunk, held_out, slice, doc_id, ids, tail, far: rows of ``encoded`` in lists of about ``CHUNK`` tokens, whose texts
+    agree in held_out and slice. A chunk's number modulo ``UPDATES + 1`` is its slice, or ``UPDATES`` where held out. Numbers
+    are those of the run that made them, so the table has to be written."""
+    names = ["doc_id", "ids", "tail", "far"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made, first = 0, TaskContext.get().partitionId() << 32
+        waiting: dict[int, list] = {}
+
+        def chunk(group: int) -> pa.RecordBatch:
+            nonlocal made
+            made += 1
+            held = waiting.pop(group)
+            lists = [pa.array([[row[j] for row in held]], pa.list_(kind)) for j, kind in enumerate((pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary()))]
+            number = (first + made) * (UPDATES + 1) + group
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([group == UPDATES]), pa.array([group % UPDATES], pa.int32()), *lists], ["chunk", "held_out", "slice", *names])
+
+        size: Counter[int] = Counter()
+        for batch in slices(batches):
+            for held_out, part, *row in zip(*(batch.column(c).to_pylist() for c in ("held_out", "slice", *names))):
+                group = UPDATES if held_out else part
+                waiting.setdefault(group, []).append(row)
+                size[group] += len(row[1]) // 4 + 1
+                if size[group] >= CHUNK:
+                    size[group] = 0
+                    yield chunk(group)
+        for group in sorted(waiting):
+            yield chunk(group)
+
+    return texts.mapInArrow(released(run), "chunk long, held_out boolean, slice int, doc_id array<long>, ids array<binary>, tail array<array<binary>>, far array<binary>")
 
 
-def units_of(batch: pa.RecordBatch, own_units: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def of_texts(batch: pa.RecordBatch, column: str) -> pa.Array:
+    """A column by text, of rows of ``encoded`` or of ``chunked``."""
+    found = batch.column(column)
+    return found.flatten() if pa.types.is_list(found.type) else found
+
+
+def id_lists(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [unplaned(data.as_py(), np.int32) for data in of_texts(batch, "ids")]
+
+
+def units_of(batch: pa.RecordBatch, own_units: np.ndarray, run: int = TOKENS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For bounded runs of tokens: text number, ids and units, each text with its end (id -1, unit ``END``)."""
     texts, held, total = [], [], 0
-    for number, data in enumerate(batch.column("ids")):
-        ids = np.frombuffer(data.as_py(), dtype=np.int32)
+    for number, ids in enumerate(id_lists(batch)):
         texts.append(np.full(len(ids) + 1, number))
         held.append(np.append(ids, -1 - END).astype(np.int64))
         total += len(ids) + 1
-        if total > TOKENS:
+        if total > run:
             yield _with_units(texts, held, own_units)
             texts, held, total = [], [], 0
     if total:
@@ -231,16 +284,16 @@ def features(text: np.ndarray, units: np.ndarray) -> list[np.ndarray]:
     for kind, key in enumerate(keys):
         h = (key + np.uint64(kind + 1) * np.uint64(0x9E3779B9)) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        rows.append((h >> np.uint64(40)).astype(np.int64) % FEATURES)
+        rows.append((h >> np.uint64(40) & np.uint64(FEATURES - 1)).astype(np.int64))
     return rows
 
 
 def numbers_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Text number and word number of each token, each text with its end."""
     texts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for number, (data, far) in enumerate(zip(batch.column("ids"), batch.column("far"))):
-        ids = np.append(np.frombuffer(data.as_py(), dtype=np.int32), END_NUMBER).astype(np.int64)
-        ids[:-1][ids[:-1] < 0] = np.frombuffer(far.as_py(), dtype=np.int64)
+    for number, (known, far) in enumerate(zip(id_lists(batch), of_texts(batch, "far"))):
+        ids = np.append(known, END_NUMBER).astype(np.int64)
+        ids[:-1][ids[:-1] < 0] = unplaned(far.as_py(), np.int64)
         texts.append(np.full(len(ids), number))
         found.append(ids)
     return np.concatenate(texts), np.concatenate(found)
@@ -253,61 +306,97 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def exact_features(text: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-    """Tokens x ``SLOTS`` keys: the context and the token in it for each kind, then the token alone."""
-    one, two, three = (before(text, numbers, n, START_NUMBER).astype(np.uint64) for n in (1, 2, 3))
-    own, keys = mixed(numbers.astype(np.uint64), 5), []
-    for context in (mixed(one, 1), mixed(mixed(two, 2) ^ one, 2), mixed(two, 3), mixed(three, 4)):
-        keys += [context, mixed(context ^ own, 6)]
-    return np.stack([*keys, own], axis=1).view(np.int64)
+def exact_features(text: np.ndarray, numbers: np.ndarray, kind: int) -> np.ndarray:
+    """Keys of a kind: tokens x 2, the context and the token in it; for ``ALONE`` tokens x 1."""
+    own = mixed(numbers.astype(np.uint64), 5)
+    if kind == ALONE:
+        return own[:, None]
+    earlier = lambda n: before(text, numbers, n, START_NUMBER).astype(np.uint64)
+    if kind == 0:
+        context = mixed(earlier(1), 1)
+    elif kind == 1:
+        context = mixed(mixed(earlier(2), 2) ^ earlier(1), 2)
+    else:
+        context = mixed(earlier(kind), kind + 1)
+    return np.stack([context, mixed(context ^ own, 6)], axis=1)
+
+
+def chunk_keys(text: np.ndarray, numbers: np.ndarray, kind: int) -> np.ndarray:
+    """The ``KEY_BITS`` of all keys of a kind; of words alone, only those outside the head, as all others are known."""
+    if kind == ALONE:
+        text, numbers = text[numbers >> 62 == 1], numbers[numbers >> 62 == 1]
+    return exact_features(text, numbers, kind) >> np.uint64(64 - KEY_BITS)
 
 
 def feature_counts(texts: DataFrame) -> DataFrame:
-    """key, n: every feature of the training rows of ``encoded``."""
+    """kind, key, n: every feature of the training rows of ``encoded``, as a plain table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, n = np.unique(exact_features(*numbers_of(batch)), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+            for kind in (*range(KINDS), ALONE):
+                keys, n = np.unique(exact_features(*numbers_of(batch), kind), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["kind", "key", "n"])
 
-    return texts.select("ids", "far").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.select("ids", "far").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def head_features(counts: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, in order, and counts of the most frequent features."""
-    found = most_frequent(counts, limit)
-    if found is None or not found.num_rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = found.sort_by("key")
-    return found.column("key").to_numpy(), found.column("n").to_numpy()
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending numbers as differences in byte planes, as many as there must be."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, (int(steps.max()).bit_length() + 7) // 8)
+    return bytes([width]) + planes(steps, width)
 
 
-def looked_up(keys: np.ndarray, head: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Count of each key in the head, or 0, and whether it is there."""
-    known, n = head
-    if not len(known):
-        return np.zeros(keys.shape, np.int64), np.zeros(keys.shape, bool)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    hit = known[at] == keys
-    return np.where(hit, n[at], 0), hit
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(unplaned(data[1:], np.uint64, data[0]), dtype=np.uint64)
 
 
-def asked(rows: DataFrame, head) -> DataFrame:
-    """h1, h2, place, key: features of each text outside the broadcast head."""
+def asked(chunks: DataFrame, kind: int, bits: int) -> DataFrame:
+    """part, chunk, keys, n: the distinct features of each chunk by the first ``bits`` of their keys, and how often training
+    texts have them."""
+    shift = np.uint64(KEY_BITS - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            text, numbers = numbers_of(batch)
-            keys = exact_features(text, numbers)
-            token, slot = np.nonzero(~looked_up(keys, head.value)[1])
-            first = np.searchsorted(text, np.arange(batch.num_rows))
-            at = pa.array(text[token])
+        for batch in slices(batches, 1):
+            keys, n = np.unique(chunk_keys(*numbers_of(batch), kind), return_counts=True)
+            if batch.column("held_out")[0].as_py():
+                n[:] = 0
+            cuts = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << shift)
+            some = np.flatnonzero(np.diff(cuts))
+            ranges = [(int(k), int(cuts[k]), int(cuts[k + 1])) for k in some]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("h1").take(at), batch.column("h2").take(at), pa.array((token - first[text[token]]) * SLOTS + slot), pa.array(keys[token, slot])],
-                ["h1", "h2", "place", "key"],
+                [
+                    pa.array(some.astype(np.int32)), pa.array(np.full(len(some), batch.column("chunk")[0].as_py(), np.int64)),
+                    pa.array([packed(keys[a:b] - (np.uint64(k) << shift)) for k, a, b in ranges], pa.binary()),
+                    pa.array([planes(n[a:b].astype(np.uint32)) for _, a, b in ranges], pa.binary()),
+                ],
+                ["part", "chunk", "keys", "n"],
             )
 
-    return rows.select("key.h1", "key.h2", "ids", "far").mapInArrow(run, "h1 long, h2 long, place long, key long")
+    return chunks.select("chunk", "held_out", "ids", "far").mapInArrow(released(run), "part int, chunk long, keys binary, n binary")
+
+
+def answered(asks: DataFrame) -> DataFrame:
+    """chunk, part, n: how often all training texts have the features that were asked for, in their order."""
+
+    def total(table: pa.Table) -> pa.Table:
+        keys = [unpacked(x) for x in table.column("keys").to_pylist()]
+        n = np.concatenate([unplaned(x, np.uint32) for x in table.column("n").to_pylist()])
+        found, at = np.unique(np.concatenate(keys), return_inverse=True)
+        sums = np.minimum(np.bincount(at, weights=n, minlength=len(found)), 0xFFFFFFFF).astype(np.uint32)[at]
+        ends = np.cumsum([len(x) for x in keys])
+        data = [planes(sums[b - len(x) : b]) for x, b in zip(keys, ends)]
+        trim()
+        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "n": pa.array(data, pa.binary())})
+
+    return asks.groupBy("part").applyInArrow(total, "chunk long, part int, n binary")
+
+
+def counts_of(keys: np.ndarray, answers: pa.Table, kind: int) -> np.ndarray:
+    """Counts of the ``chunk_keys`` of a chunk, from its rows of ``answered``."""
+    data = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("part").column("n").to_pylist()
+    n = np.concatenate([np.zeros(0, np.uint32), *(unplaned(x, np.uint32) for x in data)])
+    return n[np.unique(keys, return_inverse=True)[1]]
 
 
 def parts(fixed: np.ndarray, counts: np.ndarray, seen: bool = False) -> np.ndarray:
@@ -320,28 +409,6 @@ def parts(fixed: np.ndarray, counts: np.ndarray, seen: bool = False) -> np.ndarr
     return np.stack(result, axis=1)
 
 
-def components_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, probability by the fixed part and counts of each token, as ``with_counts`` wrote them."""
-    logs = [np.frombuffer(x.as_py(), dtype=np.float32) for x in batch.column("logs")]
-    counts = np.frombuffer(b"".join(batch.column("counts").to_pylist()), dtype=np.uint32).reshape(-1, SLOTS).astype(np.int64)
-    return np.repeat(np.arange(len(logs)), [len(x) for x in logs]), 10.0 ** np.concatenate([*logs, np.zeros(0)]).astype(np.float64), counts
-
-
-def mixture(texts: DataFrame) -> np.ndarray:
-    """Shares of the parts, from training rows with slice, logs and counts."""
-    shares = np.full(PARTS, 1 / PARTS)
-    for k in range(UPDATES):
-
-        def expected(batch: pa.RecordBatch, table: np.ndarray, shares: np.ndarray = shares) -> None:
-            _, fixed, counts = components_of(batch)
-            weighted = parts(fixed, counts, seen=True) * shares
-            table += (weighted / np.maximum(weighted.sum(axis=1, keepdims=True), 1e-300)).sum(axis=0)
-
-        found = gathered(texts.filter(F.col("slice") == k).select("logs", "counts"), PARTS, expected).astype(np.float64) + shares
-        shares = found / found.sum()
-    return shares
-
-
 def classes_of(neighbours: np.ndarray, frequency: np.ndarray, seed: int = 2) -> np.ndarray:
     """Class of each unit by weighted k-means on the square roots of its neighbour shares; the end has its own."""
     rows = neighbours[:UNITS]
@@ -360,6 +427,24 @@ def classes_of(neighbours: np.ndarray, frequency: np.ndarray, seed: int = 2) ->
     return np.concatenate([label, [k, k]])  # the end, and the start, which is never predicted
 
 
+def sums_by_row(rows: np.ndarray, values: np.ndarray, often: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in ``rows``, below 1 << 16, and the sums of their ``values``: frequent rows one by one, all others
+    together, first their first values, then their second ones, and so on."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # of small numbers, a radix sort
+    begins = np.flatnonzero(np.diff(rows[order], prepend=-1))
+    lengths = np.diff(begins, append=len(rows))
+    by_length = np.argsort(-lengths, kind="stable")
+    begins, lengths = begins[by_length], lengths[by_length]
+    sums = values[order[begins]]
+    frequent = int(np.count_nonzero(lengths >= often))
+    for i in range(frequent):
+        sums[i] = values[order[begins[i] : begins[i] + lengths[i]]].sum(axis=0)
+    for k in range(1, often - 1):
+        longer = int(np.count_nonzero(lengths > k))
+        sums[frequent:longer] += values[order[begins[frequent:longer] + k]]
+    return rows[order[begins]], sums
+
+
 @dataclass
 class MaxEnt:
     own_units: np.ndarray  # unit of each head word
@@ -371,10 +456,13 @@ class MaxEnt:
     bias: np.ndarray
 
     def logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        total = self.weights[rows[0]]
-        for r in rows[1:]:
-            total += self.weights[r]
-        total += self.bias
+        total = np.empty((len(rows[0]), CLASSES), dtype=np.float32)
+        for a in range(0, len(total), 4096):  # in pieces that stay in the cache
+            some = total[a : a + 4096]
+            np.take(self.weights, rows[0][a : a + 4096], axis=0, out=some, mode="clip")
+            for r in rows[1:]:
+                some += np.take(self.weights, r[a : a + 4096], axis=0)
+            some += self.bias
         total -= total.max(axis=1, keepdims=True)
         return total
 
@@ -400,11 +488,9 @@ class MaxEnt:
             rows, label = features(text, units), self.classes[units]
             p = np.exp(self.logits(rows))
             p /= p.sum(axis=1, keepdims=True)
+            table[:size] += np.bincount(np.concatenate([r * CLASSES + label for r in rows]), minlength=size)
             for r in rows:
-                table[:size] += np.bincount(r * CLASSES + label, minlength=size)
-                order = np.argsort(r, kind="stable")
-                found, begins = np.unique(r[order], return_index=True)
-                expected = np.add.reduceat(p[order], begins, axis=0)
+                found, expected = sums_by_row(r, p)
                 table[size:].reshape(FEATURES, CLASSES)[found] += expected
 
     def update(self, table: np.ndarray) -> None:
@@ -414,7 +500,7 @@ class MaxEnt:
 
 
 def train(texts: DataFrame, counts: DataFrame, head: Head) -> MaxEnt:
-    """texts: training rows of ``encoded``."""
+    """texts: training rows of ``encoded`` or ``chunked``."""
     spark = texts.sparkSession
     own = min(OWN, len(head.counts))
     words_of_head = enumerate(head.blob.value.split(b"\n") if len(head.counts) else [])
@@ -434,7 +520,7 @@ def train(texts: DataFrame, counts: DataFrame, head: Head) -> MaxEnt:
 
     def near(batch: pa.RecordBatch, table: np.ndarray) -> None:
         grid = table.reshape(UNITS + 2, 2 * CONTEXTS)
-        for text, _, units in units_of(batch, own_units):
+        for text, _, units in units_of(batch, own_units, COUNTED):
             same = text[1:] == text[:-1]
             left, right = units[:-1][same], units[1:][same]
             for at, other, shift in ((right, left, 0), (left, right, CONTEXTS)):
@@ -447,7 +533,7 @@ def train(texts: DataFrame, counts: DataFrame, head: Head) -> MaxEnt:
     share = np.repeat(np.arange(4), 1)
 
     def count(batch: pa.RecordBatch, table: np.ndarray) -> None:
-        for text, _, units in units_of(batch, own_units):
+        for text, _, units in units_of(batch, own_units, COUNTED):
             label, last = classes[units], classes[before(text, units, 1)]
             table[:pairs] += np.bincount(last * (UNITS + 2) + units, minlength=pairs)
             for kind, r in zip(share, features(text, units)):
@@ -477,75 +563,92 @@ def train(texts: DataFrame, counts: DataFrame, head: Head) -> MaxEnt:
     return model
 
 
-def scores(table: DataFrame, doc_id: str = "doc_id", text: str = "text", head_limit: int = HEAD, feature_limit: int = HEAD_FEATURES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of ``table``."""
+def with_counts(chunks: DataFrame, answers: DataFrame, model, function: Callable[[pa.RecordBatch, Iterator], pa.Table], kinds: str) -> DataFrame:
+    """``function(chunk, runs)`` of each chunk and its answers; a run holds, of some tokens, the probabilities by the fixed
+    part and the counts of each kind's context and of the token in it."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (batch,) = left.combine_chunks().to_batches()
+        tokens = numbers_of(batch)
+        logs, outside = model.value.token_logs(batch)
+        logs[outside] += np.log10(counts_of(chunk_keys(*tokens, ALONE), right, ALONE)[:, 0] + 1.0)
+        logs = logs.astype(np.float32)
+        counts = np.concatenate([counts_of(chunk_keys(*tokens, kind), right, kind) for kind in range(KINDS)], axis=1)
+        runs = ((10.0 ** logs[a : a + TOKENS].astype(np.float64), counts[a : a + TOKENS].astype(np.int64)) for a in range(0, len(logs), TOKENS))
+        result = function(batch, runs)
+        trim()
+        return result
+
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, kinds)
+
+
+def next_shares(chunks: DataFrame, answers: DataFrame, model, shares: np.ndarray) -> np.ndarray:
+    """One step of the shares of the parts, over chunks of training texts."""
+
+    def expected(batch: pa.RecordBatch, runs: Iterator) -> pa.Table:
+        total = np.zeros(PARTS)
+        for fixed, counts in runs:
+            weighted = parts(fixed, counts, seen=True) * shares
+            total += (weighted / np.maximum(weighted.sum(axis=1, keepdims=True), 1e-300)).sum(axis=0)
+        return pa.table({f"s{i}": [x] for i, x in enumerate(total)})
+
+    columns = [f"s{i}" for i in range(PARTS)]
+    found = with_counts(chunks, answers, model, expected, ", ".join(f"{c} double" for c in columns))
+    added = shares + [x or 0.0 for x in found.agg(*[F.sum(c) for c in columns]).first()]
+    return added / added.sum()
+
+
+def scored(chunks: DataFrame, answers: DataFrame, model, shares: np.ndarray, base_logs: np.ndarray, end_log: float, base_unit: float) -> DataFrame:
+    """chunk, at, held_out, doc_id, n_tokens, n_head, base_head, score: a row for each text, ``at`` its place in the chunk."""
+
+    def run(batch: pa.RecordBatch, runs: Iterator) -> pa.Table:
+        ids = id_lists(batch)
+        known = [x[x >= 0] for x in ids]
+        n = np.array([len(x) + 1 for x in ids])
+        tokens = np.concatenate([np.log10(np.maximum(parts(fixed, counts) @ shares, 1e-300)) for fixed, counts in runs])
+        return pa.table(
+            {
+                **{c: pa.array(batch.column(c).to_pylist() * len(n)) for c in ("chunk", "held_out")},
+                "at": pa.array(np.arange(len(n), dtype=np.int32)), "doc_id": of_texts(batch, "doc_id"), "n_tokens": n, "n_head": [len(x) for x in known],
+                "base_head": [float(base_logs[x].sum()) + end_log - k * base_unit for x, k in zip(known, n)],
+                "score": np.bincount(np.repeat(np.arange(len(n)), n), weights=tokens, minlength=len(n)),
+            }
+        ).select(["chunk", "at", "held_out", "doc_id", "n_tokens", "n_head", "base_head", "score"])
+
+    return with_counts(chunks, answers, model, run, "chunk long, at int, held_out boolean, doc_id long, n_tokens long, n_head long, base_head double, score double")
+
+
+def scores(table: DataFrame, doc_id: str = "doc_id", text: str = "text", head_limit: int = HEAD, feature_limit: int = PART_FEATURES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each row of ``table``.
+
+    ``feature_limit``: features that are counted together, about."""
     docs = table.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     held = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
-    counts = written(word_counts(docs.filter(~held)), "counts")
-    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("word") == F.lit(b""), F.col("n"))).alias("ends")).first()
-    total, distinct, ends = sums["n"] or 0, sums["v"], sums["ends"] or 0
-    head = head_of(counts, head_limit)
-    rows = written(encoded(docs, head), "encoded")
-    model = train(rows.filter("NOT held_out"), counts, head)
     context = table.sparkSession.sparkContext
-    shared = context.broadcast(model)
-    exact = written(feature_counts(rows.filter("NOT held_out")), "features")
-    frequent = context.broadcast(head_features(exact, feature_limit))
-    answers = asked(rows, frequent).join(exact, "key").groupBy("h1", "h2").agg(F.collect_set(F.struct("place", "n")).alias("answers"))
-    answers = answers.select(F.struct("h1", "h2").alias("key"), "answers")
-    base_logs, end_log = np.log10(head.counts + 1.0), math.log10(ends + 1)
-    base_unit = math.log10(total + distinct + 1)
-    names = ["doc_id", "held_out", "key", "slice", "n_tokens", "n_head", "base_head", "logs", "counts"]
-
-    def with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in slices(batches, 64):
-            ids = [np.frombuffer(x.as_py(), dtype=np.int32) for x in batch.column("ids")]
-            known = [x[x >= 0] for x in ids]
-            n = np.array([len(x) + 1 for x in ids])
-            first = np.cumsum(n) - n
-            base = [float(base_logs[x].sum()) + end_log - k * base_unit for x, k in zip(known, n)]
-            found = looked_up(exact_features(*numbers_of(batch)), frequent.value)[0]
-            lists = batch.column("answers")
-            at = np.repeat(first * SLOTS, np.array(lists.value_lengths().fill_null(0)))
-            places, counts = (lists.flatten().field(c).to_numpy() for c in ("place", "n"))
-            found.reshape(-1)[at + places] = counts
-            logs, outside = model.token_logs(batch)
-            logs[outside] += np.log10(found[outside, -1] + 1.0)
-            ends_at = first + n
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(c) for c in names[:4]), pa.array(n.astype(np.int64)), pa.array([len(x) for x in known], pa.int64()), pa.array(base, pa.float64()),
-                    pa.array([logs[a:b].astype(np.float32).tobytes() for a, b in zip(first, ends_at)], pa.binary()),
-                    pa.array([np.minimum(found[a:b], 0xFFFFFFFF).astype(np.uint32).tobytes() for a, b in zip(first, ends_at)], pa.binary()),
-                ],
-                names,
-            )
-
-    kinds = "doc_id long, held_out boolean, key struct<h1: long, h2: long>, slice int, n_tokens long, n_head long, base_head double"
-    joined = rows.select("doc_id", "held_out", "key", "slice", "ids", "far").join(answers, "key", "left")
-    counted = written(joined.select("doc_id", "held_out", "key", "slice", "ids", "far", "answers").mapInArrow(with_counts, f"{kinds}, logs binary, counts binary"), "counted")
-    shares = mixture(counted.filter("NOT held_out"))
-    kept = ["doc_id", "held_out", "key", "n_tokens", "n_head", "base_head"]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            text, fixed, counts = components_of(batch)
-            tokens = np.log10(np.maximum(parts(fixed, counts) @ shares, 1e-300))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.bincount(text, weights=tokens, minlength=batch.num_rows))], [*kept, "score"])
-
-    scored = counted.mapInArrow(score, f"{kinds.replace(' slice int,', '')}, score double")
-    tails = rows.select("key", F.explode("tail").alias("word")).join(counts, "word", "left")
-    sums = tails.groupBy("key").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("tail_log"), F.count("n").alias("tail_known"))
-    copies = rows.groupBy("key").agg(F.count("*").alias("copies"))  # rows that agree in all are summed together
-    sums = sums.join(copies, "key").select("key", (F.col("tail_log") / F.col("copies")).alias("tail_log"), F.expr("tail_known div copies").alias("tail_known"))
-    tail = F.coalesce("tail_log", F.lit(0.0))
-    return scored.join(sums, "key", "left").select(
+    with shuffles_removed(table.sparkSession):
+        counts = written(word_counts(docs.filter(~held)), "counts", "zstd")
+        sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("word") == F.lit(b""), F.col("n"))).alias("ends")).first()
+        total, distinct, ends = sums["n"] or 0, sums["v"], sums["ends"] or 0
+        head = head_of(counts, head_limit)
+        chunks = written(chunked(encoded(docs, head)), "chunks", "zstd")
+        model = context.broadcast(train(chunks.filter("NOT held_out"), counts, head))
+        bits = min(max(math.ceil(math.log2(max(total, 1) * 2 / max(feature_limit, 256))), 6), 20)
+        answers = [written(answered(asked(chunks, kind, bits)), "answers", "zstd").withColumn("kind", F.lit(kind)) for kind in (*range(KINDS), ALONE)]
+        answers = reduce(DataFrame.unionByName, answers)
+        groups = [[x.filter(F.pmod("chunk", F.lit(UPDATES + 1)) == k) for x in (chunks, answers)] for k in range(UPDATES + 1)]
+        shares = np.full(PARTS, 1 / PARTS)
+        for group in groups[:UPDATES]:
+            shares = next_shares(*group, model, shares)
+        base = np.log10(head.counts + 1.0), math.log10(ends + 1), math.log10(total + distinct + 1)
+        found = [written(scored(*group, model, shares, *base), "scored", "zstd") for group in groups]  # in turn: a group is shuffled at once
+    tails = chunks.select("chunk", F.posexplode("tail").alias("at", "words")).select("chunk", "at", F.explode("words").alias("word")).join(counts, "word", "left")
+    sums = tails.groupBy("chunk", "at").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("tail_log"), F.count("n").alias("tail_known"))
+    return reduce(DataFrame.unionByName, found).join(sums, ["chunk", "at"], "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_head") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base_head") + tail).alias("base_score"),
+        (F.col("base_head") + F.coalesce("tail_log", F.lit(0.0))).alias("base_score"),
         "score",
     )

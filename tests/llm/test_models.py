@@ -4,6 +4,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -140,6 +141,62 @@ def test_exact_features_of_all_texts(spark):
     assert sorted(r.n for r in found) == sorted(expected.values())
 
 
+@pytest.mark.parametrize("bits", [0, 3])
+def test_packed_features_have_the_counts_of_plain_ones(spark, bits, tmp_path):
+    texts = ["a b c a b", "a b", None, "zz a b c", ""] * 9
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = maxent_lm.encoded(docs, maxent_lm.head_of(maxent_lm.word_counts(docs), 2))
+    maxent_lm.chunked(rows).write.parquet(str(tmp_path / "chunks"))
+    chunks = spark.read.parquet(str(tmp_path / "chunks"))
+    counted = maxent_lm.feature_counts(rows.filter("NOT held_out")).collect()
+    plain = {(r.kind, r.key % (1 << 64) >> 64 - maxent_lm.KEY_BITS): r.n for r in counted}
+    for kind in range(maxent_lm.KINDS):
+        asks = maxent_lm.asked(chunks, kind, bits)
+        keys = {(r.chunk, r.part): r["keys"] for r in asks.collect()}
+        found = {}
+        for r in maxent_lm.answered(asks).collect():
+            inside = maxent_lm.unpacked(bytes(keys.pop((r.chunk, r.part))))
+            found |= {(kind, (r.part << maxent_lm.KEY_BITS - bits) + int(k)): int(n) for k, n in zip(inside, maxent_lm.unplaned(bytes(r.n), np.uint32))}
+        assert not keys
+        assert {k: n for k, n in found.items() if n} == {k: n for k, n in plain.items() if k[0] == kind}
+
+
+def test_numbers_are_packed_without_loss():
+    rng = np.random.default_rng(8)
+    for top in (1, 200, 1 << 33, 1 << 50):
+        keys = np.unique(rng.integers(0, top, 300).astype(np.uint64))
+        assert (maxent_lm.unpacked(maxent_lm.packed(keys)) == keys).all()
+    for numbers in (np.arange(-5, 5, dtype=np.int32), rng.integers(0, 1 << 62, 9), np.zeros(0, np.float32), rng.random(7).astype(np.float32)):
+        assert (maxent_lm.unplaned(maxent_lm.planes(numbers), numbers.dtype) == numbers).all()
+
+
+def test_sums_by_row():
+    rng = np.random.default_rng(9)
+    rows = np.concatenate([rng.integers(0, 1 << 15, 3000), np.repeat([5, 77, 9], [400, 31, 32])])
+    values = rng.random((len(rows), 3))
+    expected = np.zeros((1 << 15, 3))
+    np.add.at(expected, rows, values)
+    found, sums = maxent_lm.sums_by_row(rows, values)
+    assert sorted(found) == sorted(set(rows)) and np.allclose(sums, expected[found])
+
+
+def test_language_model_keeps_little_on_disk(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(10)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, 300) % 20_000) for _ in range(1200)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "table"))
+    table = spark.read.parquet(str(tmp_path / "table"))
+    kept, write = [], maxent_lm.written
+
+    def noted(*given):
+        kept.append(write(*given))
+        return kept[-1]
+
+    monkeypatch.setattr(maxent_lm, "written", noted)
+    size = lambda df: sum(Path(f.removeprefix("file:")).stat().st_size for f in df.inputFiles())
+    maxent_lm.scores(table)
+    assert sum(map(size, kept)) < 4 * size(table)
+
+
 def test_mixture_parts_are_distributions():
     rng = np.random.default_rng(6)
     fixed = rng.dirichlet(np.ones(9))
