@@ -23,7 +23,7 @@ def pattern_annotator(patterns: Mapping[str, str]) -> Callable[[Column], Column]
     """
 
     def keyed(text: Column, kind: str, rank: int) -> Column:
-        # the sort compares these fields in order; a comparator of its own would be far slower
+        # sort_array compares these fields in order; array_sort would evaluate a comparator for each two of them
         return F.transform(
             pattern_spans(text, patterns[kind], kind),
             lambda s: F.struct(
@@ -36,7 +36,7 @@ def pattern_annotator(patterns: Mapping[str, str]) -> Callable[[Column], Column]
             ((kind, pattern),) = patterns.items()
             return F.coalesce(pattern_spans(text, pattern, kind), no_spans())
         per_type = [keyed(text, kind, rank) for rank, kind in enumerate(patterns)]
-        in_order = F.array_sort(F.concat(*per_type))
+        in_order = F.sort_array(F.concat(*per_type))
         return F.coalesce(F.transform(in_order, lambda k: k["span"]), no_spans())
 
     return annotate

@@ -53,6 +53,16 @@ def test_pattern_spans_agree_with_finditer(spark):
         assert as_tuples(row.s) == want
 
 
+def test_spans_are_sorted_without_a_comparator(spark):
+    frame = docs(spark, ["ab a b", "", None, "ba" * 700])
+    found = frame.select("doc_id", pattern_annotator({"PER": "a", "LOC": "ab?", "ORG": "b"})("text").alias("s"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array(" in plan and "array_sort(" not in plan  # which evaluates an expression for each two spans
+    rows = {r.doc_id: as_tuples(r.s) for r in found.collect()}
+    assert rows[0] == [("ab", "LOC", 0, 2), ("a", "PER", 0, 1), ("b", "ORG", 1, 2), ("a", "PER", 3, 4), ("a", "LOC", 3, 4), ("b", "ORG", 5, 6)]
+    assert rows[1] == rows[2] == [] and [s[2] for s in rows[3]] == sorted(s[2] for s in rows[3]) and len(rows[3]) == 2100
+
+
 def test_null_text_has_no_spans(spark):
     frame = docs(spark, [None])
     assert frame.select(pattern_annotator({"PER": "a"})("text").alias("s")).first().s == []
