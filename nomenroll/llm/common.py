@@ -31,10 +31,12 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
-    """``df`` as a table below the shared folder: lineage ends there, and lost executors cost no more than their tasks."""
+def written(df: DataFrame, label: str, compression: str | None = None, *by: str) -> DataFrame:
+    """``df`` as a table below the shared folder: lineage ends there, and lost executors cost no more than their tasks. Who
+    reads some values of the columns ``by`` opens their files only."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path, compression=compression)
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -76,6 +78,14 @@ def trim() -> None:
         trim(0)
 
 
+def keep_memory() -> None:
+    """Use the memory of freed arrays again, until ``trim``: asking the system for it anew costs more than many a sum."""
+    option = getattr(ctypes.CDLL(None), "mallopt", None)
+    if option:  # glibc: arrays of up to 32 MiB come from the heap, whose free end stays
+        option(-3, 32 << 20)
+        option(-1, 256 << 20)
+
+
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run``, a function of batches for ``mapInArrow``, that leaves little behind: workers are used again by later tasks,
     and what an earlier one has freed would else stay with the process."""

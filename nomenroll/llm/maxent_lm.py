@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nomenroll.llm.common import planes, released, remainder, shuffles_removed, slices, text_bytes, trim, unplaned, words, written
+from nomenroll.llm.common import keep_memory, planes, released, remainder, shuffles_removed, slices, trim, unplaned, written
 
 #: Words that are broadcast with their counts at most.
 HEAD = 500_000
@@ -59,14 +59,19 @@ START_SHARE = np.array([0.5, 0.35, 0.15, 0.15], dtype=np.float32)
 #: Kinds of exact features. A token has keys for the context and itself in it, by kind, and for itself alone.
 KINDS = 4
 SLOTS = 2 * KINDS + 1
+#: Kinds whose contexts need not be asked for: each word but the end has one token after it, so the previous word occurs as
+#: often as it is a context, and the previous two as often as the last of them comes after the first.
+FOLLOWS = (0, 1)
 #: With how many tokens of the fixed part each kind is smoothed: two distributions for each.
 STRENGTHS = (2.0, 32.0)
 PARTS = 1 + KINDS * len(STRENGTHS)
 END_NUMBER, START_NUMBER = -1, -2
 #: Tasks that send tables at most, for each core, and floats of one block.
 TASKS, BLOCK = 4, 1 << 15
-#: Tokens of a run, where classes are predicted and where they are only counted.
-TOKENS, COUNTED = 1 << 15, 1 << 17
+#: Tokens of a run, where classes are predicted, where these are summed up, and where parts are mixed.
+TOKENS, SUMMED, MIXED = 1 << 11, 1 << 16, 1 << 13
+#: Words, with their bytes as eighths of one, that a task counts at a time, about.
+COUNTED = 1 << 23
 
 
 def ending_unit(word: bytes) -> int:
@@ -82,6 +87,7 @@ def gathered(df: DataFrame, size: int, function: Callable[[pa.RecordBatch, np.nd
     """Sum over all tasks of a table of ``size`` floats to which ``function(batch, table)`` adds."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         table, some = np.zeros(size, dtype=np.float64), False
         for batch in slices(batches):
             function(batch, table)
@@ -112,26 +118,37 @@ def gathered(df: DataFrame, size: int, function: Callable[[pa.RecordBatch, np.nd
     return result
 
 
+def words_of(batch: pa.RecordBatch) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and all of them: what ``words`` finds in each text, for all at once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(batch.column("text"), "")))
+    found, lengths = lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy()
+    some = pc.binary_length(found).to_numpy() > 0  # there are empty ones at the ends of texts
+    if not some.all():
+        found, lengths = found.filter(pa.array(some)), np.bincount(np.repeat(np.arange(len(lengths)), lengths)[some], minlength=len(lengths))
+    return lengths, found
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """word (empty for the end), n: added up in tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[bytes] = Counter()
+        waiting, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            found = pc.value_counts(pa.chunked_array(waiting, pa.binary()))
+            return pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["word", "n"])
 
         for batch in slices(batches):
-            for text in text_bytes(batch):
-                counts.update(words(text))
-                counts[b""] += 1
-            if len(counts) > 400_000:
+            lengths, found = words_of(batch)
+            waiting += [found, pa.array([b""] * len(lengths), pa.binary())]
+            size += len(found) + found.nbytes // 8
+            if size > COUNTED:
                 yield flush()
-                counts.clear()
-        if counts:
+                waiting, size = [], 0
+        if waiting:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(released(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -179,92 +196,124 @@ def most_frequent(counts: DataFrame, limit: int) -> pa.Table | None:
     return counts.filter(level >= least).toArrow() if least is not None else None
 
 
-def encoded(docs: DataFrame, head: Head) -> DataFrame:
-    """doc_id, held_out, slice, ids, tail, far: ids of head words, or minus 1 minus the unit of others, which
-    ``tail`` holds in order, and ``far`` their 64-bit hashes. Numbers are kept in byte planes."""
+def held_out_and_slice(docs: DataFrame) -> DataFrame:
+    part = F.pmod(F.xxhash64(F.lit(2), "text", "doc_id"), F.lit(UPDATES)).cast("int")
+    held = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
+    return docs.select("doc_id", "text", held.alias("held_out"), part.alias("slice"))
+
+
+def encoder(head: Head) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["doc_id", "held_out", "slice", "ids", "tail", "far"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = head.lookup()
-        for batch in slices(batches):
-            ids, tails, fars = [], [], []
-            for text in text_bytes(batch):
-                found = words(text)
-                numbers = np.fromiter((lookup.get(w, -1) for w in found), dtype=np.int32, count=len(found))
-                tail = [found[i] for i in np.flatnonzero(numbers < 0)]
-                numbers[numbers < 0] = [-1 - ending_unit(w) for w in tail]
-                ids.append(planes(numbers))
-                tails.append(tail)
-                fars.append(planes(np.array([far_number(w) for w in tail], dtype=np.int64)))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array(ids, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(fars, pa.binary())], names)
+        for batch in slices(batches, 512):
+            lengths, found = words_of(batch)
+            coded = found.dictionary_encode()
+            distinct, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            known = np.fromiter((lookup.get(w, -1) for w in distinct), dtype=np.int32, count=len(distinct))
+            others = np.flatnonzero(known < 0)
+            far = np.zeros(len(distinct), dtype=np.int64)
+            far[others] = [far_number(distinct[i]) for i in others]
+            known[others] = [-1 - ending_unit(distinct[i]) for i in others]
+            numbers, ends = known[at], np.cumsum(lengths)
+            outside = numbers < 0
+            far, tail_ends = far[at[outside]], np.append(0, np.cumsum(outside))[ends]
+            ids = [planes(numbers[b - n : b]) for n, b in zip(lengths, ends)]
+            fars = [planes(x) for x in np.split(far, tail_ends[:-1])]
+            tails = pa.ListArray.from_arrays(pa.array(np.append(0, tail_ends).astype(np.int32)), found.filter(pa.array(outside)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:3]), pa.array(ids, pa.binary()), tails, pa.array(fars, pa.binary())], names)
         head.forget()
 
-    part = F.pmod(F.xxhash64(F.lit(2), "text", "doc_id"), F.lit(UPDATES)).cast("int")
-    held = F.coalesce(remainder(F.col("doc_id"), 7) == 2, F.lit(False))
-    rows = docs.select("doc_id", "text", held.alias("held_out"), part.alias("slice"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, slice int, ids binary, tail array<binary>, far binary")
-
+    return run
 
-def chunked(texts: DataFrame) -> DataFrame:
-    """chunk, held_out, slice, doc_id, ids, tail, far: rows of ``encoded`` in lists of about ``CHUNK`` tokens, whose texts
-    agree in held_out and slice. A chunk's number modulo ``UPDATES + 1`` is its slice, or ``UPDATES`` where held out. Numbers
-    are those of the run that made them, so the table has to be written."""
-    names = ["doc_id", "ids", "tail", "far"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, first = 0, TaskContext.get().partitionId() << 32
-        waiting: dict[int, list] = {}
-
-        def chunk(group: int) -> pa.RecordBatch:
-            nonlocal made
-            made += 1
-            held = waiting.pop(group)
-            lists = [pa.array([[row[j] for row in held]], pa.list_(kind)) for j, kind in enumerate((pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.binary()))]
-            number = (first + made) * (UPDATES + 1) + group
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([group == UPDATES]), pa.array([group % UPDATES], pa.int32()), *lists], ["chunk", "held_out", "slice", *names])
-
-        size: Counter[int] = Counter()
-        for batch in slices(batches):
-            for held_out, part, *row in zip(*(batch.column(c).to_pylist() for c in ("held_out", "slice", *names))):
-                group = UPDATES if held_out else part
-                waiting.setdefault(group, []).append(row)
-                size[group] += len(row[1]) // 4 + 1
+def encoded(docs: DataFrame, head: Head) -> DataFrame:
+    """doc_id, held_out, slice, ids, tail, far: ids of head words, or minus 1 minus the unit of others, which
+    ``tail`` holds in order, and ``far`` their 64-bit hashes. Numbers are kept in byte planes."""
+    return held_out_and_slice(docs).mapInArrow(encoder(head), "doc_id long, held_out boolean, slice int, ids binary, tail array<binary>, far binary")
+
+
+def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What ``chunked`` makes of the rows of ``encoded`` in one task."""
+    names = ["doc_id", "lengths", "ids", "tail", "far"]
+    made, first = 0, TaskContext.get().partitionId() << 32
+    waiting: dict[int, list] = {}
+    size: Counter[int] = Counter()
+
+    def chunk(group: int) -> pa.RecordBatch:
+        nonlocal made
+        made += 1
+        size[group] = 0
+        (rows,) = pa.Table.from_batches(waiting.pop(group)).combine_chunks().to_batches()
+        lengths, ids, far = token_arrays(rows)
+        one = np.array([0, rows.num_rows], dtype=np.int32)
+        lists = [pa.ListArray.from_arrays(pa.array(one), rows.column(c)) for c in ("doc_id", "tail")]
+        data = [pa.array([planes(x)], pa.binary()) for x in (lengths.astype(np.int32), ids, far)]
+        number = (first + made) * (UPDATES + 1) + group
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number]), pa.array([group == UPDATES]), pa.array([group % UPDATES], pa.int32()), lists[0], *data[:2], lists[1], data[2]],
+            ["chunk", "held_out", "slice", *names],
+        )
+
+    for batch in slices(batches):
+        groups = np.where(batch.column("held_out").to_numpy(zero_copy_only=False), UPDATES, batch.column("slice").to_numpy())
+        lengths = pc.binary_length(batch.column("ids")).to_numpy() // 4 + 1
+        for group in np.unique(groups).tolist():
+            at = np.flatnonzero(groups == group)
+            while len(at):
+                k = int(np.searchsorted(np.cumsum(lengths[at]), CHUNK - size[group])) + 1  # up to the row that fills the chunk
+                waiting.setdefault(group, []).append(batch.take(pa.array(at[:k])))
+                size[group] += int(lengths[at[:k]].sum())
+                at = at[k:]
                 if size[group] >= CHUNK:
-                    size[group] = 0
                     yield chunk(group)
-        for group in sorted(waiting):
-            yield chunk(group)
+    for group in sorted(waiting):
+        yield chunk(group)
+
 
-    return texts.mapInArrow(released(run), "chunk long, held_out boolean, slice int, doc_id array<long>, ids array<binary>, tail array<array<binary>>, far array<binary>")
+CHUNK_COLUMNS = "chunk long, held_out boolean, slice int, doc_id array<long>, lengths binary, ids binary, tail array<array<binary>>, far binary"
 
 
-def of_texts(batch: pa.RecordBatch, column: str) -> pa.Array:
-    """A column by text, of rows of ``encoded`` or of ``chunked``."""
-    found = batch.column(column)
-    return found.flatten() if pa.types.is_list(found.type) else found
+def chunked(texts: DataFrame) -> DataFrame:
+    """chunk, held_out, slice, doc_id, lengths, ids, tail, far: rows of ``encoded`` in lists of about ``CHUNK`` tokens, whose
+    texts agree in held_out and slice; numbers of all texts lie together, ``lengths`` has how many ids each text has. A chunk's
+    number modulo ``UPDATES + 1`` is its slice, or ``UPDATES`` where held out. Numbers are those of the run that made them, so
+    the table has to be written."""
+    return texts.mapInArrow(released(chunk_rows), CHUNK_COLUMNS)
+
 
+def encoded_chunks(docs: DataFrame, head: Head) -> DataFrame:
+    """``chunked`` rows of ``encoded``, made in one go."""
+    encode = encoder(head)
+    return held_out_and_slice(docs).mapInArrow(released(lambda batches: chunk_rows(encode(batches))), CHUNK_COLUMNS)
 
-def id_lists(batch: pa.RecordBatch) -> list[np.ndarray]:
-    return [unplaned(data.as_py(), np.int32) for data in of_texts(batch, "ids")]
 
+def token_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of ``encoded``, or of one of ``chunked``: how many ids each text has, all ids, and all ``far`` if it is there."""
+    join = lambda column, kind: np.concatenate([np.zeros(0, kind), *(unplaned(x, kind) for x in batch.column(column).to_pylist())])
+    ids, far = join("ids", np.int32), join("far", np.int64) if "far" in batch.schema.names else np.zeros(0, np.int64)
+    if "lengths" in batch.schema.names:
+        return join("lengths", np.int32).astype(np.int64), ids, far
+    return pc.binary_length(batch.column("ids")).to_numpy().astype(np.int64) // 4, ids, far
 
-def units_of(batch: pa.RecordBatch, own_units: np.ndarray, run: int = TOKENS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For bounded runs of tokens: text number, ids and units, each text with its end (id -1, unit ``END``)."""
-    texts, held, total = [], [], 0
-    for number, ids in enumerate(id_lists(batch)):
-        texts.append(np.full(len(ids) + 1, number))
-        held.append(np.append(ids, -1 - END).astype(np.int64))
-        total += len(ids) + 1
-        if total > run:
-            yield _with_units(texts, held, own_units)
-            texts, held, total = [], [], 0
-    if total:
-        yield _with_units(texts, held, own_units)
 
+def with_ends(lengths: np.ndarray, values: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and value of each token, each text with its end."""
+    result = np.empty(len(values) + len(lengths), dtype=np.int64)
+    ends = np.cumsum(lengths + 1) - 1
+    inside = np.ones(len(result), dtype=bool)
+    inside[ends] = False
+    result[inside], result[ends] = values, end
+    return np.repeat(np.arange(len(lengths)), lengths + 1), result
 
-def _with_units(texts: list, held: list, own_units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    text, ids = np.concatenate(texts), np.concatenate(held)
-    return text, ids, np.where(ids < 0, -1 - ids, own_units[np.maximum(ids, 0)] if len(own_units) else 0)
+
+def units_of(batch: pa.RecordBatch, own_units: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each chunk, or all rows of ``encoded``: text number, ids and units, each text with its end (id -1, unit ``END``)."""
+    for rows in slices([batch], 1 if "lengths" in batch.schema.names else max(1, batch.num_rows)):
+        lengths, ids, _ = token_arrays(rows)
+        text, ids = with_ends(lengths, ids, -1 - END)
+        yield text, ids, np.where(ids < 0, -1 - ids, own_units[np.maximum(ids, 0)] if len(own_units) else 0)
 
 
 def before(text: np.ndarray, units: np.ndarray, n: int, start: int = START) -> np.ndarray:
@@ -276,27 +325,28 @@ def before(text: np.ndarray, units: np.ndarray, n: int, start: int = START) -> n
     return result
 
 
+def hashed(key: np.ndarray, kind: int) -> np.ndarray:
+    h = (key.astype(np.uint64) + np.uint64(kind + 1) * np.uint64(0x9E3779B9)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h >> np.uint64(40) & np.uint64(FEATURES - 1)).astype(np.int64)
+
+
+#: The rows of the kinds that have one unit for a context.
+BY_UNIT = {kind: hashed(np.arange(UNITS + 2), kind) for kind in (0, 2, 3)}
+
+
 def features(text: np.ndarray, units: np.ndarray) -> list[np.ndarray]:
     """Rows of the weight table for each token."""
-    one, two, three = (before(text, units, n).astype(np.uint64) for n in (1, 2, 3))
-    keys = [one, two * np.uint64(UNITS + 2) + one, two, three]
-    rows = []
-    for kind, key in enumerate(keys):
-        h = (key + np.uint64(kind + 1) * np.uint64(0x9E3779B9)) * np.uint64(0x9E3779B97F4A7C15)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        rows.append((h >> np.uint64(40) & np.uint64(FEATURES - 1)).astype(np.int64))
-    return rows
+    one, two, three = (before(text, units, n) for n in (1, 2, 3))
+    return [BY_UNIT[0][one], hashed(two * (UNITS + 2) + one, 1), BY_UNIT[2][two], BY_UNIT[3][three]]
 
 
 def numbers_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Text number and word number of each token, each text with its end."""
-    texts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for number, (known, far) in enumerate(zip(id_lists(batch), of_texts(batch, "far"))):
-        ids = np.append(known, END_NUMBER).astype(np.int64)
-        ids[:-1][ids[:-1] < 0] = unplaned(far.as_py(), np.int64)
-        texts.append(np.full(len(ids), number))
-        found.append(ids)
-    return np.concatenate(texts), np.concatenate(found)
+    lengths, ids, far = token_arrays(batch)
+    ids = ids.astype(np.int64)
+    ids[ids < 0] = far
+    return with_ends(lengths, ids, END_NUMBER)
 
 
 def mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -307,10 +357,10 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def exact_features(text: np.ndarray, numbers: np.ndarray, kind: int) -> np.ndarray:
-    """Keys of a kind: tokens x 2, the context and the token in it; for ``ALONE`` tokens x 1."""
+    """Keys of a kind: 2 x tokens, the context and the token in it; for ``ALONE`` 1 x tokens."""
     own = mixed(numbers.astype(np.uint64), 5)
     if kind == ALONE:
-        return own[:, None]
+        return own[None]
     earlier = lambda n: before(text, numbers, n, START_NUMBER).astype(np.uint64)
     if kind == 0:
         context = mixed(earlier(1), 1)
@@ -318,7 +368,7 @@ def exact_features(text: np.ndarray, numbers: np.ndarray, kind: int) -> np.ndarr
         context = mixed(mixed(earlier(2), 2) ^ earlier(1), 2)
     else:
         context = mixed(earlier(kind), kind + 1)
-    return np.stack([context, mixed(context ^ own, 6)], axis=1)
+    return np.stack([context, mixed(context ^ own, 6)])
 
 
 def chunk_keys(text: np.ndarray, numbers: np.ndarray, kind: int) -> np.ndarray:
@@ -351,14 +401,15 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(unplaned(data[1:], np.uint64, data[0]), dtype=np.uint64)
 
 
-def asked(chunks: DataFrame, kind: int, bits: int) -> DataFrame:
+def asked(chunks: DataFrame, kind: int, bits: int, contexts: bool = True) -> DataFrame:
     """part, chunk, keys, n: the distinct features of each chunk by the first ``bits`` of their keys, and how often training
-    texts have them."""
+    texts have them. Without ``contexts``, those with a token in them only."""
     shift = np.uint64(KEY_BITS - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         for batch in slices(batches, 1):
-            keys, n = np.unique(chunk_keys(*numbers_of(batch), kind), return_counts=True)
+            keys, n = np.unique(chunk_keys(*numbers_of(batch), kind)[0 if contexts else 1 :], return_counts=True)
             if batch.column("held_out")[0].as_py():
                 n[:] = 0
             cuts = np.searchsorted(keys, np.arange((1 << bits) + 1, dtype=np.uint64) << shift)
@@ -373,17 +424,36 @@ def asked(chunks: DataFrame, kind: int, bits: int) -> DataFrame:
                 ["part", "chunk", "keys", "n"],
             )
 
-    return chunks.select("chunk", "held_out", "ids", "far").mapInArrow(released(run), "part int, chunk long, keys binary, n binary")
+    return chunks.select("chunk", "held_out", "lengths", "ids", "far").mapInArrow(released(run), "part int, chunk long, keys binary, n binary")
+
+
+def grouped(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """An ascending order of keys below ``1 << bits``, and the number of each one's distinct key in it. Keys are sorted along
+    with their places in one number, without the last bits if there is no room; where those decide, the order is made anew."""
+    places = max(len(keys) - 1, 1).bit_length()
+    left_out = max(bits + places - 64, 0)
+    order = np.sort((keys >> np.uint64(left_out)) << np.uint64(places) | np.arange(len(keys), dtype=np.uint64))
+    order = (order & np.uint64((1 << places) - 1)).astype(np.int64)
+    ascending = keys[order]
+    if left_out and (ascending[1:] < ascending[:-1]).any():
+        order = np.argsort(keys)
+        ascending = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = ascending[1:] != ascending[:-1]
+    return order, np.cumsum(new) - 1
 
 
 def answered(asks: DataFrame) -> DataFrame:
     """chunk, part, n: how often all training texts have the features that were asked for, in their order."""
 
     def total(table: pa.Table) -> pa.Table:
+        keep_memory()
         keys = [unpacked(x) for x in table.column("keys").to_pylist()]
         n = np.concatenate([unplaned(x, np.uint32) for x in table.column("n").to_pylist()])
-        found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.minimum(np.bincount(at, weights=n, minlength=len(found)), 0xFFFFFFFF).astype(np.uint32)[at]
+        joined = np.concatenate(keys)
+        order, group = grouped(joined, int(joined.max()).bit_length())
+        sums = np.empty(len(n), dtype=np.uint32)
+        sums[order] = np.minimum(np.bincount(group, weights=n[order]), 0xFFFFFFFF).astype(np.uint32)[group]
         ends = np.cumsum([len(x) for x in keys])
         data = [planes(sums[b - len(x) : b]) for x, b in zip(keys, ends)]
         trim()
@@ -396,17 +466,25 @@ def counts_of(keys: np.ndarray, answers: pa.Table, kind: int) -> np.ndarray:
     """Counts of the ``chunk_keys`` of a chunk, from its rows of ``answered``."""
     data = answers.filter(pc.equal(answers.column("kind"), kind)).sort_by("part").column("n").to_pylist()
     n = np.concatenate([np.zeros(0, np.uint32), *(unplaned(x, np.uint32) for x in data)])
-    return n[np.unique(keys, return_inverse=True)[1]]
+    order, group = grouped(keys.ravel(), KEY_BITS)
+    result = np.empty(keys.size, dtype=np.uint32)
+    result[order] = n[group]
+    return result.reshape(keys.shape)
 
 
 def parts(fixed: np.ndarray, counts: np.ndarray, seen: bool = False) -> np.ndarray:
     """Tokens x ``PARTS`` probabilities: of the fixed part, then of each kind and strength. ``seen``: leave the tokens
     themselves out of the counts."""
-    result = [fixed]
+    result = np.empty((PARTS, len(fixed)))
+    result[0] = fixed
+    smooth = [s * fixed for s in STRENGTHS]
     for kind in range(KINDS):
-        context, both = (np.maximum(counts[:, 2 * kind + j] - int(seen), 0) for j in (0, 1))
-        result += [(both + s * fixed) / (context + s) for s in STRENGTHS]
-    return np.stack(result, axis=1)
+        context, both = (counts[:, 2 * kind + j].astype(np.float64) for j in (0, 1))
+        if seen:
+            context, both = np.maximum(context - 1, 0), np.maximum(both - 1, 0)
+        for j, s in enumerate(STRENGTHS):
+            np.divide(both + smooth[j], context + s, out=result[1 + kind * len(STRENGTHS) + j])
+    return result.T
 
 
 def classes_of(neighbours: np.ndarray, frequency: np.ndarray, seed: int = 2) -> np.ndarray:
@@ -435,13 +513,13 @@ def sums_by_row(rows: np.ndarray, values: np.ndarray, often: int = 32) -> tuple[
     lengths = np.diff(begins, append=len(rows))
     by_length = np.argsort(-lengths, kind="stable")
     begins, lengths = begins[by_length], lengths[by_length]
-    sums = values[order[begins]]
+    sums = np.take(values, order[begins], axis=0)
     frequent = int(np.count_nonzero(lengths >= often))
     for i in range(frequent):
-        sums[i] = values[order[begins[i] : begins[i] + lengths[i]]].sum(axis=0)
+        sums[i] = np.take(values, order[begins[i] : begins[i] + lengths[i]], axis=0).sum(axis=0)
     for k in range(1, often - 1):
         longer = int(np.count_nonzero(lengths > k))
-        sums[frequent:longer] += values[order[begins[frequent:longer] + k]]
+        sums[frequent:longer] += np.take(values, order[begins[frequent:longer] + k], axis=0)
     return rows[order[begins]], sums
 
 
@@ -455,24 +533,26 @@ class MaxEnt:
     weights: np.ndarray  # features x classes
     bias: np.ndarray
 
-    def logits(self, rows: list[np.ndarray]) -> np.ndarray:
-        total = np.empty((len(rows[0]), CLASSES), dtype=np.float32)
-        for a in range(0, len(total), 4096):  # in pieces that stay in the cache
-            some = total[a : a + 4096]
-            np.take(self.weights, rows[0][a : a + 4096], axis=0, out=some, mode="clip")
-            for r in rows[1:]:
-                some += np.take(self.weights, r[a : a + 4096], axis=0)
-            some += self.bias
-        total -= total.max(axis=1, keepdims=True)
+    def logits(self, rows: list[np.ndarray], out: np.ndarray | None = None) -> np.ndarray:
+        """Their size is bounded by the priors and the number of updates, so that their exponentials are finite: a class's
+        share is at least 1e-9 of all, and a ratio at most its inverse."""
+        total = np.take(self.weights, rows[0], axis=0, out=out, mode="clip")
+        for r in rows[1:]:
+            total += np.take(self.weights, r, axis=0)
+        total += self.bias
         return total
 
     def token_logs(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each token, without the log10 (count + 1) of words outside the head, and where those are."""
         found, outside = [np.zeros(0)], [np.zeros(0, bool)]
+        hold, ones = np.empty((TOKENS, CLASSES), dtype=np.float32), np.ones(CLASSES, dtype=np.float32)
         for text, ids, units in units_of(batch, self.own_units):
-            label = self.classes[units]
-            logits = self.logits(features(text, units))
-            chosen = logits[np.arange(len(units)), label] - np.log(np.exp(logits).sum(axis=1))
+            label, rows = self.classes[units], features(text, units)
+            chosen = np.empty(len(units), dtype=np.float32)
+            for a in range(0, len(units), TOKENS):  # in runs that stay in the cache
+                some = self.logits([r[a : a + TOKENS] for r in rows], hold[: len(units) - a])
+                own = some[np.arange(len(some)), label[a : a + TOKENS]]
+                chosen[a : a + TOKENS] = own - np.log(np.exp(some, out=some) @ ones)
             chosen = chosen + self.unit_logs[self.classes[before(text, units, 1)], units]
             tokens = chosen / math.log(10) - self.inside_logs[units]
             if len(self.head_logs):
@@ -483,15 +563,22 @@ class MaxEnt:
 
     def gradient(self, batch: pa.RecordBatch, table: np.ndarray) -> None:
         """Adds observed minus expected class counts of each feature, and expected ones, to ``table``."""
-        size = FEATURES * CLASSES
+        size, ones = FEATURES * CLASSES, np.ones(CLASSES, dtype=np.float32)
+        expected, hold = table[size:].reshape(FEATURES, CLASSES), np.empty((SUMMED, CLASSES), dtype=np.float32)
         for text, _, units in units_of(batch, self.own_units):
             rows, label = features(text, units), self.classes[units]
-            p = np.exp(self.logits(rows))
-            p /= p.sum(axis=1, keepdims=True)
-            table[:size] += np.bincount(np.concatenate([r * CLASSES + label for r in rows]), minlength=size)
             for r in rows:
-                found, expected = sums_by_row(r, p)
-                table[size:].reshape(FEATURES, CLASSES)[found] += expected
+                np.add.at(table[:size], r * CLASSES + label, 1.0)
+            for a in range(0, len(units), SUMMED):
+                p = hold[: len(units) - a]
+                for b in range(0, len(p), TOKENS):
+                    some = p[b : b + TOKENS]
+                    self.logits([r[a + b : a + b + len(some)] for r in rows], some)
+                    np.exp(some, out=some)
+                    some /= (some @ ones)[:, None]
+                for r in rows:
+                    found, sums = sums_by_row(r[a : a + len(p)], p)
+                    expected[found] = np.take(expected, found, axis=0) + sums
 
     def update(self, table: np.ndarray) -> None:
         observed, expected = table.reshape(2, FEATURES, CLASSES)
@@ -501,43 +588,44 @@ class MaxEnt:
 
 def train(texts: DataFrame, counts: DataFrame, head: Head) -> MaxEnt:
     """texts: training rows of ``encoded`` or ``chunked``."""
+    ids_columns = [c for c in ("lengths", "ids") if c in texts.columns]
     spark = texts.sparkSession
     own = min(OWN, len(head.counts))
     words_of_head = enumerate(head.blob.value.split(b"\n") if len(head.counts) else [])
     own_units = np.fromiter((i if i < own else ending_unit(w) for i, w in words_of_head), dtype=np.int32, count=len(head.counts))
 
+    own_words = pa.array(head.blob.value.split(b"\n")[:own] if own else [], pa.binary())
+
     def inside(batch: pa.RecordBatch, table: np.ndarray) -> None:
-        lookup = head.lookup()
-        rest = [(ending_unit(w), n) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()) if w and lookup.get(w, own) >= own]
-        if rest:
-            u, n = np.array(rest, dtype=np.int64).T
-            table += np.bincount(u, weights=n + 1.0, minlength=UNITS)
+        rest = batch.filter(pc.invert(pc.is_in(batch.column("word"), pc.unique(pa.concat_arrays([own_words, pa.array([b""], pa.binary())])))))
+        endings = pc.binary_slice(rest.column("word"), -3).dictionary_encode()
+        if len(endings):
+            units = np.array([ending_unit(w) for w in endings.dictionary.to_pylist()], dtype=np.int64)
+            table += np.bincount(units[endings.indices.to_numpy()], weights=rest.column("n").to_numpy() + 1.0, minlength=UNITS)
 
     denominators = 1 + gathered(counts, UNITS, inside).astype(np.float64)  # words' counts, one for each, and one for unseen words
     inside_logs = np.append(np.log10(denominators), [0.0, 0.0])
     head_logs = np.where(np.arange(len(head.counts)) < own, 0.0, np.log10(head.counts + 1.0))
-    ids_only = texts.select("ids")
+    ids_only = texts.select(*ids_columns)
 
     def near(batch: pa.RecordBatch, table: np.ndarray) -> None:
-        grid = table.reshape(UNITS + 2, 2 * CONTEXTS)
-        for text, _, units in units_of(batch, own_units, COUNTED):
+        for text, _, units in units_of(batch, own_units):
             same = text[1:] == text[:-1]
             left, right = units[:-1][same], units[1:][same]
             for at, other, shift in ((right, left, 0), (left, right, CONTEXTS)):
                 frequent = other < CONTEXTS
-                grid += np.bincount(at[frequent] * 2 * CONTEXTS + other[frequent] + shift, minlength=grid.size).reshape(grid.shape)
+                np.add.at(table, at[frequent] * 2 * CONTEXTS + other[frequent] + shift, 1.0)
 
     neighbours = gathered(ids_only, (UNITS + 2) * 2 * CONTEXTS, near).astype(np.float64).reshape(UNITS + 2, -1)
     classes = classes_of(neighbours, neighbours.sum(axis=1))
     pairs, sizes = CLASSES * (UNITS + 2), FEATURES * CLASSES
-    share = np.repeat(np.arange(4), 1)
 
     def count(batch: pa.RecordBatch, table: np.ndarray) -> None:
-        for text, _, units in units_of(batch, own_units, COUNTED):
+        for text, _, units in units_of(batch, own_units):
             label, last = classes[units], classes[before(text, units, 1)]
-            table[:pairs] += np.bincount(last * (UNITS + 2) + units, minlength=pairs)
-            for kind, r in zip(share, features(text, units)):
-                table[pairs + kind * sizes : pairs + (kind + 1) * sizes] += np.bincount(r * CLASSES + label, minlength=sizes)
+            np.add.at(table, last * (UNITS + 2) + units, 1.0)
+            for kind, r in enumerate(features(text, units)):
+                np.add.at(table, pairs + kind * sizes + r * CLASSES + label, 1.0)
 
     table = gathered(ids_only, pairs + 4 * sizes, count)
     grid = table[:pairs].astype(np.float64).reshape(CLASSES, UNITS + 2)
@@ -558,7 +646,7 @@ def train(texts: DataFrame, counts: DataFrame, head: Head) -> MaxEnt:
     model = MaxEnt(own_units, head_logs, classes, unit_logs, inside_logs, weights, np.log(prior).astype(np.float32))
     for k in range(UPDATES):
         shared = spark.sparkContext.broadcast(model)
-        model.update(gathered(texts.filter(F.col("slice") == k).select("ids"), 2 * sizes, lambda batch, out, m=shared: m.value.gradient(batch, out)))
+        model.update(gathered(texts.filter(F.col("slice") == k).select(*ids_columns), 2 * sizes, lambda batch, out, m=shared: m.value.gradient(batch, out)))
         shared.destroy()
     return model
 
@@ -568,17 +656,27 @@ def with_counts(chunks: DataFrame, answers: DataFrame, model, function: Callable
     part and the counts of each kind's context and of the token in it."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        keep_memory()
         (batch,) = left.combine_chunks().to_batches()
-        tokens = numbers_of(batch)
-        logs, outside = model.value.token_logs(batch)
-        logs[outside] += np.log10(counts_of(chunk_keys(*tokens, ALONE), right, ALONE)[:, 0] + 1.0)
+        fixed, known, texts = model.value
+        text, numbers = numbers_of(batch)
+        logs, outside = fixed.token_logs(batch)
+        alone = np.zeros(len(numbers), dtype=np.uint32)  # of ends it isn't needed
+        alone[numbers >= 0] = known[np.where(outside, 0, numbers)[numbers >= 0]] if len(known) else 0
+        alone[outside] = counts_of(chunk_keys(text, numbers, ALONE), right, ALONE)[0]
+        logs[outside] += np.log10(alone[outside] + 1.0)
         logs = logs.astype(np.float32)
-        counts = np.concatenate([counts_of(chunk_keys(*tokens, kind), right, kind) for kind in range(KINDS)], axis=1)
-        runs = ((10.0 ** logs[a : a + TOKENS].astype(np.float64), counts[a : a + TOKENS].astype(np.int64)) for a in range(0, len(logs), TOKENS))
+        counts = np.empty((2 * KINDS, len(numbers)), dtype=np.uint32)
+        for kind in range(KINDS):
+            asked_for = 1 if kind in FOLLOWS else 0
+            counts[2 * kind + asked_for : 2 * kind + 2] = counts_of(chunk_keys(text, numbers, kind)[asked_for:], right, kind)
+        counts[0], counts[2] = before(text, alone, 1, texts), before(text, counts[1], 1, texts)
+        runs = ((np.exp(logs[a : a + MIXED].astype(np.float64) * math.log(10)), counts[:, a : a + MIXED].T) for a in range(0, len(logs), MIXED))
         result = function(batch, runs)
         trim()
         return result
 
+    chunks = chunks.select("chunk", "held_out", "doc_id", "lengths", "ids", "far")
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, kinds)
 
 
@@ -602,15 +700,16 @@ def scored(chunks: DataFrame, answers: DataFrame, model, shares: np.ndarray, bas
     """chunk, at, held_out, doc_id, n_tokens, n_head, base_head, score: a row for each text, ``at`` its place in the chunk."""
 
     def run(batch: pa.RecordBatch, runs: Iterator) -> pa.Table:
-        ids = id_lists(batch)
-        known = [x[x >= 0] for x in ids]
-        n = np.array([len(x) + 1 for x in ids])
+        lengths, ids, _ = token_arrays(batch)
+        n, known = lengths + 1, ids >= 0
+        text = np.repeat(np.arange(len(n)), lengths)[known]
+        logs = np.bincount(text, weights=base_logs[ids[known]], minlength=len(n))
         tokens = np.concatenate([np.log10(np.maximum(parts(fixed, counts) @ shares, 1e-300)) for fixed, counts in runs])
         return pa.table(
             {
                 **{c: pa.array(batch.column(c).to_pylist() * len(n)) for c in ("chunk", "held_out")},
-                "at": pa.array(np.arange(len(n), dtype=np.int32)), "doc_id": of_texts(batch, "doc_id"), "n_tokens": n, "n_head": [len(x) for x in known],
-                "base_head": [float(base_logs[x].sum()) + end_log - k * base_unit for x, k in zip(known, n)],
+                "at": pa.array(np.arange(len(n), dtype=np.int32)), "doc_id": batch.column("doc_id").flatten(), "n_tokens": n, "n_head": np.bincount(text, minlength=len(n)),
+                "base_head": logs + end_log - n * base_unit,
                 "score": np.bincount(np.repeat(np.arange(len(n)), n), weights=tokens, minlength=len(n)),
             }
         ).select(["chunk", "at", "held_out", "doc_id", "n_tokens", "n_head", "base_head", "score"])
@@ -630,12 +729,15 @@ def scores(table: DataFrame, doc_id: str = "doc_id", text: str = "text", head_li
         sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.max(F.when(F.col("word") == F.lit(b""), F.col("n"))).alias("ends")).first()
         total, distinct, ends = sums["n"] or 0, sums["v"], sums["ends"] or 0
         head = head_of(counts, head_limit)
-        chunks = written(chunked(encoded(docs, head)), "chunks", "zstd")
-        model = context.broadcast(train(chunks.filter("NOT held_out"), counts, head))
+        chunks = written(encoded_chunks(docs, head), "chunks", "zstd", "held_out", "slice")
+        known = np.minimum(head.counts, 0xFFFFFFFF).astype(np.uint32)
+        model = context.broadcast((train(chunks.filter("NOT held_out"), counts, head), known, min(ends, 0xFFFFFFFF)))
         bits = min(max(math.ceil(math.log2(max(total, 1) * 2 / max(feature_limit, 256))), 6), 20)
-        answers = [written(answered(asked(chunks, kind, bits)), "answers", "zstd").withColumn("kind", F.lit(kind)) for kind in (*range(KINDS), ALONE)]
+        group = F.pmod("chunk", F.lit(UPDATES + 1)).cast("int").alias("group")
+        answers = [answered(asked(chunks, kind, bits, kind not in FOLLOWS)).select("*", group) for kind in (*range(KINDS), ALONE)]
+        answers = [written(x, "answers", "zstd", "group").withColumn("kind", F.lit(kind)) for kind, x in enumerate(answers)]
         answers = reduce(DataFrame.unionByName, answers)
-        groups = [[x.filter(F.pmod("chunk", F.lit(UPDATES + 1)) == k) for x in (chunks, answers)] for k in range(UPDATES + 1)]
+        groups = [[chunks.filter("held_out" if k == UPDATES else f"NOT held_out AND slice = {k}"), answers.filter(F.col("group") == k)] for k in range(UPDATES + 1)]
         shares = np.full(PARTS, 1 / PARTS)
         for group in groups[:UPDATES]:
             shares = next_shares(*group, model, shares)

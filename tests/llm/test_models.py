@@ -7,11 +7,12 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from nomenroll.llm import fingerprints, maxent_lm, quality, toxicity
 from nomenroll.llm.calibration import Isotonic, Logistic
-from nomenroll.llm.common import read
+from nomenroll.llm.common import read, words
 
 DATA = "/root/testdata/sf0.01"
 
@@ -170,6 +171,48 @@ def test_numbers_are_packed_without_loss():
         assert (maxent_lm.unplaned(maxent_lm.planes(numbers), numbers.dtype) == numbers).all()
 
 
+@pytest.mark.parametrize("bits, n", [(0, 5), (12, 5000), (50, 5000), (64, 300), (50, 0)])
+def test_keys_are_grouped_by_one_sort(bits, n):
+    rng = np.random.default_rng(11)
+    keys = rng.integers(0, 1 << bits, n, dtype=np.uint64) if bits < 64 else rng.integers(0, 1 << 63, n).astype(np.uint64)
+    keys[: n // 2] ^= np.uint64(bits > 0)  # neighbours that differ in the last bit alone
+    keys = np.concatenate([keys, keys[::2], keys[::3] ^ np.uint64(bits > 0)])
+    order, group = maxent_lm.grouped(keys, bits)
+    found = np.empty(len(keys), dtype=np.int64)
+    found[order] = group
+    assert sorted(order) == list(range(len(keys))) and (found == np.unique(keys, return_inverse=True)[1]).all()
+
+
+def test_words_of_all_texts_at_once():
+    texts = ["The CAT\x0bsat.", None, "", "  a\x1fb \u00c9t\u00c9\u0085\u00a0x\n", " ", "\t\r\x0c", "z"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    lengths, found = maxent_lm.words_of(batch.slice(1))
+    expected = [words((t or "").encode()) for t in texts[1:]]
+    assert lengths.tolist() == [len(x) for x in expected] and found.to_pylist() == [w for x in expected for w in x]
+
+
+def test_groups_read_their_own_files_and_ask_for_no_context_that_follows(spark, monkeypatch):
+    texts = [" ".join(f"w{(i * j) % 37}" for j in range(40)) for i in range(200)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    asks, files, ask, write = [], {}, maxent_lm.asked, maxent_lm.written
+
+    def noted_ask(*given):
+        asks.append((given[1], sum(len(r.n) // 4 for r in ask(*given).collect()), sum(len(r.n) // 4 for r in ask(*given[:3]).collect())))
+        return ask(*given)
+
+    def noted_write(df, label, *given):
+        files.setdefault(label, []).append(write(df, label, *given))
+        return files[label][-1]
+
+    monkeypatch.setattr(maxent_lm, "asked", noted_ask)
+    monkeypatch.setattr(maxent_lm, "written", noted_write)
+    maxent_lm.scores(table)
+    for kind, n, with_contexts in asks:
+        assert n < with_contexts if kind in maxent_lm.FOLLOWS else n == with_contexts
+    for label, column in (("chunks", "slice"), ("answers", "group")):
+        assert all(f"{column}=" in f for f in files[label][0].inputFiles())
+
+
 def test_sums_by_row():
     rng = np.random.default_rng(9)
     rows = np.concatenate([rng.integers(0, 1 << 15, 3000), np.repeat([5, 77, 9], [400, 31, 32])])
