@@ -66,10 +66,11 @@ def ngrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     left = ends[word] - np.arange(len(data))
     buckets, owners = [_bucket(np.array([zlib.crc32(w) for w in words], dtype=np.uint64) << np.uint64(8))], [np.arange(len(words))]
     for n in SIZES:
-        h = np.full(max(0, len(data) - n + 1), n, dtype=np.uint64)
+        begins = max(0, len(data) - n + 1)  # none where all words together are shorter
+        h = np.full(begins, n, dtype=np.uint64)
         for j in range(n):
-            h = h * np.uint64(0x100000001B3) + data[j : len(data) - n + 1 + j]
-        at = np.flatnonzero(left[: len(h)] >= n)
+            h = h * np.uint64(0x100000001B3) + data[j : begins + j]
+        at = np.flatnonzero(left[:begins] >= n)
         buckets.append(_bucket(h[at]))
         owners.append(word[at])
     return np.concatenate(buckets), np.concatenate(owners)

@@ -65,6 +65,16 @@ def test_toxic_words_and_unseen_spellings(spark):
     assert scores[0] < 0.5 and scores[1] > 0.7 and scores[2] > 0.7
 
 
+@pytest.mark.parametrize("words", [[b"a"], [b"ab"], [b"7", b"b"], [b"abc"], [b"a", b"longer", b"\xc3\xa9"]])
+def test_ngrams_of_short_words(words):
+    buckets, owners = toxicity.ngrams(words)
+    sizes = [len(w) + 2 for w in words]
+    assert np.bincount(owners).tolist() == [1 + sum(max(0, s - n + 1) for n in toxicity.SIZES) for s in sizes]
+    beside = toxicity.ngrams([*words, b"another"])
+    for i in range(len(words)):  # a word has its n-grams whatever stands beside it
+        assert sorted(buckets[owners == i]) == sorted(beside[0][beside[1] == i])
+
+
 def test_calibration():
     rng = np.random.default_rng(0)
     x = np.sort(rng.uniform(-3, 3, 4000))
