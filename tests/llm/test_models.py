@@ -75,6 +75,19 @@ def test_ngrams_of_short_words(words):
         assert sorted(buckets[owners == i]) == sorted(beside[0][beside[1] == i])
 
 
+def test_texts_that_bring_one_short_word(spark):
+    """A single word of one or two bytes, as all of a text or as the only one that a task hasn't seen, in labelled texts and others."""
+    base = [f"words of a text with number{i % 7} and more" for i in range(80)]
+    texts = [t if i % 4 else f"{t} {'zq' if i % 8 else 'zorka'}{i}" for i, t in enumerate(base)]
+    rows = list(enumerate([*texts, "a", "7$", "é", *(f"{base[i]} {c}" for i, c in enumerate("7$xé"))]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(i, int(i % 8 == 4)) for i in range(len(rows))], "doc_id long, toxic int")
+    found = toxicity.classify(docs, labels)
+    assert found.count() == len(rows) and found.filter("score is null or isnan(score)").count() == 0
+    kept = toxicity.classify(docs, labels, keep=["doc_id", "text"])
+    assert {(r.doc_id, r.text) for r in kept.collect()} == set(rows)
+
+
 def test_calibration():
     rng = np.random.default_rng(0)
     x = np.sort(rng.uniform(-3, 3, 4000))
