@@ -181,6 +181,21 @@ def test_texts_in_pieces_have_the_spans_of_whole_texts(spark, monkeypatch):
     assert got == {(i, *s) for i, whole in enumerate(wholes) for s in greedy(whole, entries)}
 
 
+@pytest.mark.parametrize("limits", [{}, {"broadcast_bytes": 0}])
+def test_offsets_beyond_integers(spark, limits):
+    """Pieces of a text behind its first 2^31 characters: overlaps are resolved there as anywhere."""
+    first, fill = 1 << 31, "- " * 400
+    pieces = [fill + "New York Ada", "Lovelace in New York City", fill + "Ada"]
+    starts = [first + sum(len(p) + 1 for p in pieces[:n]) for n in range(len(pieces))]
+    book = {"New York": "LOC", "York Ada": "PER", "Ada": "PER", "Ada Lovelace": "PER", "New York City": "LOC"}
+    entries = G.build_gazetteer(spark.createDataFrame(list(book.items()), "surface string, type string"), **limits)
+    frame = spark.createDataFrame(list(zip([0] * 3, starts, pieces)), "doc_id int, at long, text string")
+    spans = G.gazetteer_spans(frame, ["doc_id"], "text", entries, at="at")
+    assert dict(spans.dtypes)["start_char"] == dict(spans.dtypes)["end_char"] == "bigint"
+    got = sorted(tuple(r)[1:] for r in spans.collect())
+    assert got == sorted((t, k, first + b, first + e) for t, k, b, e in greedy(" ".join(pieces), book))
+
+
 def test_only_words_that_begin_a_surface_meet_a_large_gazetteer(spark):
     book = G.build_gazetteer(spark.createDataFrame([("New York", "LOC"), ("Ada", "PER")], "surface string, type string"), broadcast_bytes=0, filter_bytes=0)
     words = G._words(docs(spark, ["in New York Ada met a new friend"]), ["doc_id"], F.col("text"), book.max_chars + 2)
@@ -349,3 +364,18 @@ def test_counts_names_and_presence(spark):
         single_class(found, "DATE")
     with pytest.raises(ValueError, match="entity_class"):
         classes_present(found.drop("entity"))
+
+
+def test_offsets_of_one_text_widen_when_it_is_long(spark, path, monkeypatch):
+    from nomenroll.catalog import inputs, queries
+
+    rows = [(i, f"some words stand here {i} and there") for i in range(12)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    length = sum(len(t) + 1 for _, t in rows) - 1
+    found = {}
+    for last in (length - 1, length):
+        monkeypatch.setattr(inputs, "LAST_INTEGER", last)
+        found[last] = queries.mentions_one_text(spark, path)
+    narrow, wide = found[length], found[length - 1]
+    assert [dict(x.dtypes)["end_char"] for x in (narrow, wide)] == ["int", "bigint"]
+    assert sorted(narrow.collect()) == sorted(wide.collect()) and narrow.count() > 12
